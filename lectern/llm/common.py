@@ -121,15 +121,15 @@ def powers(n: int) -> np.ndarray:
     return out
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash every lower-cased word of every text.
 
     Returns word hashes, the n + 1 offsets of each text's words, and each word's byte range in the
     concatenated texts. A word is a run of letters, digits and non-ASCII characters; texts are
-    lower-cased first, so a word hashes alike in any case.
+    lower-cased first (unless `lower` is off), so a word hashes alike in any case.
     """
-    lowered = pc.utf8_lower(pc.fill_null(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, ""))
-    flat, off = buffers(lowered)
+    texts = pc.fill_null(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, "")
+    flat, off = buffers(pc.utf8_lower(texts) if lower else texts)
     n = len(flat)
     if n == 0:
         none = np.zeros(0, np.int64)
