@@ -115,9 +115,13 @@ class Tree:
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of paired rows in double precision."""
+    """Euclidean distances of paired rows in double precision, components summed in their order."""
     gap = a - b
-    return np.sqrt((gap * gap).sum(1))
+    gap *= gap
+    total = np.zeros(len(gap))
+    for column in gap.T:
+        total += column
+    return np.sqrt(total)
 
 
 def valid(vector: Column) -> Column:
