@@ -50,6 +50,12 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.lm import language_scores
+
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.decontaminate import leaks
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_packing": op6_packing,
     "op7_neighbours": op7_neighbours,
+    "op8_language_model": op8_language_model,
     "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
 }
