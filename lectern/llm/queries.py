@@ -31,6 +31,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.pii import digest, personal_data
+
+    return digest(personal_data(table(spark, sf_dir, "documents")))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.neardup import near_duplicates
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_token_counts": op2_token_counts,
     "op3_line_dedup": op3_line_dedup,
+    "op4_personal_data": op4_personal_data,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_packing": op6_packing,
     "op7_neighbours": op7_neighbours,
