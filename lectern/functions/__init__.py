@@ -1 +1 @@
-
+"""Scalar functions on columns: text keys, identifiers, citations, digests."""

@@ -1,4 +1,4 @@
-"""Named queries over the standard tables, each with the SQL it must agree with."""
+"""Named queries over the standard tables, each with the SQL it must agree with where SQL can say it."""
 
 from __future__ import annotations
 
@@ -8,3 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a function (t) -> DataFrame under its name; t("orders") reads a table."""
+
+    def add(f: Callable) -> Callable:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+from lectern.plans import matching, ranking, states, text  # noqa: E402, F401  they register their queries
