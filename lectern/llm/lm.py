@@ -121,7 +121,8 @@ def emit(model: Model, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log probability of each target: that of its class, and within an explicit class its own. target -1: any other word."""
     w = model.weights
     cls = np.where(target >= 0, target // CLASS_SIZE, CLASSES)
-    out = _log_softmax(h @ w["c"] + w["cb"])[np.arange(len(h)), cls].astype(np.float64)
+    used = np.append(np.arange(-(-model.explicit // CLASS_SIZE)), CLASSES)  # few words leave classes empty
+    out = _log_softmax((h @ w["c"] + w["cb"])[:, used])[np.arange(len(h)), np.minimum(cls, len(used) - 1)].astype(np.float64)
     order = np.argsort(cls, kind="stable")
     bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
     for k in range(CLASSES):
@@ -354,6 +355,7 @@ def language_scores(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str
     explicit = model.explicit
     rest, rest_distinct = total - int(counts[:explicit].sum()), distinct - int((counts[:explicit] > 0).sum())
     table = spark.sparkContext.broadcast(counts)
+    whole = float(np.log10(total + distinct + 1.0))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,7 +370,7 @@ def language_scores(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str
             place = own.lookup(hashes)
             inside = place >= 0
             r, p = row[inside], place[inside]
-            base = np.bincount(r, logs[p], len(sizes))
+            base = np.bincount(r, logs[p] - whole, len(sizes)) - (sizes - np.bincount(r, minlength=len(sizes))) * whole
             known = np.bincount(r, n[p] > 0, len(sizes)).astype(np.int64)
             late = p >= explicit
             partly = np.bincount(r[late], logs[p[late]], len(sizes))
@@ -400,6 +402,6 @@ def language_scores(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str
         F.col("id").alias(id_col), "held_out", "n_tokens",
         (F.col("n_known") + F.round(known).cast("long")).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + logs - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1.0)))).alias("base_score"),
+        (F.col("base") + logs).alias("base_score"),
         (F.col("net") + logs).alias("score"),
     )
