@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows handed to a Python worker at once: with it a batch of long texts stays within memory.
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def session(df: DataFrame) -> SparkSession:
@@ -21,13 +21,13 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the session's Arrow batch size to `rows` and about 16 MB, never raise it."""
+    """Lower the session's Arrow batch size to `rows` and BATCH_BYTES, never raise it."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
     try:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     except Exception as error:  # an option of newer Spark versions
         if "CANNOT_MODIFY" not in str(error):
             raise
@@ -121,6 +121,26 @@ def powers(n: int) -> np.ndarray:
     return out
 
 
+def run_hashes(data: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of consecutive runs of bytes of the given sizes, some megabytes at a time."""
+    ends = np.cumsum(size)
+    out = np.empty(len(size), np.uint64)
+    lo = 0
+    while lo < len(size):
+        base = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, base + (1 << 20), "right")))
+        own = size[lo:hi]
+        first = ends[lo:hi] - own - base
+        at = np.arange(int(own.sum()), dtype=np.int64)
+        at -= np.repeat(first, own)
+        with np.errstate(over="ignore"):
+            terms = powers(int(own.max()))[at]
+            terms *= _BYTE[data[base : base + len(at)]]
+            out[lo:hi] = mix(np.add.reduceat(terms, first) + own.astype(np.uint64))
+        lo = hi
+    return out
+
+
 def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash every lower-cased word of every text.
 
@@ -150,13 +170,7 @@ def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
     if not len(starts):
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64), none, none
-    size = ends - starts
-    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    bytes_at = flat[inside]
-    with np.errstate(over="ignore"):
-        terms = _BYTE[bytes_at] * powers(int(size.max()))[at]
-        sums = np.add.reduceat(terms, np.cumsum(size) - size)
-        hashes = mix(sums + size.astype(np.uint64))
+    hashes = run_hashes(flat[inside], ends - starts)
     return hashes, np.searchsorted(starts, off).astype(np.int64), starts, ends
 
 

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import _BYTE, _LOWER, bound_batches, buffers, core, fold, mix, powers, session, written
+from lectern.llm.common import _LOWER, bound_batches, buffers, core, fold, mix, run_hashes, session, written
 from lectern.llm.decontaminate import member
 
 #: Bounds of the fitted part: characters of the sample, words counted in place, words with classes, tokens trained on.
@@ -47,11 +47,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     size = ends - starts
     hashes = np.zeros(0, np.uint64)
     if len(starts):
-        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        with np.errstate(over="ignore"):
-            terms = _BYTE[_LOWER[flat[inside]]] * powers(int(size.max()))[at]
-            hashes = mix(np.add.reduceat(terms, np.cumsum(size) - size) + size.astype(np.uint64))
-        hashes = np.maximum(hashes, np.uint64(1))  # 0 is END
+        hashes = np.maximum(run_hashes(_LOWER[flat[inside]], size), np.uint64(1))  # 0 is END
     out = np.empty(len(hashes) + n, np.uint64)
     out_off = own + np.arange(n + 1)
     ending = np.zeros(len(out), bool)

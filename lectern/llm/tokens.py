@@ -8,7 +8,7 @@ explicit rule. Encoding sections one by one would give other tokens at their bor
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,22 +28,33 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        import json
+
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
-        self.special = [x.content for x in self.slow.get_added_tokens_decoder().values()]
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            content = json.load(file)
+        vocabulary = content["model"]["vocab"]
+        self.special = {x["content"]: x["id"] for x in content["added_tokens"]}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(printable)]
         to_byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-        ranks = {bytes(to_byte[c] for c in t): i for t, i in self.slow.get_vocab().items() if t not in self.special}
+        ranks = {bytes(to_byte[c] for c in t): i for t, i in vocabulary.items() if t not in self.special}
         self.fast = tiktoken.Encoding("lectern", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.sizes = np.zeros(max(self.slow.get_vocab().values()) + 1, np.int64)
+        self.sizes = np.zeros(max([*ranks.values(), *self.special.values()]) + 1, np.int64)
         for t, i in ranks.items():
             self.sizes[i] = len(t)
-        for t in self.special:
-            self.sizes[self.slow.token_to_id(t)] = len(t.encode())
+        for t, i in self.special.items():
+            self.sizes[i] = len(t.encode())
+
+    @cached_property
+    def slow(self):
+        """The file's own library, loaded only where a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def __call__(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
