@@ -338,3 +338,24 @@ def test_sources(spark, tmp_path):
     page = parse("https://a.example/x/", '<html lang=en><meta name="citation_pdf_url" content="/p.pdf"><title> T </title><a href="y">t <b>u</b></a><a>n</a>')
     assert page["pdf_url"] == "https://a.example/p.pdf" and page["links"] == [{"href": "https://a.example/x/y", "text": "t u"}] and page["title"] == "T"
     assert parse(None, None)["links"] == [] and isinstance(pd.DataFrame([page]), pd.DataFrame)
+
+
+# Catalog
+
+
+def test_identities_labels_and_items(spark):
+    from lectern.operators import catalog as C
+
+    def cands(*c):
+        return F.array(*[F.struct(F.lit(r).alias("rung"), F.lit(k).alias("key")) for r, k in c])
+
+    assert tuple(one(spark, C.canonical_identity(cands((2, "b"), (1, "z"), (1, "y")), F.struct(F.lit(2).alias("rung"), F.lit("a").alias("key"))))) == (1, "y")
+    assert tuple(one(spark, C.canonical_identity(cands((1, "y")), F.struct(F.lit(1).alias("rung"), F.lit("z").alias("key"))))) == (1, "z")
+    assert tuple(one(spark, C.serving_key(F.lit("The Sun!"), F.array(F.lit("Bell, A.")), F.lit(2001)))) == ("sun", "bell", 2001)
+    verdicts = [one(spark, C.record_verdict(F.lit("Solar wind heating"), F.array(F.lit("A. Bell")), F.lit(x))) for x in ("SOLAR WIND by Bell", "solar wind by none", "rain by Bell")]
+    assert verdicts == ["MATCH", "MISMATCH", "MISMATCH"]
+    df = spark.createDataFrame([('[{"idx": 1, "score": 2}, {"idx": "x"}]',), ('bad {"idx": 0, "score": "inf"} {"idx"',), (None,)], "r string")
+    got = [[tuple(x) for x in r["x"]] for r in df.select(C.judged_items("r").alias("x")).collect()]
+    assert got == [[(1, 1.0)], [(0, 0.0)], []]
+    text = spark.createDataFrame([("Title\nAbstract: We see\nthings.\n1. Introduction\nMore",), ("none",), (None,)], "t string")
+    assert [r["x"] for r in text.select(C.labelled_abstract("t").alias("x")).collect()] == ["We see things.", None, None]
