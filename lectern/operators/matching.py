@@ -54,9 +54,9 @@ def identity_ladder(rows: DataFrame, records: DataFrame, rungs: Sequence[tuple[s
 def lenient_match(wanted: DataFrame, served: DataFrame, jaccard: float = 0.8, least: int = 4) -> DataFrame:
     """(want_id, hit): DOI equality, containment of the shorter title of `least` words or more, or token Jaccard.
 
-    Candidates share a DOI or a title token; each pair is then verified. Tokens in more than a
-    hundredth of the served titles block only together with another, via the rarest tokens that
-    a Jaccard of the threshold or containment must share.
+    Candidates share a DOI; or one of the served title's rarest words, as many as a Jaccard of the
+    threshold cannot all miss (containment of the served title shares all of them); or the wanted
+    title's rarest inner word, which containment in a served title must share. Each is then verified.
     """
     def prepared(df: DataFrame, ident: str, p: str) -> DataFrame:
         title = normalize_title(F.col("title"))
@@ -64,11 +64,14 @@ def lenient_match(wanted: DataFrame, served: DataFrame, jaccard: float = 0.8, le
 
     a, b = prepared(wanted, "want_id", "a_"), prepared(served, "key", "b_")
     frequency = b.select(F.explode(F.array_distinct("b_words")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    # a match by title shares the rarest served token of one of the two titles
-    rare_b = b.select("key", F.explode(F.array_distinct("b_words")).alias("w")).join(frequency, "w").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("o"))
+    every = b.select("key", F.explode(F.array_distinct("b_words")).alias("w"))
+    ordered = every.join(frequency, "w").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("o"))
     prefix = F.greatest(F.lit(1), F.size("o") - F.ceil(F.size("o") * jaccard).cast("int") + 1)
-    blocks_b = rare_b.select("key", F.explode(F.slice("o", F.lit(1), prefix)).alias("x")).select("key", "x.w").union(b.select("key", F.explode(F.array_distinct("b_words")).alias("w")).join(frequency.where("n <= 100"), "w", "left_semi").select("key", "w"))
-    by_word = a.select("want_id", F.explode(F.array_distinct("a_words")).alias("w")).join(blocks_b.distinct(), "w").select("want_id", "key")
+    rare = ordered.select("key", F.explode(F.slice("o", F.lit(1), prefix)).alias("x")).select("key", "x.w")
+    by_prefix = a.select("want_id", F.explode(F.array_distinct("a_words")).alias("w")).join(rare, "w").select("want_id", "key")
+    inner = a.where(F.size("a_words") >= max(least, 3)).select("want_id", F.explode(F.array_distinct(F.slice("a_words", F.lit(2), F.size("a_words") - 2))).alias("w")).join(frequency, "w")
+    by_inner = inner.groupBy("want_id").agg(F.min_by("w", F.struct("n", "w")).alias("w")).join(every, "w").select("want_id", "key")
+    by_word = by_prefix.union(by_inner)
     by_doi = a.where("a_doi <> ''").join(b.where("b_doi <> ''"), F.col("a_doi") == F.col("b_doi")).select("want_id", "key")
     pairs = by_word.union(by_doi).distinct().join(a, "want_id").join(b, "key")
     shorter = F.when(F.size("a_words") <= F.size("b_words"), F.col("a_title")).otherwise(F.col("b_title"))

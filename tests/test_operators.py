@@ -155,6 +155,23 @@ def test_ambiguous_titles_resolve_to_nothing(spark):
     assert [(r["stub_id"], r["doi"]) for r in M.title_to_doi(stub, found).collect()] == [(1, "10.1/A")]
 
 
+def test_lenient_matches_lose_nothing(spark):
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(12)]
+    served = [(k, " ".join(rng.choice(words, rng.integers(2, 12))), f"10.1/{k}" if k % 9 == 0 else "") for k in range(150)]
+    wanted = [(k, " ".join(rng.choice(words, rng.integers(2, 8))), f"10.1/{k}" if k % 5 == 0 else "") for k in range(60)]
+    wanted += [(100 + k, " ".join(served[k][1].split()[1:-1]), "") for k in range(40)]
+
+    def hit(x, y):
+        p, q = x[1].split(), y[1].split()
+        short, long = sorted((p, q), key=len)
+        return x[2] and x[2] == y[2] or len(short) >= 4 and " ".join(short) in " ".join(long) or p and q and len(set(p) & set(q)) / len(set(p) | set(q)) >= 0.8
+
+    a, b = spark.createDataFrame(wanted, "want_id long, title string, doi string"), spark.createDataFrame(served, "key long, title string, doi string")
+    got = {r["want_id"]: r["hit"] for r in M.lenient_match(a, b).collect()}
+    assert got == {x[0]: min((y[0] for y in served if hit(x, y)), default=None) for x in wanted}
+
+
 def test_twins_need_opposite_identifiers(spark):
     schema = "title string, authors array<string>, year int, doi string, arxiv_id string"
     new = spark.createDataFrame([(1, "The Solar Wind", ["A. Bell", "C. Day"], 2003, "10.1/a", ""), (2, "The Solar Wind", ["A. Bell"], 2003, "10.1/b", "2001.00001")], "new_id int, " + schema)
