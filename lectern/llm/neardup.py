@@ -234,8 +234,8 @@ def compared(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, words: int = W
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}, sim double")
 
 
-def unshared(nodes: DataFrame, texts: DataFrame, idf: np.ndarray, words: int = WORDS) -> DataFrame:
-    """(node, unshared): the weight of shingles that no other of these texts holds."""
+def weighed(nodes: DataFrame, texts: DataFrame, idf: np.ndarray, words: int = WORDS) -> DataFrame:
+    """(shingle, node, w): each distinct shingle of these texts and its weight there."""
     shared = session(texts).sparkContext.broadcast(idf.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,19 +248,49 @@ def unshared(nodes: DataFrame, texts: DataFrame, idf: np.ndarray, words: int = W
                 yield pa.RecordBatch.from_arrays([pa.array(shingles[part].view(np.int64)), batch.column(0).take(pa.array(node[part])), pa.array(weight[part].astype(np.float32))], ["shingle", "node", "w"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    rows = texts.join(nodes, F.col("id") == F.col("node"), "left_semi").select("id", "text").mapInArrow(run, f"shingle long, node {kind}, w float")
+    return texts.join(nodes, F.col("id") == F.col("node"), "left_semi").select("id", "text").mapInArrow(run, f"shingle long, node {kind}, w float")
+
+
+def unshared(nodes: DataFrame, texts: DataFrame, idf: np.ndarray, words: int = WORDS) -> DataFrame:
+    """(node, unshared): the weight of shingles that no other of these texts holds."""
+    rows = weighed(nodes, texts, idf, words)
     alone = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"), F.max("w").alias("w")).where("node = last")
     return alone.groupBy("node").agg(F.sum(F.col("w").cast("double")).alias("unshared"))
 
 
+def alike(able: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float, words: int = WORDS) -> DataFrame:
+    """Pairs (a, b) of nodes of different components, none of the wanted similarity left out.
+
+    `able` has node, comp and weight (of several texts the least). Shingles are ordered by the number
+    of these texts that hold them, rarest first; what two texts have in common weighs no more than the
+    rest of either from their first common shingle on. So they share a shingle whose rest is heavy
+    enough in both. Shingles of a single text are in no pair.
+    """
+    slack = 1e-5  # weights are summed as 32-bit floats
+    rows = written(weighed(able.select("node"), texts, idf, words).groupBy("shingle", "node").agg(F.max("w").alias("w")), "weighed")
+    held = rows.groupBy("shingle").agg(F.count("*").alias("held"))
+    common_first = Window.partitionBy("node").orderBy(F.desc("held"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.join(held, "shingle").where("held > 1").withColumn("rest", F.sum(F.col("w").cast("double")).over(common_first))
+    starts = ranked.join(able, "node").where(F.col("rest") >= (similarity - slack) * F.col("weight"))
+    starts = written(starts.select("shingle", "node", "comp", "weight", "rest"), "starts")
+    one, two = (starts.select("shingle", *[F.col(c).alias(f"{c}{k}") for c in ("node", "comp", "weight", "rest")]) for k in (1, 2))
+    enough = F.least("rest1", "rest2") >= (similarity / (1 + similarity) - slack) * (F.col("weight1") + F.col("weight2"))
+    both = one.join(two, "shingle").where((F.col("node1") < F.col("node2")) & (F.col("comp1") != F.col("comp2")) & enough)
+    out = written(both.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct(), "alike")
+    dropped(rows)
+    dropped(starts)
+    return out
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each distinct non-null id: id_col and class_id, the smallest id of its class.
 
     A class is a connected component of links between texts of at least this weighted Jaccard
     similarity; texts with the same bag of shingles are one node, so copies are never expanded into
     pairs. A band's bucket is resolved without all pairs: members are compared with its smallest
-    one; as long as a bucket still holds several components, every member is compared with the
-    smallest member of each other component in it.
+    one; where a bucket still holds several components, every member is compared with the smallest
+    member of each other component in it; and of what is then still apart, all pairs are compared
+    but those that an exact bound excludes, so that no link between texts of one bucket is missed.
 
     Words are runs of letters, digits and non-ASCII characters in lower case; a text of 1 to
     words - 1 words is one shingle. Texts without words, null and empty ones among them, match only
@@ -310,9 +340,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     once = (F.col("bucket") == F.array_min(F.array_intersect("buckets", "_buckets"))) & (~(F.col("single") & F.col("_single")) | (F.col("node") < F.col("head")))
     pairs = labelled.join(heads, (F.col("bucket") == F.col("_bucket")) & (F.col("comp") != F.col("other")) & near & able & once).select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
     fresh = written(pairs.join(tried, ["a", "b"], "left_anti"), "fresh")
-    # no second round: merged components have the heads of old ones, so it would give no new pair
+    # merged components have the heads of old ones, so that another such round would give no new pair
     more = written(compared(fresh, texts, idf, words).where(F.col("sim") >= similarity).select("a", "b"), "more")
     comps = components(links.union(more))
+    # the rest exactly: members of components of a bucket that are still apart, whichever their heads are
+    labelled = spaced.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
+    open_ = labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
+    least = nodes.groupBy("node").agg(F.min("weight").alias("weight"))
+    apart = written(labelled.join(open_, "bucket", "left_semi").select("node", "comp").distinct().join(least, "node"), "apart")
+    last = alike(apart, texts, idf, similarity, words).join(tried, ["a", "b"], "left_anti").join(fresh, ["a", "b"], "left_anti")
+    found = written(compared(last, texts, idf, words).where(F.col("sim") >= similarity).select("a", "b"), "found")
+    if found.limit(1).count():
+        comps = components(links.union(more).union(found))
     dropped(members)
     dropped(spaced)
     dropped(texts)

@@ -66,6 +66,29 @@ def test_classes_match_brute_force(spark, docs):
         assert all(got[a] == find(a) for a in ids)
 
 
+def chained(seed, own=30):
+    """Two groups far apart and a link between two texts at their rims, each of which has nearer texts of its group in every bucket."""
+    base = prose(400, seed).split()
+    spots = [int((i + 0.5) * 400 / 22) for i in range(22)]
+
+    def text(steps, extra=None):
+        words = list(base)
+        for k in range(2 * steps):
+            words[spots[k]] = f"other{k}"
+        if extra is not None:
+            words[spots[20] + extra % 3] = f"own{extra}"
+        return " ".join(words)
+
+    return [(k, text(0, k)) for k in range(own)] + [(100 + k, text(10, 100 + k)) for k in range(own)] + [(500, text(3)), (501, text(7))]
+
+
+def test_links_between_texts_that_head_no_bucket_are_found(spark, docs):
+    for seed in (40, 63, 129):
+        rows = chained(seed)
+        got = {r["doc_id"]: r["class_id"] for r in near_duplicates(docs(rows)).collect()}
+        assert set(got.values()) == {0}, seed
+
+
 def test_odd_rows_of_near_duplicates(spark, docs):
     text = prose(60, 1)
     rows = [(1, text), (2, text), (2, text), (3, None), (4, ""), (5, "two words"), (6, "Two  words."), (7, "!!!"), (8, "???"), (None, text), (9, "long " * 60000), (10, "long " * 60000)]
