@@ -2,8 +2,9 @@
 
 After the detectors, corpus co-occurrence tells which terms give an entity away: the share of an
 entity's information content that seeing a term near it removes, PMI(entity; term) / IC(entity),
-is estimated over all documents. Terms at or above the disclosure threshold are generalised, those
-near certainty removed. DataFrame functions only.
+is estimated over all documents, smoothed, so that rare entities have terms too. Every occurrence of
+a term at or above the disclosure threshold is generalised, near certainty removed. DataFrame
+functions only.
 
 Arrays of a text's matches are bounded by the text; nothing gathers matches across texts but sums.
 """
@@ -26,7 +27,11 @@ PATTERNS = {
 #: What a text must hold for a detector to be worth running.
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 #: Characters looked at on either side of an entity; distinct contexts that must show a term with it; thresholds.
-REACH, CONTEXTS, DISCLOSES, REVEALS = 80, 3, 0.9, 0.98
+REACH, CONTEXTS, DISCLOSES, REVEALS = 80, 1, 0.9, 0.98
+#: Matches of a kind have 5 characters at least: so many matches and pieces on a side hold REACH characters.
+_BESIDE = REACH // 5
+#: Disclosing terms up to this number are broadcast (8 bytes each), more are joined by a shuffle.
+_FEW = 200_000
 _NEAR_TERM = r"(?<=\s)\p{L}[\p{L}\p{M}]{2,}+(?=[.,;:!?]{0,3}\s)"
 _ANY_TERM = r"(?<!\S)\p{L}[\p{L}\p{M}]{2,}+(?=[.,;:!?]{0,3}(?:\s|$))"
 _BLOCK = 256
@@ -78,6 +83,18 @@ def detected(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         size = F.transform(m, lambda x, i: F.length(F.get(p, i)) + F.length(x))
         out = out.withColumn("_s", F.when(F.size(m) > 0, running(size)))
         s = F.col("_s")
+        # text beside a match, also past other matches of its kind; a space stands for the text's edge
+        before = F.zip_with(p, m, lambda a, b: F.concat(F.right(a, F.lit(REACH)), F.right(F.coalesce(b, F.lit("")), F.lit(REACH))))
+        after = F.zip_with(m, F.slice(p, 2, F.size(m)), lambda b, a: F.concat(F.left(b, F.lit(REACH)), F.left(a, F.lit(REACH))))
+        out = out.withColumns({"_l": F.when(F.size(m) > 0, before), "_r": F.when(F.size(m) > 0, after)})
+
+        def left(i: Column) -> Column:
+            near = F.array_join(F.slice("_l", F.greatest(i - _BESIDE, F.lit(0)) + 1, F.least(i, F.lit(_BESIDE))), "")
+            return F.right(F.concat(F.when(i <= _BESIDE, " ").otherwise(""), near, F.right(F.get(p, i), F.lit(REACH))), F.lit(REACH))
+
+        def right(i: Column) -> Column:
+            near = F.array_join(F.slice("_r", i + 2, F.lit(_BESIDE)), "")
+            return F.left(F.concat(F.left(F.get(p, i + 1), F.lit(REACH)), near, F.when(i + _BESIDE + 1 >= F.size(m), " ").otherwise("")), F.lit(REACH))
 
         def span(x: Column, i: Column) -> Column:
             start = F.get(s, i) + F.length(F.get(p, i))
@@ -85,50 +102,67 @@ def detected(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 start.cast("long").alias("start"),
                 (start + F.length(x)).cast("long").alias("end"),
                 x.alias("value"),
-                F.right(F.get(p, i), F.lit(REACH)).alias("left"),
-                F.left(F.get(p, i + 1), F.lit(REACH)).alias("right"),
+                left(i).alias("left"),
+                right(i).alias("right"),
             )
 
         spans = F.filter(F.transform(m, span), lambda x: _passes(kind, x["value"]))
         empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string,left:string,right:string>>")
-        out = out.withColumn(kind, F.when(F.size(m) > 0, spans).otherwise(empty)).drop("_m", "_p", "_s")
+        out = out.withColumn(kind, F.when(F.size(m) > 0, spans).otherwise(empty)).drop("_m", "_p", "_s", "_l", "_r")
     return out.drop("text")
 
 
 def occurrences(found: DataFrame) -> DataFrame:
-    """Terms near entities: (key, entity, context, term, start, end), at most some 2 * REACH / 4 for each entity."""
-    every = F.flatten(F.array(*[F.transform(k, lambda x: F.struct(F.xxhash64(F.lit(k), F.lower(x["value"])).alias("entity"), x["start"].alias("from"), x["end"].alias("to"), x["left"].alias("left"), x["right"].alias("right"))) for k in KINDS]))
+    """Terms near entities: (key, entity, context, term), at most some 2 * REACH / 4 for each entity."""
+    every = F.flatten(F.array(*[F.transform(k, lambda x: F.struct(F.xxhash64(F.lit(k), F.lower(x["value"])).alias("entity"), x["left"].alias("left"), x["right"].alias("right"))) for k in KINDS]))
     one = found.where(" OR ".join(f"size({k}) > 0" for k in KINDS)).select("key", F.inline(every)).withColumn("context", F.xxhash64("left", "entity", "right"))
-    sides = []
-    for side in ("left", "right"):
-        matches, pieces = located(F.col(side), _NEAR_TERM)
-        at = one.withColumns({"_m": matches, "_p": pieces}).where(F.size("_m") > 0)
-        m, p = F.col("_m"), F.col("_p")
-        at = at.withColumn("_s", running(F.transform(m, lambda x, i: F.length(F.get(p, i)) + F.length(x))))
-        base = F.col("from") - F.length("left") if side == "left" else F.col("to")
-        terms = F.transform(m, lambda x, i: F.struct(F.lower(x).alias("term"), (base + F.get(F.col("_s"), i) + F.length(F.get(p, i))).alias("start"), F.length(x).alias("size")))
-        sides.append(at.select("key", "entity", "context", F.inline(terms)))
-    both = sides[0].union(sides[1])
-    return both.select("key", "entity", "context", "term", "start", (F.col("start") + F.col("size")).alias("end"))
+    terms = F.concat(*[F.regexp_extract_all(F.lower(F.col(side)), F.lit(_NEAR_TERM), F.lit(0)) for side in ("left", "right")])
+    return one.select("key", "entity", "context", F.explode(F.array_distinct(terms)).alias("term"))
+
+
+def everywhere(docs: DataFrame, words: DataFrame, shares: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, start, end, share): all occurrences of the terms of `shares` (word, share), wherever they stand.
+
+    `words` are the (key, word) of all documents. Only texts that hold one of the terms are searched.
+    """
+    marked = F.broadcast(shares) if shares.limit(_FEW + 1).count() <= _FEW else shares
+    own = words.join(marked, "word").groupBy("key").agg(F.collect_set(F.struct("word", "share")).alias("_shares"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    keyed = docs.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("key"), text.alias("text"))
+    matches, pieces = located(F.col("text"), _ANY_TERM)
+    at = keyed.join(own, "key").withColumns({"_m": matches, "_p": pieces})
+    m, p = F.col("_m"), F.col("_p")
+    at = at.withColumn("_s", running(F.transform(m, lambda x, i: F.length(F.get(p, i)) + F.length(x))))
+    all_terms = F.transform(m, lambda x, i: F.struct(F.xxhash64(F.lower(x)).alias("word"), (F.get(F.col("_s"), i) + F.length(F.get(p, i))).cast("long").alias("start"), F.length(x).alias("size")))
+    placed = at.select("key", F.map_from_entries("_shares").alias("_share_of"), F.inline(F.filter(all_terms, lambda x: F.array_contains(F.transform("_shares", lambda s: s["word"]), x["word"]))))
+    return placed.select("key", "start", (F.col("start") + F.col("size")).alias("end"), F.element_at("_share_of", F.col("word")).alias("share"))
+
+
+def distinct_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, word): each row and the hashes of the terms in it."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_ANY_TERM), F.lit(0)))
+    return docs.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("key"), F.explode(words).alias("w")).select("key", F.xxhash64("w").alias("word"))
 
 
-def disclosing(docs: DataFrame, near: DataFrame, found: DataFrame, text_col: str, contexts: int = CONTEXTS, discloses: float = DISCLOSES) -> DataFrame:
+def disclosing(words: DataFrame, near: DataFrame, found: DataFrame, contexts: int = CONTEXTS, discloses: float = DISCLOSES) -> DataFrame:
     """(entity, term, share): terms that remove at least the share `discloses` of an entity's information content.
 
-    share = log(n_et * N / (n_e * n_t)) / log(N / n_e), by documents of the whole corpus: N in all,
-    n_e with the entity, n_t with the term, n_et with the term near the entity. A pair must stand in
-    `contexts` distinct contexts, so that copies of one text do not make evidence.
+    share = log(p * N / n_e) / log(N / n_e), by documents of the whole corpus: N in all, n_e with the
+    entity, n_t with the term. p, the probability of the entity given the term, is
+    (n_et + 1) / (n_t + 2) by the rule of succession, with n_et the distinct contexts, one a document,
+    that show the term near the entity: a single sight is weak evidence, not none, and copies of one
+    text, which add to n_t alone, speak against the term. A pair must stand in `contexts` contexts.
     """
     seen = near.groupBy("entity", "term", "key").agg(F.min("context").alias("context")).groupBy("entity", "term")
-    pairs = written(seen.agg(F.count("*").alias("n_et"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= contexts).select("entity", "term", "n_et"), "pairs")
+    pairs = written(seen.agg(F.count_distinct("context").alias("n_et")).where(F.col("n_et") >= contexts), "pairs")
     entities = found.select("key", F.explode(F.array_distinct(F.flatten(F.array(*[F.transform(k, lambda x: F.xxhash64(F.lit(k), F.lower(x["value"]))) for k in KINDS])))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(f"`{text_col}`")), F.lit(_ANY_TERM), F.lit(0)))).alias("w")).select(F.xxhash64("w").alias("word"))
     terms = words.groupBy("word").agg(F.count("*").alias("n_t"))
     n = found.agg(F.count("*").alias("n"))
     wanted = pairs.withColumn("word", F.xxhash64("term"))
     both = wanted.join(entities, "entity").join(terms, "word").join(F.broadcast(n))  # one row
     content = F.log2(F.col("n") / F.col("n_e"))
-    mutual = F.log2(F.least(F.col("n_et"), F.col("n_t")) * F.col("n") / (F.col("n_e") * F.col("n_t")))
+    mutual = content + F.log2((F.least(F.col("n_et"), F.col("n_t")) + 1) / (F.col("n_t") + 2))
     share = both.withColumn("share", F.when(content > 0, mutual / content))
     return share.where(F.col("share") >= discloses).select("entity", "term", "share")
 
@@ -142,8 +176,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     found = written(detected(docs, id_col, text_col), "found")
     near = written(occurrences(found), "near")
-    pairs = disclosing(docs, near, found, text_col, contexts, discloses)
-    shown = near.join(pairs, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("share").alias("share"))
+    words = distinct_words(docs, id_col, text_col)
+    pairs = disclosing(words, near, found, contexts, discloses)
+    shares = written(pairs.groupBy(F.xxhash64("term").alias("word")).agg(F.max("share").alias("share")), "shares")
+    shown = everywhere(docs, words, shares, id_col, text_col).distinct()
     by_row = shown.groupBy("key").agg(
         F.array_sort(F.collect_list(F.struct("start", "end", F.when(F.col("share") >= reveals, "remove").otherwise("generalise").alias("action")))).alias("term")
     ).withColumnRenamed("key", "_key")

@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from lectern.llm.pii import KINDS, digest, personal_data, sanitised
+from lectern.llm.pii import KINDS, detected, digest, personal_data, sanitised
 
 # the detectors as they are specified, for the brute-force comparison
 PLAIN = {
@@ -78,3 +78,22 @@ def test_sanitised_texts(spark, docs):
     got = {r["doc_id"]: r["text"] for r in out.collect()}
     assert out.columns == docs([]).columns and got[500] is None and got[100] == "The chief wrote on a day in that year ."
     assert got[3] in ("Year 3: chief  wrote to [EMAIL] on day 3 of it.", "Year 3: chief [TERM] wrote to [EMAIL] on day 3 of it.")
+
+
+def test_rare_entities_have_terms_and_all_their_occurrences_are_marked(spark, docs):
+    rows = [(1, "Zorblatt wrote to boss@corp.example, then a@b.cc left"), (2, "Zorblatt: he " + "far off " * 30 + "and at last came Zorblatt"), (4, "ask c@d.ee or Quuxley")]
+    rows += [(100 + i, f"Then came the war, and he left or wrote: ask of it at last in year {i}, far off.") for i in range(3000)]
+    got = {r["doc_id"]: r for r in digest(personal_data(docs(rows))).collect()}
+    assert [terms(got[i], t) for i, t in rows[:3]] == [["Zorblatt"], ["Zorblatt"] * 2, ["Quuxley"]]
+    assert not any(terms(got[i], t) for i, t in rows[3:])
+    out = {r["doc_id"]: r["text"] for r in sanitised(docs(rows)).where("doc_id < 100").collect()}
+    assert not any("Zorblatt" in t or "Quuxley" in t for t in out.values())
+
+
+def test_contexts_reach_past_other_entities_and_to_the_text_s_edges(spark, docs):
+    row = detected(docs([(1, "Chief a@b.cc x@y.zz boss@corp.example of all"), (2, "x" * 90 + " q@w.ee " + "y" * 90), (3, "k@l.mm " * 40)]), "doc_id", "text").collect()
+    got = {r["id"]: [(x["left"], x["right"]) for x in r["email"]] for r in row}
+    assert got[1][2] == (" Chief a@b.cc x@y.zz ", " of all ") and got[1][0] == (" Chief ", " x@y.zz boss@corp.example of all ")
+    assert got[2] == [("x" * 79 + " ", " " + "y" * 79)]
+    text = " " + "k@l.mm " * 40 + " "
+    assert got[3] == [(text[max(0, 7 * i - 79) : 7 * i + 1], text[7 * i + 7 :][:80]) for i in range(40)]
