@@ -29,18 +29,26 @@ ITEMS_A_PASS = 5000
 _SCALE = 64
 
 
+def counted(hashes: np.ndarray, off: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Items that have words, their distinct words in order, and how many items hold each."""
+    seen = [np.unique(hashes[a:b]) for a, b in zip(off[:-1], off[1:], strict=True) if b > a]
+    return len(seen), *np.unique(np.concatenate(seen) if seen else np.zeros(0, np.uint64), return_counts=True)
+
+
 class Index:
-    """What a pass needs of its items; its size is bounded by ITEMS_A_PASS and the items' lengths."""
+    """What a pass needs of its items; its size is bounded by ITEMS_A_PASS and the items' lengths.
 
-    def __init__(self, ids: list, texts: list[str]):
+    `known`: the word counts of the whole benchmark, if there are other passes, so that a word weighs
+    the same in each.
+    """
+
+    def __init__(self, ids: list, texts: list[str], known: tuple[int, bytes, bytes] | None = None):
         hashes, off, _, _ = word_hashes(pa.array(texts, pa.string()))
         keep = np.flatnonzero(np.diff(off) > 0)
         self.ids = [ids[i] for i in keep]
         self.words = [hashes[off[i] : off[i + 1]] for i in keep]
         self.sizes = np.array([len(w) for w in self.words], np.int64)
-        seen = [np.unique(w) for w in self.words]
-        self.vocabulary, there = np.unique(np.concatenate(seen) if seen else np.zeros(0, np.uint64), return_counts=True)
-        items = len(self.ids)
+        items, self.vocabulary, there = counted(hashes, off) if known is None else (known[0], np.frombuffer(known[1], np.uint64), np.frombuffer(known[2], np.int64))
         self.unseen = int(round(_SCALE * np.log1p(items)))
         self.weights = np.round(_SCALE * np.log1p(items / (1.0 + there))).astype(np.int64)
         self.prints = np.array([self.fingerprints(w, np.array([0]), len(w))[0] for w in self.words], np.uint64)
@@ -167,19 +175,37 @@ def member(values: np.ndarray, sorted_set: np.ndarray, bits: int = 22) -> np.nda
 
 
 @lru_cache(maxsize=2)
-def _index(ids: tuple, texts: tuple) -> Index:
-    return Index(list(ids), list(texts))
+def _index(ids: tuple, texts: tuple, known: tuple[int, bytes, bytes] | None) -> Index:
+    return Index(list(ids), list(texts), known)
+
 
+def passes(benchmark: DataFrame, item_col: str, text_col: str, items_a_pass: int) -> Iterator[tuple[tuple, tuple, tuple | None]]:
+    """The items in blocks of about items_a_pass, each small enough for a broadcast, and the word counts of all.
 
-def passes(benchmark: DataFrame, item_col: str, text_col: str, items_a_pass: int) -> Iterator[tuple[tuple, tuple]]:
-    """The items in blocks of at most items_a_pass, each small enough for a broadcast."""
+    The counts, 16 bytes for each distinct word of the benchmark, go with every block; of a single
+    block they are its own and left out.
+    """
     items = core(benchmark, item_col, text_col).where(F.col(f"`{item_col}`").isNotNull() & (F.length(F.trim(F.col(f"`{text_col}`"))) > 0)).distinct()
     n = items.count()
     blocks = -(-n // items_a_pass)
-    for b in range(blocks):
+
+    def block(b: int) -> tuple[tuple, tuple]:
         rows = (items if blocks == 1 else items.where(F.pmod(F.xxhash64(item_col, text_col), F.lit(blocks)) == b)).collect()
         rows = sorted(((r[0], r[1]) for r in rows), key=str)
-        yield tuple(r[0] for r in rows), tuple(r[1] for r in rows)
+        return tuple(r[0] for r in rows), tuple(r[1] for r in rows)
+
+    known = None
+    if blocks > 1:
+        total, words, counts = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for b in range(blocks):
+            hashes, off, _, _ = word_hashes(pa.array(block(b)[1], pa.string()))
+            n_items, own, there = counted(hashes, off)
+            total += n_items
+            words, at = np.unique(np.concatenate([words, own]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, there]), len(words)).astype(np.int64)
+        known = (total, words.tobytes(), counts.tobytes())
+    for b in range(blocks):
+        yield *block(b), known
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
@@ -195,8 +221,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     item_type = benchmark.schema[item_col].dataType
     schema = f"`{id_col}` {id_type}, `{item_col}` {item_type.simpleString()}, start long, words long, hamming int, similarity double"
     out = spark.createDataFrame([], schema)
-    for ids, texts in passes(benchmark, item_col, item_text_col, items_a_pass):
-        shared = spark.sparkContext.broadcast((ids, texts))
+    for ids, texts, known in passes(benchmark, item_col, item_text_col, items_a_pass):
+        shared = spark.sparkContext.broadcast((ids, texts, known))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = _index(*shared.value)
@@ -219,8 +245,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     bound_batches(spark)
     at = docs.columns.index(text_col)
     out = docs
-    for ids, texts in passes(benchmark, item_col, item_text_col, items_a_pass):
-        shared = spark.sparkContext.broadcast((ids, texts))
+    for ids, texts, known in passes(benchmark, item_col, item_text_col, items_a_pass):
+        shared = spark.sparkContext.broadcast((ids, texts, known))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = _index(*shared.value)

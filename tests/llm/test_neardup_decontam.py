@@ -157,6 +157,15 @@ def test_leaks_are_found_and_clean_documents_stay(spark, docs):
     assert leaks(docs([]), bench).count() == 0 and leaks(docs(rows), bench.limit(0)).count() == 0
 
 
+def test_passes_give_the_same_leaks_as_one(spark, docs):
+    common = prose(8, 400)
+    items = [(k, common + " " + prose(22, 300 + k)) for k in range(12)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(k, prose(20, k) + " " + edited(t, 1, k) + " " + prose(20, 90 + k)) for k, t in items] + [(50 + k, t) for k, t in items]
+    one, many = (sorted(map(tuple, leaks(docs(rows), bench, similarity=0.6, items_a_pass=n).collect())) for n in (5000, 3))
+    assert one == many and len(one) >= 12
+
+
 def test_the_index_finds_every_fingerprint_in_the_radius():
     index = Index(list(range(40)), [prose(30, k) for k in range(40)])
     r = np.random.default_rng(2)
