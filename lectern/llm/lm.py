@@ -1,20 +1,25 @@
 """Language-model scoring: a gated recurrent network with a class-factored softmax, in numpy.
 
-The network is trained by truncated backpropagation through time on a bounded sample and scores
-whole documents, its state carried from window to window. The most frequent words have classes of
-their own; every other word is in one further class, inside which its probability follows its
-count over all training documents. The model is a distribution over all texts, unseen words
-included.
-
-Counts are exact over the whole training corpus. Words in a broadcast table of fixed size are
-counted in place; all others travel as (word hash, row, times) and meet their count in a window
-over the hash, from which each row's sums come back.
+The network scores whole documents, its state carried from window to window. The most frequent
+words of the training corpus have classes of their own; every other word is in one further class,
+inside which its probability follows its count over all training documents. The model is a
+distribution over all texts, unseen words included.
+
+Training grows with the corpus. Word counts, and with them the words with classes and all biases,
+are exact over all training documents. Weights come from truncated backpropagation through time:
+first on a small common sample, then in every partition over its share of the corpus's pieces, after
+which the partitions' weights are averaged by the tokens they have seen.
+
+Frequent words, a fixed number of them, are looked up in a broadcast table; all others travel as
+(word hash, row, times) and meet their exact count in a join, from which each row's sums come back.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +27,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import _LOWER, bound_batches, buffers, core, fold, mix, run_hashes, session, written
+from lectern.llm.common import _LOWER, bound_batches, buffers, fold, run_hashes, session, written
 from lectern.llm.decontaminate import member
 
-#: Bounds of the fitted part: characters of the sample, words counted in place, words with classes, tokens trained on.
-SAMPLE_CHARS, TABLE, CLASSES, CLASS_SIZE, TRAIN_TOKENS = 12_000_000, 16_384, 32, 32, 600_000
+#: Words in the broadcast table (16 bytes each), and words with classes, CLASSES of CLASS_SIZE.
+TABLE, CLASSES, CLASS_SIZE = 1 << 18, 32, 32
+#: Characters that all weights start from, the share of the corpus that partitions then learn from, and a piece's length.
+START_CHARS, SHARE, PIECE = 2_000_000, 0.125, 20_000
+#: Partitions whose weights are summed in one task.
+PARTY = 64
 HIDDEN, BUCKETS, WINDOW, LANES = 24, 128, 32, 128
 END = np.uint64(0)
 _BREAK = np.zeros(256, bool)
@@ -183,6 +192,68 @@ def network_scores(model: Model, hashes: np.ndarray, off: np.ndarray) -> np.ndar
     return out
 
 
+def primed(model: Model, counts: np.ndarray, total: int) -> Model:
+    """The model with the biases that the corpus's counts of `words` and of all tokens give; places without a word are shut."""
+    per = np.zeros(CLASSES * CLASS_SIZE)
+    per[: model.explicit] = counts[: model.explicit]
+    shut = np.arange(len(per)) >= model.explicit
+    w = {k: v.copy() for k, v in model.weights.items()}
+    w["wb"][:] = np.where(shut, -60, np.log(per + 0.5)).reshape(CLASSES, CLASS_SIZE)
+    w["cb"][:] = np.log(np.append(per.reshape(CLASSES, CLASS_SIZE).sum(1), total - per.sum()) + 0.5)
+    w["cb"][:-1][shut.reshape(CLASSES, CLASS_SIZE).all(1)] = -60
+    return Model(model.words, w)
+
+
+def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, reset: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Gradients of the mean negative log probability of a window's targets, and the state after it."""
+    n = HIDDEN
+    past, cache, states = [], [], np.empty((len(x), x.shape[1], n), h.dtype)
+    for t in range(len(x)):
+        h = np.where(reset[t][:, None], 0, h).astype(h.dtype)
+        past.append(h)
+        h, kept = step(w, x[t], h)
+        cache.append(kept)
+        states[t] = h
+    after = h
+    g = {k: np.zeros_like(v) for k, v in w.items()}
+    real = y > -2
+    s, target = states[real], y[real]
+    m = max(len(s), 1)
+    cls = np.where(target >= 0, target // CLASS_SIZE, CLASSES)
+    d = np.exp(_log_softmax(s @ w["c"] + w["cb"]))
+    d[np.arange(len(s)), cls] -= 1
+    d /= m
+    g["c"], g["cb"] = s.T @ d, d.sum(0)
+    ds = d @ w["c"].T
+    for k in np.unique(cls[cls < CLASSES]):
+        at = np.flatnonzero(cls == k)
+        e = np.exp(_log_softmax(s[at] @ w["w"][k] + w["wb"][k]))
+        e[np.arange(len(at)), target[at] % CLASS_SIZE] -= 1
+        e /= m
+        g["w"][k], g["wb"][k] = s[at].T @ e, e.sum(0)
+        ds[at] += e @ w["w"][k].T
+    back = np.zeros((len(x), x.shape[1], n), h.dtype)
+    back[real] = ds
+    dh = np.zeros_like(h)
+    dx = np.empty((len(x), x.shape[1], 3 * n), h.dtype)
+    for t in range(len(x) - 1, -1, -1):
+        z, r, new, gh = cache[t]
+        dh = dh + back[t]
+        dnew = dh * (1 - z) * (1 - new * new)
+        dz = dh * (past[t] - new) * z * (1 - z)
+        dr = dnew * gh[:, 2 * n :] * r * (1 - r)
+        dx[t] = np.concatenate([dz, dr, dnew], 1)
+        dg = np.concatenate([dz, dr, dnew * r], 1)
+        g["u"] += past[t].T @ dg
+        dh = dh * z + dg @ w["u"].T
+        dh[reset[t]] = 0
+    flat = x.ravel()
+    order = np.argsort(flat, kind="stable")
+    firsts = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))
+    g["x"][flat[order][firsts]] = np.add.reduceat(dx.reshape(-1, 3 * n)[order], firsts, axis=0)
+    return g, after
+
+
 def fit(model: Model, hashes: np.ndarray, off: np.ndarray, epochs: int = 2, rate: float = 0.01) -> Model:
     """Truncated backpropagation through time with Adam: windows of WINDOW steps, the state carried over."""
     if len(off) < 2:
@@ -190,59 +261,13 @@ def fit(model: Model, hashes: np.ndarray, off: np.ndarray, epochs: int = 2, rate
     x, y, reset, _ = grid(model, hashes, off, LANES)
     w = {k: v.copy() for k, v in model.weights.items()}
     model = Model(model.words, w)
-    counts = np.bincount(np.where(y[y > -2] >= 0, y[y > -2], CLASSES * CLASS_SIZE), minlength=CLASSES * CLASS_SIZE + 1).astype(np.float64)
-    per = counts[:-1].reshape(CLASSES, CLASS_SIZE)
-    w["cb"][:] = np.log(np.append(per.sum(1), counts[-1]) + 0.5)
-    w["wb"][:] = np.log(per + 0.5)
     one, two = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    n, done = HIDDEN, 0
+    done = 0
     for epoch in range(epochs):
-        h = np.zeros((x.shape[1], n), np.float32)
+        h = np.zeros((x.shape[1], HIDDEN), np.float32)
         for lo in range(0, len(x), WINDOW):
             hi = min(lo + WINDOW, len(x))
-            past, cache, states = [], [], np.empty((hi - lo, x.shape[1], n), np.float32)
-            for t in range(lo, hi):
-                h = np.where(reset[t][:, None], 0, h).astype(np.float32)
-                past.append(h)
-                h, kept = step(w, x[t], h)
-                cache.append(kept)
-                states[t - lo] = h
-            g = {k: np.zeros_like(v) for k, v in w.items()}
-            real = y[lo:hi] > -2
-            s, target = states[real], y[lo:hi][real]
-            m = max(len(s), 1)
-            cls = np.where(target >= 0, target // CLASS_SIZE, CLASSES)
-            d = np.exp(_log_softmax(s @ w["c"] + w["cb"]))
-            d[np.arange(len(s)), cls] -= 1
-            d /= m
-            g["c"], g["cb"] = s.T @ d, d.sum(0)
-            ds = d @ w["c"].T
-            for k in np.unique(cls[cls < CLASSES]):
-                at = np.flatnonzero(cls == k)
-                e = np.exp(_log_softmax(s[at] @ w["w"][k] + w["wb"][k]))
-                e[np.arange(len(at)), target[at] % CLASS_SIZE] -= 1
-                e /= m
-                g["w"][k], g["wb"][k] = s[at].T @ e, e.sum(0)
-                ds[at] += e @ w["w"][k].T
-            back = np.zeros((hi - lo, x.shape[1], n), np.float32)
-            back[real] = ds
-            dh = np.zeros_like(h)
-            dx = np.empty((hi - lo, x.shape[1], 3 * n), np.float32)
-            for t in range(hi - lo - 1, -1, -1):
-                z, r, new, gh = cache[t]
-                dh = dh + back[t]
-                dnew = dh * (1 - z) * (1 - new * new)
-                dz = dh * (past[t] - new) * z * (1 - z)
-                dr = dnew * gh[:, 2 * n :] * r * (1 - r)
-                dx[t] = np.concatenate([dz, dr, dnew], 1)
-                dg = np.concatenate([dz, dr, dnew * r], 1)
-                g["u"] += past[t].T @ dg
-                dh = dh * z + dg @ w["u"].T
-                dh[reset[lo + t]] = 0
-            flat = x[lo:hi].ravel()
-            order = np.argsort(flat, kind="stable")
-            firsts = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))
-            g["x"][flat[order][firsts]] = np.add.reduceat(dx.reshape(-1, 3 * n)[order], firsts, axis=0)
+            g, h = gradients(w, x[lo:hi], y[lo:hi], reset[lo:hi], h)
             done += 1
             size = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
             shrink = min(1.0, 1.0 / max(size, 1e-9))
@@ -252,45 +277,126 @@ def fit(model: Model, hashes: np.ndarray, off: np.ndarray, epochs: int = 2, rate
                 one[k] = 0.9 * one[k] + 0.1 * v
                 two[k] = 0.999 * two[k] + 0.001 * v * v
                 w[k] -= (now * (one[k] / (1 - 0.9**done)) / (np.sqrt(two[k] / (1 - 0.999**done)) + 1e-8)).astype(np.float32)
-    w["wb"][:] -= np.where(np.arange(CLASSES * CLASS_SIZE).reshape(CLASSES, CLASS_SIZE) < model.explicit, 0, 60).astype(np.float32)
     return model
 
 
-def train(docs: DataFrame, sample_chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Choose the table of frequent words and fit the network on a sample of about `sample_chars` characters.
-
-    The sample is drawn by a hash of id and text; a text of over a twelfth of it is not drawn. Which
-    words the table holds changes no count and no base score.
-    """
-    bound_batches(session(docs))
-    rows = core(docs, id_col, text_col).where(F.length(text_col) <= sample_chars // 12)
-    total = rows.agg(F.sum(F.length(text_col)).alias("n")).first()["n"] or 0
+def pieces(rows: DataFrame, share: float) -> DataFrame:
+    """(text, last): about this share of all pieces of PIECE characters, drawn by a hash of row and place; texts of any length have their share."""
     span = 1 << 30
-    bar = int(span * min(1.0, sample_chars / max(total, 1)))
+    n = F.greatest(F.ceil(F.length("text") / PIECE).cast("int"), F.lit(1))
+    drawn = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.pmod(F.xxhash64(F.lit("piece"), "key", i), F.lit(span)) < int(span * min(share, 1.0)))
+    return rows.select("text", n.alias("n"), F.explode(drawn).alias("i")).select(F.substr("text", F.col("i") * PIECE + 1, F.lit(PIECE)).alias("text"), (F.col("i") + 1 == F.col("n")).alias("last"))
+
+
+def piece_tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of a batch of pieces; END only after a text's last one."""
+    hashes, off = tokens(batch.column(0))
+    inner = ~batch.column(1).to_numpy(zero_copy_only=False)
+    keep = np.ones(len(hashes), bool)
+    keep[off[1:][inner] - 1] = False
+    off = off - np.concatenate([[0], np.cumsum(inner)])
+    full = np.flatnonzero(np.diff(off))
+    return hashes[keep], np.append(off[full], off[-1])
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(word, n): exact counts of all tokens of all rows, pre-aggregated in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def sums() -> pa.RecordBatch:
+            words, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
+
         for batch in batches:
-            hashes, off = tokens(batch.column(1))
-            yield pa.RecordBatch.from_arrays([pa.array([hashes[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["tokens"])
+            hashes, _ = tokens(batch.column(0))
+            held.append(hashes)
+            size += len(hashes)
+            if size > 6_000_000:
+                yield sums()
+                held, size = [], 0
+        if held:
+            yield sums()
 
-    got = sorted((bytes(r[0]) for r in rows.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), F.lit(span)) < bar).mapInArrow(run, "tokens binary").collect()), key=lambda b: (hash_of(b), b))
-    texts = [np.frombuffer(b, np.uint64) for b in got]
-    every = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
-    words, n = np.unique(every[every != END], return_counts=True)
-    best = words[np.lexsort((words, -n))][: TABLE - 1]
-    model = fresh(np.concatenate([[END], best]).astype(np.uint64))
-    size = np.cumsum([len(t) for t in texts])
-    take = texts[: int(np.searchsorted(size, TRAIN_TOKENS)) + 1]
-    return fit(model, np.concatenate(take) if take else every, np.concatenate([[0], np.cumsum([len(t) for t in take])]).astype(np.int64))
+    return rows.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def hash_of(data: bytes) -> int:
-    import zlib
+def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """END and the most frequent other words, at most `most` in all, with their counts, ties by hash."""
+    end = counts.where("word = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    top = counts.where("word <> 0").orderBy(F.col("n").desc(), "word").limit(most - 1).toArrow()
+    words, n = (top.column(c).to_numpy() for c in ("word", "n"))
+    order = np.lexsort((words, -n))
+    return np.concatenate([[END], words[order].view(np.uint64)]).astype(np.uint64), np.concatenate([[end], n[order]]).astype(np.int64)
 
-    return zlib.crc32(data)
 
+def refined(model: Model, rows: DataFrame, share: float, rate: float = 0.004) -> Model:
+    """The mean, by tokens seen, of the weights that every partition learns from its share of the pieces.
 
-def language_scores(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    Sums are taken in groups of PARTY partitions, twice, so that no task and not the driver gets all.
+    """
+    shared = session(rows).sparkContext.broadcast(model)
+    names = sorted(model.weights)
+    schema = "party int, who long, sums binary, n long"
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        own, seen, held, size = shared.value, 0, [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append(piece_tokens(batch))
+                size += len(held[-1][0])
+            if size > 1_000_000 or batch is None and size:
+                lengths = np.concatenate([np.diff(o) for _, o in held])
+                own = fit(own, np.concatenate([h for h, _ in held]), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), 1, rate)
+                seen, held, size = seen + size, [], 0
+        if seen:
+            flat = np.concatenate([own.weights[k].ravel() for k in names]).astype(np.float64) * seen
+            part = TaskContext.get().partitionId() if TaskContext.get() else 0
+            yield pa.RecordBatch.from_arrays([pa.array([part // PARTY], pa.int32()), pa.array([part], pa.int64()), pa.array([flat.tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["party", "who", "sums", "n"])
+
+    def add(group: pa.Table) -> pa.Table:
+        group = group.sort_by("who")
+        total = None
+        for x in group.column("sums"):
+            one = np.frombuffer(x.as_buffer(), np.float64)
+            total = one.copy() if total is None else total + one
+        party = group.column("party")[0].as_py()
+        return pa.table({"party": pa.array([party // PARTY], pa.int32()), "who": pa.array([party], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary()), "n": pa.array([sum(group.column("n").to_pylist())], pa.int64())})
+
+    parts = pieces(rows, share).mapInArrow(learn, schema)
+    for _ in range(2):
+        parts = parts.groupBy("party").applyInArrow(add, schema)
+    got = sorted(parts.select("who", "sums", "n").collect())  # a row for PARTY * PARTY partitions
+    n = sum(r["n"] for r in got)
+    if not n:
+        return model
+    mean = sum(np.frombuffer(bytes(r["sums"]), np.float64) for r in got) / n
+    cuts = np.cumsum([model.weights[k].size for k in names])[:-1]
+    return Model(model.words, {k: v.reshape(model.weights[k].shape).astype(np.float32) for k, v in zip(names, np.split(mean, cuts), strict=True)})
+
+
+def train(rows: DataFrame, counts: DataFrame, total: int, share: float = SHARE, start_chars: int = START_CHARS, table: int = TABLE) -> tuple[Model, np.ndarray]:
+    """The model of all `rows` (key, text), and the exact counts of its words. share 1 learns from every piece."""
+    words, n = frequent(counts, table)
+    model = primed(fresh(words), n, total)
+    chars = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, off = piece_tokens(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([hashes[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["tokens"])
+
+    first = pieces(rows, start_chars / max(chars, 1)).mapInArrow(cut, "tokens binary").collect()  # some start_chars / 4 tokens
+    texts = [np.frombuffer(b, np.uint64) for b in sorted((bytes(r[0]) for r in first), key=lambda b: (zlib.crc32(b), b))]
+    if texts:
+        model = fit(model, np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64))
+    return (refined(model, rows, share) if share > 0 else model), n
+
+
+def language_scores(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, start_chars: int = START_CHARS, table: int = TABLE) -> DataFrame:
     """Scores of all rows; the rows outside fold `held` of crc32(doc_id) are the training corpus.
 
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score. Null texts count
@@ -301,102 +407,65 @@ def language_scores(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str
     bound_batches(spark)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("key"), (fold(id_col, folds) == held).alias("held_out"))
-    model = train(rows.where("NOT held_out"), id_col="id", text_col="text")
-    shared = spark.sparkContext.broadcast(model)  # TABLE words and the network
-
-    def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (word, key, times, trained): words outside the table by row; per task the table's counts, under key null."""
-        own = shared.value
-        seen = np.zeros(len(own.words), np.int64)
-        for batch in batches:
-            hashes, off = tokens(batch.column(0))
-            keys = batch.column(1).to_numpy(zero_copy_only=False)
-            learned = ~pc.fill_null(batch.column(2), True).to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(keys)), np.diff(off))
-            place = own.lookup(hashes)
-            inside = place >= 0
-            seen += np.bincount(place[inside & learned[row]], minlength=len(seen))
-            hashes, row = hashes[~inside], row[~inside]
-            order = np.lexsort((hashes, row))
-            hashes, row = hashes[order], row[order]
-            new = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])])) if len(hashes) else np.zeros(0, np.int64)
-            times = np.diff(np.append(new, len(hashes)))
-            for lo in range(0, len(new), 100_000):
-                at = new[lo : lo + 100_000]
-                n = times[lo : lo + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(keys[row[at]]), pa.array(n), pa.array(np.where(learned[row[at]], n, 0))], ["word", "key", "times", "trained"])
-        there = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.nulls(len(there), pa.int64()), pa.array(np.zeros(len(there), np.int64)), pa.array(seen[there])], ["word", "key", "times", "trained"])
-
-    pairs = rows.select("text", "key", "held_out").mapInArrow(tail, "word long, key long, times long, trained long")
-    by_word = Window.partitionBy("word", F.col("key").isNull()).orderBy("key").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = Window.partitionBy("word", F.col("key").isNull()).orderBy("key")
-    met = pairs.withColumns({"c": F.sum("trained").over(by_word), "nth": F.row_number().over(first)})
-    in_table = F.col("key").isNull()
-    sums = written(
-        met.groupBy("key", F.when(in_table, F.col("word")).alias("place")).agg(
-            F.sum(F.col("times") * F.log10(F.col("c") + F.lit(1.0))).alias("logs"),
-            F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"),
-            F.sum(F.when((F.col("nth") == 1) & (F.col("c") > 0), 1).otherwise(0)).alias("distinct"),
-            F.sum("trained").alias("trained"),
-        ),
-        "counts",
-    )
-    counts = np.zeros(len(model.words), np.int64)
-    for r in sums.where("key IS NULL").select("place", "trained").collect():  # at most TABLE rows
-        counts[r["place"]] = r["trained"]
-    outside = sums.where("key IS NOT NULL").agg(F.sum("trained").alias("n"), F.sum("distinct").alias("v")).first()
-    total = int(counts.sum()) + int(outside["n"] or 0)
-    distinct = int((counts > 0).sum()) + int(outside["v"] or 0)
+    learned = rows.where("NOT held_out").select("key", "text")
+    counts = written(word_counts(learned), "counts")
+    sizes = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
+    total, distinct = int(sizes["total"]), int(sizes["distinct"])
+    model, known = train(learned, counts, total, share, start_chars, table)
     explicit = model.explicit
-    rest, rest_distinct = total - int(counts[:explicit].sum()), distinct - int((counts[:explicit] > 0).sum())
-    table = spark.sparkContext.broadcast(counts)
-    whole = float(np.log10(total + distinct + 1.0))
+    rest, rest_distinct = total - int(known[:explicit].sum()), distinct - int((known[:explicit] > 0).sum())
+    shared = spark.sparkContext.broadcast((model, known))  # `table` words and the network
+    whole, others = float(np.log10(total + distinct + 1.0)), float(np.log10(rest + rest_distinct + 1.0))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n = shared.value, table.value
+        own, n = shared.value
         logs = np.log10(n + 1.0)
 
         def finish(held: list) -> pa.RecordBatch:
             hashes = np.concatenate([h for h, _, _ in held])
             sizes = np.concatenate([np.diff(o) for _, o, _ in held])
             off = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-            row = np.repeat(np.arange(len(sizes)), sizes)
+            row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
             place = own.lookup(hashes)
             inside = place >= 0
             r, p = row[inside], place[inside]
             base = np.bincount(r, logs[p] - whole, len(sizes)) - (sizes - np.bincount(r, minlength=len(sizes))) * whole
-            known = np.bincount(r, n[p] > 0, len(sizes)).astype(np.int64)
+            there = np.bincount(r, n[p] > 0, len(sizes)).astype(np.int64)
             late = p >= explicit
-            partly = np.bincount(r[late], logs[p[late]], len(sizes))
-            others = sizes - np.bincount(r[~late], minlength=len(sizes))
-            net = network_scores(own, hashes, off) / np.log(10)
+            far = sizes - np.bincount(r[~late], minlength=len(sizes))
+            net = network_scores(own, hashes, off) / np.log(10) + np.bincount(r[late], logs[p[late]], len(sizes)) - far * others
+            hashes, row = hashes[~inside], row[~inside]
+            order = np.lexsort((hashes, row))
+            hashes, row = hashes[order], row[order]
+            new = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])])) if len(hashes) else np.zeros(0, np.int64)
+            times = np.diff(np.append(new, len(hashes))).astype(np.int32)
+            ends = pa.array(np.searchsorted(row[new], np.arange(len(sizes) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(hashes[new].view(np.int64)), pa.array(times, pa.int32()))]
             cols = [pa.concat_arrays([b.column(i) for _, _, b in held]) for i in (0, 2, 3)]
-            return pa.RecordBatch.from_arrays(
-                [*cols, *(pa.array(x) for x in (sizes.astype(np.int64), known, base, net + partly - others * np.log10(rest + rest_distinct + 1.0)))],
-                ["id", "key", "held_out", "n_tokens", "n_known", "base", "net"],
-            )
+            return pa.RecordBatch.from_arrays([*cols, *(pa.array(x) for x in (sizes.astype(np.int64), there, base, net)), *lists], ["id", "key", "held_out", "n_tokens", "n_known", "base", "net", "words", "times"])
 
         held, size = [], 0
         for batch in batches:
             hashes, off = tokens(batch.column(1))
             held.append((hashes, off, batch))
             size += len(hashes)
-            if size > 4_000_000:  # enough for the network to run many texts side by side
+            if size > 1_500_000:  # enough for the network to run many texts side by side
                 yield finish(held)
                 held, size = [], 0
         if held:
             yield finish(held)
 
-    scored = rows.mapInArrow(score, f"id {id_type}, key long, held_out boolean, n_tokens long, n_known long, base double, net double")
-    copies = Window.partitionBy("key")
-    back = sums.where("key IS NOT NULL").select(F.col("key").alias("k"), "logs", "known")
-    joined = scored.withColumn("_copies", F.count("*").over(copies)).join(back, F.col("key") == F.col("k"), "left")
-    logs, known = (F.coalesce(F.col(c), F.lit(0)) / F.col("_copies") for c in ("logs", "known"))
-    return joined.select(
+    scored = written(rows.mapInArrow(score, f"id {id_type}, key long, held_out boolean, n_tokens long, n_known long, base double, net double, words array<long>, times array<int>"), "scored")
+    # words without a count add nothing; rows that repeat id and text share a key and split its sums
+    pairs = scored.select("key", F.explode(F.arrays_zip("words", "times")).alias("w")).select("key", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    sums = pairs.join(counts, "word").groupBy("key").agg(F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("logs"), F.sum("times").alias("met"))
+    rows_of = scored.drop("words", "times").withColumn("_copies", F.count("*").over(Window.partitionBy("key")))
+    out = rows_of.join(sums.withColumnRenamed("key", "k"), F.col("key") == F.col("k"), "left")
+    logs, met = (F.coalesce(F.col(c), F.lit(0)) / F.col("_copies") for c in ("logs", "met"))
+    return out.select(
         F.col("id").alias(id_col), "held_out", "n_tokens",
-        (F.col("n_known") + F.round(known).cast("long")).alias("n_known"),
+        (F.col("n_known") + F.round(met).cast("long")).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + logs).alias("base_score"),
         (F.col("net") + logs).alias("score"),

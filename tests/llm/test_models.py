@@ -94,7 +94,7 @@ def test_the_model_is_a_distribution_and_lanes_change_nothing():
     texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 90))) for _ in range(30)]
     hashes, off = lm.tokens(pa.array(texts))
     words = np.unique(hashes[hashes != lm.END])[:20]
-    model = lm.fit(lm.fresh(np.concatenate([[lm.END], words]).astype(np.uint64)), hashes, off)
+    model = lm.fit(lm.primed(lm.fresh(np.concatenate([[lm.END], words]).astype(np.uint64)), np.ones(21), 40), hashes, off)
     together = lm.network_scores(model, hashes, off)
     alone = [lm.network_scores(model, hashes[a:b], np.array([0, b - a]))[0] for a, b in zip(off[:-1], off[1:], strict=True)]
     assert np.allclose(together, alone, rtol=1e-4)
@@ -105,13 +105,68 @@ def test_the_model_is_a_distribution_and_lanes_change_nothing():
 
 def test_gradients_agree_with_finite_differences():
     rng = np.random.default_rng(3)
-    words = np.arange(9, dtype=np.uint64)
-    hashes = np.append(rng.integers(1, 12, 30).astype(np.uint64), lm.END)
-    off = np.array([0, 31])
-    model = lm.fresh(words)
-    before = lm.network_scores(model, hashes, off)[0]
-    after = lm.network_scores(lm.fit(model, hashes, off, epochs=60), hashes, off)[0]
-    assert after > before + 5
+    model = lm.primed(lm.fresh(np.arange(40, dtype=np.uint64)), rng.integers(1, 50, 40), 2000)
+    w = {k: v.astype(np.float64) for k, v in model.weights.items()}
+    n = lm.CLASSES * lm.CLASS_SIZE
+    x = rng.choice([0, 1, 2, 30, n + 5], (7, 3))
+    y = rng.choice([-2, -1, 0, 3, 35, 39], (7, 3))
+    reset = rng.random((7, 3)) < 0.2
+    start = rng.standard_normal((3, lm.HIDDEN)) * 0.3
+
+    def loss(w):
+        h, states = start, []
+        for t in range(len(x)):
+            h, _ = lm.step(w, x[t], np.where(reset[t][:, None], 0, h))
+            states.append(h)
+        real = y > -2
+        got = lm.emit(lm.Model(model.words, {k: v for k, v in w.items()}), np.array(states)[real], y[real])
+        return -got.mean()
+
+    g, _ = lm.gradients(w, x, y, reset, start)
+    for name, value in w.items():
+        places = np.argsort(-np.abs(g[name]).ravel())[:6].tolist() + rng.integers(0, value.size, 6).tolist()
+        for i in places:
+            at = np.unravel_index(i, value.shape)
+            kept = value[at]
+            value[at] = kept + 1e-5
+            up = loss(w)
+            value[at] = kept - 1e-5
+            down = loss(w)
+            value[at] = kept
+            assert abs((up - down) / 2e-5 - g[name][at]) < 1e-6, (name, at)
+
+
+def test_network_scores_match_a_plain_loop():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefghij") for _ in range(rng.randint(0, 40))) for _ in range(12)]
+    hashes, off = lm.tokens(pa.array(texts))
+    words, n = np.unique(hashes, return_counts=True)
+    model = lm.fit(lm.primed(lm.fresh(words[:8]), n[:8], int(n.sum())), hashes, off, 3)
+    w = {k: v.astype(np.float64) for k, v in model.weights.items()}
+    got = lm.network_scores(model, hashes, off)
+    for d, (a, b) in enumerate(zip(off[:-1], off[1:], strict=True)):
+        h, total, before = np.zeros((1, lm.HIDDEN)), 0.0, 0
+        for token in hashes[a:b]:
+            h, _ = lm.step(w, np.array([before]), h)
+            place = words[:8].tolist().index(token) if token in words[:8] else -1
+            used = np.append(h[0] @ w["c"] + w["cb"], [])[[0, lm.CLASSES]]
+            p = np.exp(used - used.max())
+            p /= p.sum()
+            total += np.log(p[0] if place >= 0 else p[1])
+            if place >= 0:
+                e = (h[0] @ w["w"][0] + w["wb"][0])[:8]
+                total += e[place] - np.log(np.exp(e).sum())
+            before = place if place >= 0 else lm.CLASSES * lm.CLASS_SIZE + int(token % np.uint64(lm.BUCKETS))
+        assert abs(total - got[d]) < 1e-3 * max(1, abs(total))
+
+
+def test_small_tables_and_all_pieces_change_no_base_score(spark, docs):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 3) for _ in range(rng.randint(0, 60)))) for i in range(40)] + [(50, "zz yy " * 9000)]
+    one = {r["doc_id"]: r for r in language_scores(docs(rows), table=3, share=1.0).collect()}
+    check_base(one.values(), brute_base(rows))
+    pieces = lm.pieces(docs(rows).selectExpr("doc_id AS key", "text"), 1.0).collect()
+    assert sum(len(p["text"]) for p in pieces) == sum(len(t) for _, t in rows) and sum(p["last"] for p in pieces) == len(rows)
 
 
 # Quality
