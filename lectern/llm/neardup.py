@@ -5,10 +5,11 @@ weighted sampling draws from each text samples that two texts share with the pro
 weighted Jaccard similarity; bands of samples give candidates, and the exact weighted Jaccard
 similarity of the whole texts decides.
 
-Document frequencies come from all documents, counted in a hashed table of fixed size. Its entry
-bounds a shingle's frequency from above and is the same for a shingle wherever it stands, so that
-the similarity is well defined; frequent shingles, which are what the weighting is for, rise above
-the table's even load.
+Document frequencies come from all documents, by a count-mean-min sketch: every shingle is counted in
+SKETCH_ROWS tables of fixed size at places that independent hashes give, the even load of a table is
+taken off, and the least count stands. An estimate is the same for a shingle wherever it stands, so
+that the similarity is well defined. All frequencies below one document in RARE weigh alike, whatever
+the number of documents, and so the load that the sketch cannot tell apart decides nothing.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from lectern.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 3
-TABLE_BITS, BLOCK = 18, 4096
+#: The sketch of document frequencies: its rows, slots a row (as a power of two), slots a block; the frequency from which shingles weigh less.
+SKETCH_ROWS, TABLE_BITS, BLOCK, RARE = 2, 20, 1 << 16, 1024
 
 
 # Weights
@@ -52,60 +54,76 @@ def bags(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, n
     return shingles[keep], tf[keep], np.searchsorted(keep, off).astype(np.int64)
 
 
-def slot(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+def slots(shingles: np.ndarray) -> list[np.ndarray]:
+    """The place of each shingle in every row of the sketch."""
+    shift = np.uint64(64 - TABLE_BITS)
+    return [((shingles if r == 0 else shingles * np.uint64(0x9E3779B97F4A7C15 + 2 * r)) >> shift).astype(np.int64) for r in range(SKETCH_ROWS)]
 
 
 def frequencies(docs: DataFrame, text_col: str = "text", words: int = WORDS) -> tuple[np.ndarray, int]:
-    """Documents per slot of the hashed table, over all rows, and the number of rows.
+    """The sketch, SKETCH_ROWS tables of documents per slot, over all rows, and the number of rows.
 
-    Every task counts into a table of its own; tables are summed by block in groups of tasks and
-    then across groups. The driver gets 2 ** TABLE_BITS sums, whatever the input.
+    Every task counts into tables of its own; tables are summed by block in groups of tasks and then
+    across groups, a block of sums in one row. The driver gets the tables once, whatever the input.
     """
     spark = session(docs)
     bound_batches(spark)
-    blocks = (1 << TABLE_BITS) // BLOCK
+    size = SKETCH_ROWS << TABLE_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        table, rows = np.zeros(1 << TABLE_BITS, np.int32), 0
+        table, rows = np.zeros(size, np.int32), 0
         for batch in batches:
             shingles, _, _ = bags(batch.column(0), words)
-            table += np.bincount(slot(shingles), minlength=len(table)).astype(np.int32)
+            for r, at in enumerate(slots(shingles)):
+                table[r << TABLE_BITS : (r + 1) << TABLE_BITS] += np.bincount(at, minlength=1 << TABLE_BITS).astype(np.int32)
             rows += batch.num_rows
         if rows:
-            parts = [x.tobytes() for x in table.reshape(blocks, BLOCK)]
             context = TaskContext.get()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(blocks), pa.int32()), pa.array([context.partitionId() // 64 if context else 0] * blocks, pa.int32()), pa.array(parts, pa.binary()), pa.array([rows if i == 0 else 0 for i in range(blocks)], pa.int64())],
-                ["block", "party", "counts", "rows"],
-            )
+            party = context.partitionId() // 64 if context else 0
+            for block in range(size // BLOCK):
+                part = table[block * BLOCK : (block + 1) * BLOCK]
+                small = np.min_scalar_type(int(part.max()))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([party], pa.int32()), pa.array([part.astype(small).tobytes()], pa.binary()), pa.array([small.itemsize], pa.int32()), pa.array([rows if block == 0 else 0], pa.int64())], ["block", "party", "counts", "width", "rows"])
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(BLOCK, np.int64)
-        for x in group.column("counts"):
-            total += np.frombuffer(x.as_buffer(), np.int32)
-        n = sum(group.column("rows").to_pylist())
-        at = np.flatnonzero(total)
-        first = group.column("block")[0].as_py() * BLOCK
-        return pa.table({"slot": pa.array(np.append(at + first, -1), pa.int64()), "n": pa.array(np.append(total[at], n), pa.int64())})
+        for x, width in zip(group.column("counts"), group.column("width").to_pylist(), strict=True):
+            total += np.frombuffer(x.as_buffer(), f"u{width}").astype(np.int64)
+        return pa.table({"block": group.column("block")[:1], "party": pa.array([group.column("party")[0].as_py() // 64], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary()), "width": pa.array([8], pa.int32()), "rows": pa.array([sum(group.column("rows").to_pylist())], pa.int64())})
 
-    sums = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(count, "block int, party int, counts binary, rows long").groupBy("block", "party").applyInArrow(add, "slot long, n long")
-    got = sums.groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most 2 ** TABLE_BITS + 1 rows
-    table = np.zeros(1 << TABLE_BITS, np.int64)
-    inner = got[got["slot"] >= 0]
-    table[inner["slot"].to_numpy()] = inner["n"].to_numpy()
-    return table, int(got.loc[got["slot"] < 0, "n"].sum())
+    schema = "block int, party int, counts binary, width int, rows long"
+    sums = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(count, schema)
+    for _ in range(2):
+        sums = sums.groupBy("block", "party").applyInArrow(add, schema)
+    got = sums.collect()  # the tables once for each 4096 tasks
+    table = np.zeros(size, np.int64)
+    for r in got:
+        table[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] += np.frombuffer(r["counts"], np.int64)
+    return table.reshape(SKETCH_ROWS, -1), sum(r["rows"] for r in got)
 
 
-def inverse(table: np.ndarray, rows: int) -> np.ndarray:
-    """Smoothed inverse document frequency of each slot, scaled to lie between 1 and 2.
+class Weights:
+    """Inverse document frequencies of shingles, between 1 (in every document) and 2 (in fewer than one in RARE).
 
     Unscaled, what a large group of near copies shares would weigh so little, being frequent because
     of the copies, that a few edits took them apart.
     """
-    return 1 + np.log1p(rows / (1.0 + np.minimum(table, rows))) / np.log1p(max(rows, 1))
+
+    def __init__(self, table: np.ndarray, rows: int):
+        load = table.sum(1, keepdims=True)
+        least = max(1.0, rows / RARE)
+        there = np.clip(table - (load - table) / (table.shape[1] - 1), least, max(rows, least))
+        self.table = (1 + np.log(max(rows, 1) / there) / np.log(max(min(rows, RARE), 2))).astype(np.float32)
+
+    def __call__(self, shingles: np.ndarray) -> np.ndarray:
+        """The weight by the least frequency, the largest of the rows' weights."""
+        out = None
+        for row, at in zip(self.table, slots(shingles), strict=True):
+            own = row[at]
+            out = own if out is None else np.maximum(out, own, out=out)
+        return out
 
 
 # Sampling
@@ -166,24 +184,25 @@ def samples(shingles: np.ndarray, weights: np.ndarray, off: np.ndarray, n: int)
     return out
 
 
-def signatures(docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
+def signatures(docs: DataFrame, idf: Weights, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
     """Per row: id, a 128-bit key of its bag of shingles (of its raw text, if it has no word), its band hashes and its weight in all."""
     spark = session(docs)
     bound_batches(spark)
-    shared = spark.sparkContext.broadcast(idf.astype(np.float32))  # 2 ** TABLE_BITS entries
+    shared = spark.sparkContext.broadcast(idf)  # SKETCH_ROWS tables of 2 ** TABLE_BITS entries
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shingles, tf, off = bags(batch.column(1), words)
             n = np.diff(off)
+            each = tf * shared.value(shingles)
             drawn = np.zeros((batch.num_rows, BANDS * ROWS), np.uint64)
             cuts = [0]
             while cuts[-1] < len(n):  # some 200,000 shingles at a time stay in the processor's cache
                 cuts.append(max(cuts[-1] + 1, int(np.searchsorted(off, off[cuts[-1]] + 200_000, "right")) - 1))
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 s = slice(off[lo], off[hi])
-                drawn[lo:hi] = samples(shingles[s], tf[s] * shared.value[slot(shingles[s])], off[lo : hi + 1] - off[lo], BANDS * ROWS)
+                drawn[lo:hi] = samples(shingles[s], each[s], off[lo : hi + 1] - off[lo], BANDS * ROWS)
             bands = np.zeros((batch.num_rows, BANDS), np.uint64)
             for i in range(ROWS):
                 bands = mix(bands + drawn[:, i::ROWS])
@@ -194,7 +213,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str, wor
                 per = np.concatenate([[0], np.cumsum(mix(mix(shingles + np.uint64(i)) + tf.astype(np.uint64)))]).astype(np.uint64)
                 keys.append(np.where(n > 0, mix(per[off[1:]] - per[off[:-1]] + n.astype(np.uint64)).view(np.int64), raw[i - 1]))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]), pa.int32()), pa.array(bands[n > 0].ravel().view(np.int64)))
-            weight = np.bincount(np.repeat(np.arange(len(n)), n), tf * shared.value[slot(shingles)], len(n))
+            weight = np.bincount(np.repeat(np.arange(len(n)), n), each, len(n))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys[0]), pa.array(keys[1]), lists, pa.array(weight)], ["id", "k1", "k2", "bands", "weight"])
 
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -205,12 +224,12 @@ def signatures(docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str, wor
 # Verification
 
 
-def similarities(left: pa.Array, right: pa.Array, idf: np.ndarray, words: int = WORDS) -> np.ndarray:
+def similarities(left: pa.Array, right: pa.Array, idf: Weights, words: int = WORDS) -> np.ndarray:
     """Exact weighted Jaccard similarity of paired texts; 0 if neither has a word."""
     sides = [bags(x, words) for x in (left, right)]
     pair = np.concatenate([np.repeat(np.arange(len(o) - 1), np.diff(o)) for _, _, o in sides])
     shingles, tf = np.concatenate([s for s, _, _ in sides]), np.concatenate([t for _, t, _ in sides])
-    weight = idf[slot(shingles)]
+    weight = idf(shingles).astype(np.float64)
     total = np.bincount(pair, weight * tf, len(left))
     key = shingles + mix(np.arange(1, len(left) + 1, dtype=np.uint64))[pair]
     order = np.argsort(key)
@@ -220,7 +239,7 @@ def similarities(left: pa.Array, right: pa.Array, idf: np.ndarray, words: int =
     return np.divide(common, total - common, out=np.zeros(len(left)), where=total > 0)
 
 
-def compared(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, words: int = WORDS) -> DataFrame:
+def compared(pairs: DataFrame, texts: DataFrame, idf: Weights, words: int = WORDS) -> DataFrame:
     """The pairs (a, b) with the similarity of their whole texts."""
     shared = session(pairs).sparkContext.broadcast(idf)
 
@@ -234,14 +253,14 @@ def compared(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, words: int = W
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}, sim double")
 
 
-def weighed(nodes: DataFrame, texts: DataFrame, idf: np.ndarray, words: int = WORDS) -> DataFrame:
+def weighed(nodes: DataFrame, texts: DataFrame, idf: Weights, words: int = WORDS) -> DataFrame:
     """(shingle, node, w): each distinct shingle of these texts and its weight there."""
-    shared = session(texts).sparkContext.broadcast(idf.astype(np.float32))
+    shared = session(texts).sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shingles, tf, off = bags(batch.column(1), words)
-            weight = tf * shared.value[slot(shingles)]
+            weight = tf * shared.value(shingles)
             node = np.repeat(np.arange(batch.num_rows), np.diff(off))
             for lo in range(0, len(shingles), 200_000):
                 part = slice(lo, lo + 200_000)
@@ -251,14 +270,14 @@ def weighed(nodes: DataFrame, texts: DataFrame, idf: np.ndarray, words: int = WO
     return texts.join(nodes, F.col("id") == F.col("node"), "left_semi").select("id", "text").mapInArrow(run, f"shingle long, node {kind}, w float")
 
 
-def unshared(nodes: DataFrame, texts: DataFrame, idf: np.ndarray, words: int = WORDS) -> DataFrame:
+def unshared(nodes: DataFrame, texts: DataFrame, idf: Weights, words: int = WORDS) -> DataFrame:
     """(node, unshared): the weight of shingles that no other of these texts holds."""
     rows = weighed(nodes, texts, idf, words)
     alone = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"), F.max("w").alias("w")).where("node = last")
     return alone.groupBy("node").agg(F.sum(F.col("w").cast("double")).alias("unshared"))
 
 
-def alike(able: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float, words: int = WORDS) -> DataFrame:
+def alike(able: DataFrame, texts: DataFrame, idf: Weights, similarity: float, words: int = WORDS) -> DataFrame:
     """Pairs (a, b) of nodes of different components, none of the wanted similarity left out.
 
     `able` has node, comp and weight (of several texts the least). Shingles are ordered by the number
@@ -298,8 +317,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     """
     spark = session(docs)
     rows = core(docs, id_col, text_col).where(F.col(f"`{id_col}`").isNotNull())
-    table, n = frequencies(rows, text_col, words)
-    idf = inverse(table, n)
+    idf = Weights(*frequencies(rows, text_col, words))
     signed = written(signatures(rows, idf, id_col, text_col, words), "signatures")
     nodes = written(signed.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("weight").alias("weight")), "nodes")
     buckets = nodes.select(F.col("node"), F.explode("bands").alias("bucket")).distinct()
@@ -363,12 +381,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near copies: of each class its smallest id stays, all columns unchanged.
 
-    Rows that repeat an id are one document, of which one row stays; rows with a null id stay.
+    Rows that repeat an id are one document, of which the row of least hashes, of the text first, stays;
+    rows with a null id stay.
     """
     classes = near_duplicates(docs, similarity, words, id_col, text_col)
     keep = classes.where(F.col(f"`{id_col}`") == F.col("class_id")).select(F.col(f"`{id_col}`").alias("_lectern_id"))
     known = docs.where(F.col(f"`{id_col}`").isNotNull())
     stay = known.join(keep, F.col(f"`{id_col}`") == F.col("_lectern_id"), "left_semi")
-    first = Window.partitionBy(F.col(f"`{id_col}`")).orderBy(F.xxhash64(F.col(f"`{text_col}`")))
+    hashed = [F.xxhash64(F.col(f"`{f.name}`")) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    first = Window.partitionBy(F.col(f"`{id_col}`")).orderBy(F.xxhash64(F.col(f"`{text_col}`")), *hashed)
     single = stay.withColumn("_lectern_n", F.row_number().over(first)).where("_lectern_n = 1").drop("_lectern_n")
     return single.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
