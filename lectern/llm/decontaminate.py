@@ -19,13 +19,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lectern.llm.common import bound_batches, core, mix, session, shingle_hashes, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS = 15, 4
-#: Items in one pass; a larger benchmark takes further passes over the documents.
-ITEMS_A_PASS = 5000
+#: Items, and characters of items, in one pass; a larger benchmark takes further passes over the documents.
+ITEMS_A_PASS, CHARS_A_PASS = 5000, 8_000_000
+#: Words of a text that are fingerprinted at once.
+SLICE = 8192
 _SCALE = 64
 
 
@@ -146,17 +149,17 @@ class Index:
                 starts = np.flatnonzero((share > 0) & (share >= similarity * (all_w[span:] - all_w[:-span])))
                 if not len(starts):
                     continue
-                for lo in range(0, len(starts), 4096):  # bounds the memory of very long texts
-                    part = starts[lo : lo + 4096]
-                    for run in np.split(part, np.flatnonzero(np.diff(part) > 256) + 1):
-                        prints = self.fingerprints(words[run[0] : run[-1] + m], run - run[0], m)
-                        for w, i in zip(*self.within(prints), strict=True):
-                            if self.sizes[i] != size:
-                                continue
-                            start = int(run[w])
-                            s = self.similarity(words[start : start + m], int(i))
-                            if s >= similarity and (best := found.get((text, int(i)))) is None or s >= similarity and (-s, start) < (-best[3], best[0]):
-                                found[text, int(i)] = (start, m, int(np.bitwise_count(prints[w] ^ self.prints[i])), s)
+                # close starts together, at most SLICE words: this bounds the memory of very long texts
+                apart = (np.diff(starts) > 256) | (np.diff(starts // SLICE) > 0)
+                for run in np.split(starts, np.flatnonzero(apart) + 1):
+                    prints = self.fingerprints(words[run[0] : run[-1] + m], run - run[0], m)
+                    for w, i in zip(*self.within(prints), strict=True):
+                        if self.sizes[i] != size:
+                            continue
+                        start = int(run[w])
+                        s = self.similarity(words[start : start + m], int(i))
+                        if s >= similarity and (best := found.get((text, int(i)))) is None or s >= similarity and (-s, start) < (-best[3], best[0]):
+                            found[text, int(i)] = (start, m, int(np.bitwise_count(prints[w] ^ self.prints[i])), s)
         return [(text, item, *best) for (text, item), best in sorted(found.items())]
 
 
@@ -180,14 +183,14 @@ def _index(ids: tuple, texts: tuple, known: tuple[int, bytes, bytes] | None) ->
 
 
 def passes(benchmark: DataFrame, item_col: str, text_col: str, items_a_pass: int) -> Iterator[tuple[tuple, tuple, tuple | None]]:
-    """The items in blocks of about items_a_pass, each small enough for a broadcast, and the word counts of all.
+    """The items in blocks of about items_a_pass items and CHARS_A_PASS characters at most, and the word counts of all.
 
     The counts, 16 bytes for each distinct word of the benchmark, go with every block; of a single
     block they are its own and left out.
     """
-    items = core(benchmark, item_col, text_col).where(F.col(f"`{item_col}`").isNotNull() & (F.length(F.trim(F.col(f"`{text_col}`"))) > 0)).distinct()
-    n = items.count()
-    blocks = -(-n // items_a_pass)
+    items = core(benchmark, item_col, text_col).where(F.length(F.trim(F.col(f"`{text_col}`"))) > 0).distinct()
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.col(f"`{text_col}`"))), F.lit(0)).alias("chars")).first()
+    blocks = max(-(-size["n"] // items_a_pass), -(-size["chars"] // CHARS_A_PASS))
 
     def block(b: int) -> tuple[tuple, tuple]:
         rows = (items if blocks == 1 else items.where(F.pmod(F.xxhash64(item_col, text_col), F.lit(blocks)) == b)).collect()
@@ -213,20 +216,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 
     One row for each row of `docs` and item with a window of at least this similarity: its best
     window, the first on a tie. A text shorter than an item is one window as a whole. Items and
-    texts without words match nothing; an item of under five words must stand word for word.
+    texts without words match nothing; an item of under five words must stand word for word. Items
+    with a null id are searched like others, repeated items once.
     """
     spark = session(docs)
     bound_batches(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     item_type = benchmark.schema[item_col].dataType
     schema = f"`{id_col}` {id_type}, `{item_col}` {item_type.simpleString()}, start long, words long, hamming int, similarity double"
+    item_arrow = to_arrow_type(item_type)
     out = spark.createDataFrame([], schema)
     for ids, texts, known in passes(benchmark, item_col, item_text_col, items_a_pass):
         shared = spark.sparkContext.broadcast((ids, texts, known))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = _index(*shared.value)
-            item_ids = pa.array(index.ids)
+            item_ids = pa.array(index.ids, item_arrow)
             for batch in batches:
                 got = index.search(batch.column(1), similarity)
                 cols = list(zip(*got, strict=True)) or [[]] * 6

@@ -8,6 +8,8 @@ characters. A text's score is the sum over all its words.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,7 +25,9 @@ from lectern.llm.common import bound_batches, core, fold, session
 TRAIN_CHARS, TOP_WORDS, TOP_GRAMS = 1_500_000, 50_000, 100_000
 LONGEST = 5
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+#: Numerals that the regular expression's word characters hold beside digits and letters.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isdecimal() and unicodedata.category(c)[0] != "L")
+_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -98,8 +102,9 @@ def _scores(counts: list[dict[str, int]]) -> tuple[dict[str, int], np.ndarray]:
 def train(docs: DataFrame, train_chars: int = TRAIN_CHARS, top_words: int = TOP_WORDS, top_grams: int = TOP_GRAMS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from rows with a language: about `train_chars` characters of each, drawn by a hash of the id.
 
-    Rows with a null or blank language, or a null id, are passed over. Entries seen once are left out
-    of the model (unless a language has no others), then all but the most frequent.
+    Rows with a null or blank language, or a null id, are passed over. Of words, and of n-grams, each
+    language keeps those seen twice or more, or all if it has no such, up to the `top` most frequent,
+    ties in their own order. The model's tables hold (entries of all languages) x languages numbers.
     """
     bound_batches(session(docs))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("id IS NOT NULL AND text IS NOT NULL AND trim(lang) <> ''")
@@ -129,8 +134,9 @@ def train(docs: DataFrame, train_chars: int = TRAIN_CHARS, top_words: int = TOP_
     found: dict[tuple[str, str], dict[str, int]] = {(k, kind): {} for k in languages for kind in "wg"}
     for r in sums.where("n > 1").toLocalIterator():  # bounded by train_chars a language
         found[r["lang"], r["kind"]][r["entry"]] = r["n"]
-    for r in sums.where("n = 1").toLocalIterator() if not all(found.values()) else []:
-        if len(found[r["lang"], r["kind"]]) < 1000:
+    bare = {k for k, own in found.items() if not own}
+    for r in sums.where("n = 1").toLocalIterator() if bare else []:
+        if (r["lang"], r["kind"]) in bare:
             found[r["lang"], r["kind"]][r["entry"]] = 1
 
     def best(kind: str, most: int) -> list[dict[str, int]]:

@@ -68,26 +68,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text all of whose windows repeat becomes empty. Where a window overlaps its own first
     occurrence in a text, the first occurrence's lines stay. Rows that repeat both id and text
     count as one row. `count_col` (None: not added) gets the number of lines removed; `chars_col`,
-    if given, the new length.
+    if given, the new length. Columns of any other name pass through.
     """
     if count_col and count_col in docs.columns:
         raise ValueError(f"the input has a column {count_col}; name another count_col")
-    text = F.col(f"`{text_col}`")
-    keyed = docs.withColumns({"_lectern_row": F.xxhash64(F.col(f"`{id_col}`"), text)})
-    gone = covered(docs, id_col, text_col, size).withColumnsRenamed({"_id": "_lectern_id", "_row": "_lectern_key"})
-    both = keyed.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_lectern_id")) & (F.col("_lectern_row") == F.col("_lectern_key")), "left")
-    g = F.col("_gone")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(row.alias("row"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("key"))
+    text = F.col("row").getField(text_col)
+    gone = covered(docs, id_col, text_col, size).select(F.col("_id").alias("gone_id"), F.col("_row").alias("gone_key"), F.col("_gone").alias("gone"))
+    both = keyed.join(gone, F.col("row").getField(id_col).eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left")
+    g = F.col("gone")
     runs = both.withColumns({
-        "_begins": F.filter(g, lambda x, i: (i == 0) | (F.get(g, i - 1) != x - 1)),
-        "_ends": F.filter(g, lambda x, i: (i == F.size(g) - 1) | (F.get(g, i + 1) != x + 1)),
-        "_all": F.when(g.isNotNull(), _lines(text)),
-        "_pos": F.when(g.isNotNull(), F.transform(_filled(text), lambda x: x["pos"])),
+        "begins": F.filter(g, lambda x, i: (i == 0) | (F.get(g, i - 1) != x - 1)),
+        "ends": F.filter(g, lambda x, i: (i == F.size(g) - 1) | (F.get(g, i + 1) != x + 1)),
+        "all": F.when(g.isNotNull(), _lines(text)),
+        "pos": F.when(g.isNotNull(), F.transform(_filled(text), lambda x: x["pos"])),
     })
     raw = runs.withColumns({
-        "_begins": F.transform("_begins", lambda x: F.get(F.col("_pos"), x)),
-        "_ends": F.transform("_ends", lambda x: F.get(F.col("_pos"), x)),
+        "begins": F.transform("begins", lambda x: F.get(F.col("pos"), x)),
+        "ends": F.transform("ends", lambda x: F.get(F.col("pos"), x)),
     })
-    b, e, lines = F.col("_begins"), F.col("_ends"), F.col("_all")
+    b, e, lines = F.col("begins"), F.col("ends"), F.col("all")
 
     def piece(k: Column) -> Column:
         start = F.coalesce(F.get(e, k - 1) + 1, F.lit(0))
@@ -95,10 +96,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return F.slice(lines, start + 1, end - start)
 
     left = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(b)), piece)), "\n")
-    changed = {text_col: F.when(g.isNull(), text).otherwise(left)}
+    new = F.when(g.isNull(), text).otherwise(left)
+    changed = {text_col: new}
+    if chars_col:
+        changed[chars_col] = F.length(F.coalesce(new, F.lit(""))).cast(docs.schema[chars_col].dataType)
     extra = [F.when(g.isNull(), F.lit(0)).otherwise(F.size(g)).cast("long").alias(count_col)] if count_col else []
-    out = raw.select(*[changed[c].alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *extra)
-    return out.withColumn(chars_col, F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).cast(docs.schema[chars_col].dataType)) if chars_col else out
+    return raw.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns], *extra)
 
 
 #: The same removal in DuckDB's SQL, on columns doc_id and text of `documents`.

@@ -120,8 +120,13 @@ def occurrences(found: DataFrame) -> DataFrame:
     return one.select("key", "entity", "context", F.explode(F.array_distinct(terms)).alias("term"))
 
 
+def _shape(word: Column) -> Column:
+    """The class that a word is generalised to."""
+    return F.when(word.rlike(r"^\p{Lu}+$"), "acronym").when(word.rlike(r"^\p{Lu}"), "name").otherwise("term")
+
+
 def everywhere(docs: DataFrame, words: DataFrame, shares: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, start, end, share): all occurrences of the terms of `shares` (word, share), wherever they stand.
+    """(key, start, end, kind, share): all occurrences of the terms of `shares` (word, share), wherever they stand.
 
     `words` are the (key, word) of all documents. Only texts that hold one of the terms are searched.
     """
@@ -133,9 +138,9 @@ def everywhere(docs: DataFrame, words: DataFrame, shares: DataFrame, id_col: str
     at = keyed.join(own, "key").withColumns({"_m": matches, "_p": pieces})
     m, p = F.col("_m"), F.col("_p")
     at = at.withColumn("_s", running(F.transform(m, lambda x, i: F.length(F.get(p, i)) + F.length(x))))
-    all_terms = F.transform(m, lambda x, i: F.struct(F.xxhash64(F.lower(x)).alias("word"), (F.get(F.col("_s"), i) + F.length(F.get(p, i))).cast("long").alias("start"), F.length(x).alias("size")))
+    all_terms = F.transform(m, lambda x, i: F.struct(F.xxhash64(F.lower(x)).alias("word"), (F.get(F.col("_s"), i) + F.length(F.get(p, i))).cast("long").alias("start"), F.length(x).alias("size"), _shape(x).alias("kind")))
     placed = at.select("key", F.map_from_entries("_shares").alias("_share_of"), F.inline(F.filter(all_terms, lambda x: F.array_contains(F.transform("_shares", lambda s: s["word"]), x["word"]))))
-    return placed.select("key", "start", (F.col("start") + F.col("size")).alias("end"), F.element_at("_share_of", F.col("word")).alias("share"))
+    return placed.select("key", "start", (F.col("start") + F.col("size")).alias("end"), "kind", F.element_at("_share_of", F.col("word")).alias("share"))
 
 
 def distinct_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -171,8 +176,9 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Per row: id, key (a hash of id and text), the detectors' spans by kind, and `term`, the disclosing terms.
 
     Spans are (start, end, ...) in characters, end exclusive; a term's span has `action`: remove where
-    the share of information it gives away reaches `reveals`, else generalise. Null texts count as
-    empty and have no span. Rows that repeat both id and text get the same spans each.
+    the share of information it gives away reaches `reveals`, else generalise, and `kind`, the class it
+    is generalised to. Terms are looked for within REACH characters of an entity, the window of
+    co-occurrence, and marked wherever they stand. Null texts count as empty and have no span. Rows that repeat both id and text get the same spans each.
     """
     found = written(detected(docs, id_col, text_col), "found")
     near = written(occurrences(found), "near")
@@ -181,9 +187,9 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shares = written(pairs.groupBy(F.xxhash64("term").alias("word")).agg(F.max("share").alias("share")), "shares")
     shown = everywhere(docs, words, shares, id_col, text_col).distinct()
     by_row = shown.groupBy("key").agg(
-        F.array_sort(F.collect_list(F.struct("start", "end", F.when(F.col("share") >= reveals, "remove").otherwise("generalise").alias("action")))).alias("term")
+        F.array_sort(F.collect_list(F.struct("start", "end", F.when(F.col("share") >= reveals, "remove").otherwise("generalise").alias("action"), "kind"))).alias("term")
     ).withColumnRenamed("key", "_key")
-    none = F.array().cast("array<struct<start:bigint,end:bigint,action:string>>")
+    none = F.array().cast("array<struct<start:bigint,end:bigint,action:string,kind:string>>")
     return found.join(by_row, F.col("key") == F.col("_key"), "left").drop("_key").withColumn("term", F.coalesce("term", none))
 
 
@@ -205,23 +211,27 @@ def digest(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
     """The documents with their personal data replaced: all columns, text_col rewritten.
 
-    An entity becomes its kind in brackets, a generalised term [TERM]; removed terms leave nothing.
+    An entity becomes its kind in brackets, a generalised term its class: [ACRONYM] in capitals, [NAME]
+    with a capital first, else [TERM]; removed terms leave nothing.
     Of overlapping spans the first, and of two with one start the longer, is replaced.
     """
     spans = personal_data(docs, id_col, text_col, **options)
     every = F.flatten(F.array(
         *[F.transform(k, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("neg"), F.lit(f"[{k.upper()}]").alias("by"))) for k in KINDS],
-        F.transform("term", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("neg"), F.when(x["action"] == "remove", "").otherwise("[TERM]").alias("by"))),
+        F.transform("term", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("neg"), F.when(x["action"] == "remove", "").otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))).alias("by"))),
     ))
-    cuts = spans.groupBy("key").agg(F.first(F.array_sort(every)).alias("_cuts")).where(F.size("_cuts") > 0).withColumnRenamed("key", "_key")
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    both = docs.join(cuts, F.xxhash64(F.col(f"`{id_col}`"), text) == F.col("_key"), "left")
+    cuts = spans.groupBy("key").agg(F.first(F.array_sort(every)).alias("cuts")).where(F.size("cuts") > 0)
+    # the input row travels in one struct, so that no column of it can clash
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(row.alias("row"), F.xxhash64(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("key"))
+    both = keyed.join(cuts, "key", "left")
+    text = F.coalesce(F.col("row").getField(text_col), F.lit(""))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def cut(s: Column, x: Column) -> Column:
         kept = F.substring(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int"))
         return F.when(x["start"] < s["at"], s).otherwise(F.struct((-x["neg"]).alias("at"), F.concat(s["out"], F.array(kept, x["by"])).alias("out")))
 
-    done = F.aggregate("_cuts", start, cut, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
-    new = F.when(F.col("_cuts").isNull(), F.col(f"`{text_col}`")).otherwise(done)
-    return both.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    done = F.aggregate("cuts", start, cut, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
+    new = F.when(F.col("cuts").isNull(), F.col("row").getField(text_col)).otherwise(done)
+    return both.select(*[new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

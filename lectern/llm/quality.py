@@ -282,7 +282,10 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
-    """Scores of all documents by a model fitted on the labels outside fold `held` of crc32(doc_id)."""
+    """Scores of all documents by a model fitted on the labels outside fold `held` of crc32(doc_id).
+
+    Null and empty texts get the prior; a null id is in no fold, so its held_out is null.
+    """
     model = train(docs, labels.where(fold("doc_id", folds) != held))
     out = classify(docs, model)
     return out.select("doc_id", (fold("doc_id", folds) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

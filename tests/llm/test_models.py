@@ -39,6 +39,8 @@ def test_languages_are_right_on_held_out_documents(spark, real):
 
 def test_language_of_odd_texts(spark, docs, real):
     model = train_languages(real)
+    numerals = "²½ 12 ① Ⅷ ٣ _"
+    assert identify(docs([(1, numerals)]), model).first()["lang_pred"] == UNKNOWN
     got = {r["doc_id"]: r for r in identify(docs([(1, None), (2, ""), (3, "12 34 !!"), (4, "東京都"), (5, "the " * 50000), (6, "the"), (6, "the")]), model).collect()}
     assert [got[i]["lang_pred"] for i in (1, 2, 3)] == [UNKNOWN] * 3 and got[1]["score"] == 0
     assert got[4]["lang_pred"] in model.languages and got[5]["lang_pred"] == "en"
@@ -47,6 +49,42 @@ def test_language_of_odd_texts(spark, docs, real):
     assert languages(docs([])).count() == 0
 
 
+def test_scores_match_a_plain_scorer(spark):
+    rows = [(i, w, l) for i, (w, l) in enumerate([("aa ab aa ab aa", "x"), ("ba bb ba b ba", "y"), ("aa cc cc", "y"), ("ab ab", "x"), ("zz", "z"), ("zy", "z"), (None, "x"), ("aa", " "), ("aa", None)] * 2)]
+    model = train_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["x", "y", "z"]
+    words, grams = {k: Counter() for k in model.languages}, {k: Counter() for k in model.languages}
+    for _, text, lang in rows:
+        if text and lang in words:
+            for w in text.split():
+                words[lang][w] += 1
+                for n in range(1, min(5, len(w) + 2) + 1):
+                    grams[lang].update(w if n == 1 else [f"\x02{w}\x03"[i : i + n] for i in range(len(w) + 3 - n)])
+
+    def log(tables, x, lang):
+        kept = {k: {w: c for w, c in t.items() if c > 1} for k, t in tables.items()}
+        size = len(set().union(*kept.values()))
+        return math.log((kept[lang].get(x, 0) + 0.5) / (sum(kept[lang].values()) + 0.5 * size)) if any(x in t for t in kept.values()) else None
+
+    def word(w, lang):
+        if (own := log(words, w, lang)) is not None:
+            return own
+        for n in range(min(5, len(w) + 2), 0, -1):
+            parts = list(w) if n == 1 else [f"\x02{w}\x03"[i : i + n] for i in range(len(w) + 3 - n)]
+            known = [v for g in parts if (v := log(grams, g, lang)) is not None]
+            if known:
+                return sum(known) / len(known)
+        return 0.0
+
+    texts = ["aa ab", "cc ba", "zz aab", "bbc q", "abab zyz zz"]
+    got = [r["score"] for r in sorted(identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect())]
+    prior = dict(zip(model.languages, np.exp(model.prior), strict=True))
+    for text, score in zip(texts, got, strict=True):
+        total = {k: math.log(prior[k]) + sum(word(w, k) for w in text.split()) for k in model.languages}
+        best = max(total.values())
+        assert abs(score - 1 / sum(math.exp(v - best) for v in total.values())) < 1e-4
+
+
 def test_unseen_words_fall_back_to_shorter_grams(spark):
     rows = [(i, "abcd abcd abce" if i % 2 else "wxyz wxyz wxyq", "one" if i % 2 else "two") for i in range(20)]
     model = train_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
+from lectern.llm.common import word_hashes
 from lectern.llm.components import components
 from lectern.llm.decontaminate import BLOCKS, RADIUS, Index, decontaminate, leaks
 from lectern.llm.neardup import RARE, Weights, bags, frequencies, keep_one, near_duplicates, samples, signatures, similarities, slots
@@ -192,6 +193,43 @@ def test_passes_give_the_same_leaks_as_one(spark, docs):
     assert one == many and len(one) >= 12
 
 
+def test_leaks_match_brute_force(spark, docs):
+    r = random.Random(12)
+    items = [(k, prose(r.choice((8, 12, 20)), 400 + k)) for k in range(6)] + [(None, prose(15, 900)), (7, "  "), (3, prose(12, 777))]
+    rows = []
+    for k in range(30):
+        words = prose(r.randint(5, 60), 5000 + k).split()
+        if k % 2:
+            item = r.choice(items[:7])[1].split()
+            for _ in range(r.choice((0, 0, 1))):
+                item[r.randrange(len(item))] = "changed"
+            at = r.randrange(len(words))
+            words[at:at] = item
+        rows.append((k, " ".join(words)))
+    rows += [(100, None), (101, items[0][1]), (101, items[0][1]), (None, items[1][1]), (102, "filler words " * 30_000 + items[2][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    index = Index([i for i, t in items if t.strip()], [t for _, t in items if t.strip()])
+    want = []
+    for d, text in rows:
+        words = word_hashes(pa.array([text or ""]))[0]
+        for i, own in enumerate(index.words):
+            m = min(len(own), len(words))
+            if not m:
+                continue
+            best = None
+            for start in range(len(words) - m + 1) if len(words) < 1000 else range(len(words) - m - 20, len(words) - m + 1):
+                if not set(words[start : start + m].tolist()) & set(own.tolist()):
+                    continue
+                gap = int(np.bitwise_count(index.fingerprints(words[start : start + m], np.array([0]), m) ^ index.prints[i])[0])
+                s = index.similarity(words[start : start + m], i) if gap <= RADIUS else 0
+                if s >= 0.8 and (best is None or s > best[3]):
+                    best = (start, m, gap, s)
+            if best:
+                want.append((d, index.ids[i], *best))
+    got = [tuple(x) for x in leaks(docs(rows), bench).collect()]
+    assert len(want) > 12 and sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_the_index_finds_every_fingerprint_in_the_radius():
     index = Index(list(range(40)), [prose(30, k) for k in range(40)])
     r = np.random.default_rng(2)

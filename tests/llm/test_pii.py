@@ -77,7 +77,7 @@ def test_sanitised_texts(spark, docs):
     out = sanitised(docs(rows))
     got = {r["doc_id"]: r["text"] for r in out.collect()}
     assert out.columns == docs([]).columns and got[500] is None and got[100] == "The chief wrote on a day in that year ."
-    assert got[3] in ("Year 3: chief  wrote to [EMAIL] on day 3 of it.", "Year 3: chief [TERM] wrote to [EMAIL] on day 3 of it.")
+    assert got[3] in ("Year 3: chief  wrote to [EMAIL] on day 3 of it.", "Year 3: chief [NAME] wrote to [EMAIL] on day 3 of it.")
 
 
 def test_rare_entities_have_terms_and_all_their_occurrences_are_marked(spark, docs):
@@ -97,3 +97,59 @@ def test_contexts_reach_past_other_entities_and_to_the_text_s_edges(spark, docs)
     assert got[2] == [("x" * 79 + " ", " " + "y" * 79)]
     text = " " + "k@l.mm " * 40 + " "
     assert got[3] == [(text[max(0, 7 * i - 79) : 7 * i + 1], text[7 * i + 7 :][:80]) for i in range(40)]
+
+
+def test_columns_of_any_name_pass_through(spark, docs):
+    names = ["_key", "_cuts", "key", "row", "cuts", "a.b"]
+    rows = docs([(1, "mail a@b.com now"), (2, None), (3, "nothing")]).selectExpr("*", *[f"doc_id * 10 + {i} AS `{n}`" for i, n in enumerate(names)])
+    got = {r["doc_id"]: r for r in sanitised(rows).collect()}
+    for i, r in got.items():
+        assert [r[n] for n in names] == [10 * i + k for k in range(len(names))]
+    assert got[2]["text"] is None and "[EMAIL]" in got[1]["text"]
+
+
+def test_disclosing_terms_match_brute_force(spark, docs):
+    import math
+    import random
+
+    r = random.Random(2)
+    common = ["able", "baker", "candle", "donkey", "engine", "forest"]
+    secret = {f"user{k}@site{k}.org": f"Nickname{'abcdefgh'[k]}" for k in range(8)}
+    rows = []
+    for i in range(120):
+        words = [r.choice(common) for _ in range(r.randint(3, 9))]
+        if i % 6 == 0:
+            mail, name = list(secret.items())[(i // 6) % 8]
+            words[1:1] = [name, "wrote", mail] if i % 12 else [name, mail]
+        elif i % 17 == 0:
+            words.insert(2, list(secret.values())[i % 8])
+        rows.append((i, " ".join(words) + " ."))
+    got = personal_data(docs(rows)).collect()
+    found = {row["id"]: {x["value"] for x in row["email"]} for row in got}
+    text = dict(rows)
+
+    def terms(t):
+        return {w.rstrip(".,;:!?").lower() for w in t.split() if re.fullmatch(r"[^\W\d_]{3,}[.,;:!?]{0,3}", w)}
+
+    n = len(rows)
+    n_t, n_e, contexts = {}, {}, {}
+    for i, t in rows:
+        for w in terms(t):
+            n_t[w] = n_t.get(w, 0) + 1
+        for e in found[i]:
+            n_e[e] = n_e.get(e, 0) + 1
+            at = t.index(e)
+            left, right = (" " + t[:at])[-80:], (t[at + len(e) :] + " ")[:80]
+            near = {m.lower() for side in (left, right) for m in re.findall(r"(?<=\s)[^\W\d_]{3,}(?=[.,;:!?]{0,3}\s)", side)}
+            for w in near:
+                contexts.setdefault((e, w), set()).add((left, right))
+    share = {}
+    for (e, w), seen in contexts.items():
+        content = math.log2(n / n_e[e])
+        p = (min(len(seen), n_t[w]) + 1) / (n_t[w] + 2)
+        share[w] = max(share.get(w, 0), (content + math.log2(p)) / content)
+    chosen = {w for w, s in share.items() if s >= 0.9}
+    assert chosen and not chosen & set(common)
+    for row in got:
+        want = sorted((m.start(), m.end()) for m in re.finditer(r"(?<!\S)[^\W\d_]{3,}(?=[.,;:!?]{0,3}(?:\s|$))", text[row["id"]]) if m.group().lower() in chosen)
+        assert [(x["start"], x["end"]) for x in row["term"]] == want
