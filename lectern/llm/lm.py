@@ -34,8 +34,8 @@ from lectern.llm.decontaminate import member
 TABLE, CLASSES, CLASS_SIZE = 1 << 18, 32, 32
 #: Characters that all weights start from, the share of the corpus that partitions then learn from, and a piece's length.
 START_CHARS, SHARE, PIECE = 2_000_000, 0.125, 20_000
-#: Partitions whose weights are summed in one task.
-PARTY = 64
+#: Partitions whose weights are summed in one task, and the blocks that the weights are cut into for it.
+PARTY, BLOCKS = 64, 16
 HIDDEN, BUCKETS, WINDOW, LANES = 24, 128, 32, 128
 END = np.uint64(0)
 _BREAK = np.zeros(256, bool)
@@ -334,11 +334,12 @@ def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
 def refined(model: Model, rows: DataFrame, share: float, rate: float = 0.004) -> Model:
     """The mean, by tokens seen, of the weights that every partition learns from its share of the pieces.
 
-    Sums are taken in groups of PARTY partitions, twice, so that no task and not the driver gets all.
+    Sums are taken block by block in groups of PARTY partitions, twice, so that no task and not the
+    driver gets all.
     """
     shared = session(rows).sparkContext.broadcast(model)
     names = sorted(model.weights)
-    schema = "party int, who long, sums binary, n long"
+    schema = "party int, block int, who long, sums binary, n long"
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -355,7 +356,9 @@ def refined(model: Model, rows: DataFrame, share: float, rate: float = 0.004) ->
         if seen:
             flat = np.concatenate([own.weights[k].ravel() for k in names]).astype(np.float64) * seen
             part = TaskContext.get().partitionId() if TaskContext.get() else 0
-            yield pa.RecordBatch.from_arrays([pa.array([part // PARTY], pa.int32()), pa.array([part], pa.int64()), pa.array([flat.tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["party", "who", "sums", "n"])
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64())
+            cols = ([part // PARTY] * BLOCKS, range(BLOCKS), [part] * BLOCKS, [x.tobytes() for x in np.array_split(flat, BLOCKS)], [seen] * BLOCKS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["party", "block", "who", "sums", "n"])
 
     def add(group: pa.Table) -> pa.Table:
         group = group.sort_by("who")
@@ -364,16 +367,16 @@ def refined(model: Model, rows: DataFrame, share: float, rate: float = 0.004) ->
             one = np.frombuffer(x.as_buffer(), np.float64)
             total = one.copy() if total is None else total + one
         party = group.column("party")[0].as_py()
-        return pa.table({"party": pa.array([party // PARTY], pa.int32()), "who": pa.array([party], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary()), "n": pa.array([sum(group.column("n").to_pylist())], pa.int64())})
+        return pa.table({"party": pa.array([party // PARTY], pa.int32()), "block": group.column("block")[:1], "who": pa.array([party], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary()), "n": pa.array([sum(group.column("n").to_pylist())], pa.int64())})
 
     parts = pieces(rows, share).mapInArrow(learn, schema)
     for _ in range(2):
-        parts = parts.groupBy("party").applyInArrow(add, schema)
-    got = sorted(parts.select("who", "sums", "n").collect())  # a row for PARTY * PARTY partitions
-    n = sum(r["n"] for r in got)
+        parts = parts.groupBy("party", "block").applyInArrow(add, schema)
+    got = sorted(parts.select("block", "who", "sums", "n").collect())  # the weights once for PARTY * PARTY partitions
+    n = sum(r["n"] for r in got if r["block"] == 0)
     if not n:
         return model
-    mean = sum(np.frombuffer(bytes(r["sums"]), np.float64) for r in got) / n
+    mean = np.concatenate([sum(np.frombuffer(bytes(r["sums"]), np.float64) for r in got if r["block"] == b) for b in range(BLOCKS)]) / n
     cuts = np.cumsum([model.weights[k].size for k in names])[:-1]
     return Model(model.words, {k: v.reshape(model.weights[k].shape).astype(np.float32) for k, v in zip(names, np.split(mean, cuts), strict=True)})
 
