@@ -89,13 +89,21 @@ def paired_deltas(baseline: DataFrame, variant: DataFrame) -> DataFrame:
     return baseline.select("qid", F.col("value").alias("a")).join(variant.select("qid", F.col("value").alias("b")), "qid").select("qid", "a", "b", (F.col("b") - F.col("a")).alias("delta"))
 
 
+def _blocks(rounds: int, n: int, cells: int = 2_000_000) -> list[int]:
+    """Rounds dealt into blocks of so many resampled numbers."""
+    each = max(1, cells // max(n, 1))
+    return [min(each, rounds - done) for done in range(0, rounds, each)]
+
+
 def bca_interval(deltas: np.ndarray, rounds: int = 10_000, alpha: float = 0.05, rng: np.random.Generator | None = None) -> tuple[float, float]:
     """Bias-corrected, accelerated bootstrap interval of a mean; the mean itself for degenerate samples."""
-    n, mean = len(deltas), float(np.mean(deltas)) if len(deltas) else float("nan")
-    if n < 2 or np.allclose(deltas, deltas[0]):
+    if not len(deltas):
+        return float("nan"), float("nan")
+    n, mean = len(deltas), float(np.mean(deltas))
+    if np.ptp(deltas) <= 1e-12 * max(1.0, abs(mean)):
         return mean, mean
     rng = rng or np.random.default_rng(0)
-    means = deltas[rng.integers(0, n, (rounds, n))].mean(1)
+    means = np.concatenate([deltas[rng.integers(0, n, (k, n))].mean(1) for k in _blocks(rounds, n)])
     normal = NormalDist()
     z0 = normal.inv_cdf(float(np.clip(np.mean(means < mean), 1 / rounds, 1 - 1 / rounds)))
     gone = (deltas.sum() - deltas) / (n - 1)
@@ -121,8 +129,8 @@ def sign_flip_p(deltas: np.ndarray, rounds: int = 10_000, rng: np.random.Generat
             sums = np.concatenate([sums + d, sums - d])
         return float(np.mean(np.abs(sums) / n >= seen))
     rng = rng or np.random.default_rng(0)
-    means = np.abs((rng.choice([-1.0, 1.0], (rounds, n)) * deltas).mean(1))
-    return float((np.sum(means >= seen) + 1) / (rounds + 1))
+    hits = sum(int((np.abs(((2.0 * rng.integers(0, 2, (k, n)) - 1) * deltas).mean(1)) >= seen).sum()) for k in _blocks(rounds, n))
+    return (hits + 1) / (rounds + 1)
 
 
 def compare_metrics(pairs: DataFrame, lower_is_better: Sequence[str] = (), alpha: float = 0.05, rounds: int = 10_000, seed: int = 0) -> DataFrame:
@@ -188,4 +196,4 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int, seed: int
     """n rows of each stratum by a seeded hash of the key: the same sample on every run."""
     from lectern.operators.ranking import ranked
 
-    return ranked(rows, [stratum], [F.xxhash64(F.lit(seed), key), F.col(key)], "_n").where(F.col("_n") < n).drop("_n")
+    return ranked(rows, [stratum], [F.xxhash64(F.lit(seed), key), F.col(key)], "_n", n).drop("_n")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.operators.ranking import ranked
+from lectern.operators.ranking import ranked, ranked_all
 
 
 # Vectors
@@ -30,7 +30,7 @@ def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int = 60, key: str =
         raise ValueError(f"over {most} query vectors; search them in blocks")
     pairs = corpus.select(F.col(key).alias("key"), F.col(vector).alias("_v")).crossJoin(F.broadcast(queries.select("qid", F.col("vector").alias("_q"))))
     near = pairs.select("qid", "key", F.round(cosine_distance(F.col("_v"), F.col("_q")), 9).alias("distance"))
-    return ranked(near, ["qid"], [F.col("distance"), F.col("key")]).where(F.col("rank") < k)
+    return ranked(near, ["qid"], [F.col("distance"), F.col("key")], most=k)
 
 
 def path_keys(rows: DataFrame, path: str, canonical: DataFrame, order: str, by: Sequence[str]) -> DataFrame:
@@ -68,7 +68,7 @@ def topology_scores(edges: DataFrame, facets: DataFrame, paths: DataFrame) -> Da
     crosses = F.exists("fa", lambda x: F.exists("fb", lambda y: x != y))
     each = joined.select("a", "b", (F.when(crosses, 1.0).otherwise(0.0) + F.log1p(F.greatest(F.lit(0.0), finite))).alias("s")).where("s > 0")
     scores = each.join(paths, ["a", "b"]).groupBy("key").agg(F.round(F.sum("s"), 9).alias("score"))
-    return ranked(scores, [], [F.col("score").desc(), F.col("key")])
+    return ranked_all(scores, [-F.col("score"), F.col("key")])
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -196,8 +196,12 @@ def worst_of(states: DataFrame, by: Sequence[str], state: str, order: Sequence[s
 
 
 def percentile_index(rows: DataFrame, by: Sequence[str], value: str, q: float, nearest: bool = False) -> DataFrame:
-    """Per group the sorted value at min(n - 1, int(q n)), or at ceil(q n) - 1: two definitions that differ."""
-    n = F.count("*").over(Window.partitionBy(*by))
+    """Per group the sorted value at min(n - 1, int(q n)), or at ceil(q n) - 1: two definitions that differ.
+
+    Null values count as none. Equal values are counted before a group's values meet.
+    """
+    held = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    n = F.sum("_c").over(Window.partitionBy(*by))
     at = F.greatest(F.lit(0), F.ceil(q * n) - 1) if nearest else F.least(n - 1, F.floor(q * n))
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1
-    return rows.withColumns({"_at": at, "_p": place}).where("_at = _p").select(*by, F.col(value).alias("percentile"))
+    return held.withColumns({"_upto": upto, "_at": at}).where("_upto > _at AND _upto - _c <= _at").select(*by, F.col(value).alias("percentile"))

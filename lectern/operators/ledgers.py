@@ -79,7 +79,7 @@ def mismatches(rows: DataFrame, differs: Column, threshold: int = 0) -> DataFram
 def sliding_breaker(events: DataFrame, by: str, at: str, failed: str, threshold: int = 30, window: float = 300.0, cooldown: float = 600.0) -> DataFrame:
     """State of a breaker after each event: CLOSED, OPEN (calls refused until the cooldown ends) or HALF_OPEN.
 
-    Failures of the last `window` seconds open it; after the cooldown one call probes: a failure opens
+    Failures of the last `window` seconds, the border included, open it; after the cooldown one call probes: a failure opens
     it anew, a success closes it and forgets. A key's events are folded in order.
     """
     kind = events.schema[by].dataType.simpleString()
@@ -93,7 +93,7 @@ def sliding_breaker(events: DataFrame, by: str, at: str, failed: str, threshold:
             if state == "HALF_OPEN":
                 state, until, recent = ("OPEN", t + cooldown, []) if bad else ("CLOSED", 0.0, [])
             elif state == "CLOSED" and bad:
-                recent = [x for x in recent if x > t - window] + [t]
+                recent = [x for x in recent if x >= t - window] + [t]
                 if len(recent) >= threshold:
                     state, until, recent = "OPEN", t + cooldown, []
             out.append(state)

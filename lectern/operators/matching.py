@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from lectern.functions.python import sequence_ratio
 from lectern.functions.text import compact_title, normalize_title, set_jaccard, surname, title_jaccard
+from lectern.operators.lineage import saved
 
 
 def doi_then_title(entries: DataFrame, records: DataFrame) -> DataFrame:
@@ -179,26 +180,31 @@ def strict_match(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.where(year & agree("doi") & agree("arxiv_id")).where(same_authors("a_authors", "b_authors")).select("left_id", "right_id")
 
 
-def alias_chase(aliases: DataFrame, depth: int = 64) -> DataFrame:
-    """(key, root, is_cycle) for every key of (key, target): its last target; of a cycle no root.
+def alias_chase(aliases: DataFrame, strict: bool = False) -> DataFrame:
+    """(key, root, is_cycle) for every key of (key, target): its last target; of a cycle, or what leads into one, no root.
 
-    Pointer jumping: the number of joins grows with the logarithm of the longest chain.
+    Pointer jumping: the rounds, each written, grow with the logarithm of the longest chain. A round
+    that ends no further chain leaves cycles only. With strict a cycle raises.
     """
-    now = aliases.select("key", F.col("target").alias("at"))
-    hops = 1
-    while hops < depth:
+    keys = aliases.select(F.col("key").alias("_k")).distinct()
+    now, open_before = saved(aliases.select("key", F.col("target").alias("at")), "chase"), None
+    while True:
+        open_now = now.join(keys, F.col("at") == F.col("_k"), "left_semi").count()
+        if not open_now or open_now == open_before:
+            break
         step = now.select(F.col("key").alias("_k"), F.col("at").alias("_next"))
-        now = now.join(step, F.col("at") == F.col("_k"), "left").select("key", F.coalesce("_next", "at").alias("at"))
-        hops *= 2
-    still = aliases.select(F.col("key").alias("_k")).distinct()
-    out = now.join(still, F.col("at") == F.col("_k"), "left")
+        now = saved(now.join(step, F.col("at") == F.col("_k"), "left").select("key", F.coalesce("_next", "at").alias("at")), "chase")
+        open_before = open_now
+    if strict and open_now:
+        raise ValueError(f"{open_now} keys are in a cycle or lead into one")
+    out = now.join(keys, F.col("at") == F.col("_k"), "left")
     return out.select("key", F.when(F.col("_k").isNull(), F.col("at")).alias("root"), F.col("_k").isNotNull().alias("is_cycle"))
 
 
-def section_roots(sections: DataFrame, units: DataFrame, depth: int = 64) -> DataFrame:
-    """(unit_id, root): follow parent pointers, as long as exactly one parent matches."""
+def section_roots(sections: DataFrame, units: DataFrame) -> DataFrame:
+    """(unit_id, root): follow parent pointers, as long as exactly one parent matches; in a cycle no root."""
     single = sections.join(units.select(F.col("unit_id").alias("parent_id")), "parent_id").groupBy("unit_id").agg(F.count_distinct("parent_id").alias("n"), F.min("parent_id").alias("target")).where("n = 1").select(F.col("unit_id").alias("key"), "target")
-    roots = alias_chase(single, depth)
+    roots = alias_chase(single)
     return units.select("unit_id").join(roots, F.col("unit_id") == F.col("key"), "left").select("unit_id", F.when(F.coalesce("is_cycle", F.lit(False)), F.lit(None)).otherwise(F.coalesce("root", "unit_id")).alias("root"))
 
 

@@ -68,11 +68,23 @@ def change_fold(journal: DataFrame, by: Sequence[str] = ("row_id",)) -> DataFram
     return last.where("c.operation <> 'DELETE'").select(*by, "c.new_row.*")
 
 
-def state_digest(rows: DataFrame, key: str, payload: Column, buckets: int = 256) -> DataFrame:
-    """One sha256 over all rows in key order, via digests of key ranges of bounded size."""
-    leaves = rows.select(F.col(key).cast("string").alias("_k"), F.sha2(payload, 256).alias("_h")).withColumn("_b", F.substring(F.sha2("_k", 256), 1, 2))
-    middle = leaves.groupBy("_b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_h"))), lambda x: F.concat(x["_k"], F.lit("="), x["_h"])), "\n"), 256).alias("_h"), F.count("*").alias("_n"))
-    return middle.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_h"))), lambda x: x["_h"]), "\n"), 256).alias("digest"), F.sum("_n").alias("n_rows"))
+def state_digest(rows: DataFrame, key: str, payload: Column, leaf: int = 4096) -> DataFrame:
+    """One sha256 over all rows, by a tree over the hashes of their keys, and n_rows.
+
+    The tree has a digit of the hash a level, as many levels as keep some `leaf` rows under a node,
+    so that no node grows with the table. Rows stand in the order of their keys' hashes, of equal
+    keys in that of their payloads' hashes; payload hashes are part of the digest, null ones as such.
+    """
+    depth, n = 0, rows.count()
+    while n > leaf << (4 * depth):
+        depth += 1
+    payload_hash = F.sha2(F.coalesce(payload, F.lit("\x00")), 256)
+    level = rows.select(F.sha2(F.coalesce(F.col(key).cast("string"), F.lit("\x00")), 256).alias("_k"), payload_hash.alias("_h"), F.lit(1).cast("long").alias("_n"))
+    for digits in range(depth, -1, -1):
+        child = F.concat(F.col("_k"), F.lit("="), F.col("_h"))
+        joined = F.sha2(F.array_join(F.array_sort(F.collect_list(child)), "\n"), 256)
+        level = level.groupBy(F.substring("_k", 1, digits).alias("_k")).agg(joined.alias("_h"), F.sum("_n").alias("_n"))
+    return level.agg(F.coalesce(F.max("_h"), F.sha2(F.lit(""), 256)).alias("digest"), F.sum("_n").alias("n_rows"))
 
 
 def catalog_compare(left: DataFrame, right: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:

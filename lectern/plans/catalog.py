@@ -66,15 +66,15 @@ def forks(t):
     return C.fork_generation(rows, "g1", "g2", "job_id")
 
 
-@query("""SELECT o_orderpriority AS backend, count(*) FILTER (o_totalprice < 400000) = 100 AS degraded FROM orders WHERE o_orderkey < 500 GROUP BY 1""")
+@query("""SELECT s_nationkey AS backend, count(*) FILTER (s_suppkey % 4 < 3) = 3 AS degraded FROM supplier GROUP BY 1""")
 def backend_health(t):
-    return C.source_health(t("orders").where("o_orderkey < 500").select(F.col("o_orderpriority").alias("backend"), (F.col("o_totalprice") < 400000).alias("degraded")), 100)
+    return C.source_health(t("supplier").select(F.col("s_nationkey").alias("backend"), (F.col("s_suppkey") % 4 < 3).alias("degraded")), 3)
 
 
-@query("""SELECT doc_id, 'Title: Doc ' || doc_id || chr(10) || 'Authors: A, B' || chr(10) || 'Abstract: ' || trim(trim(regexp_replace(text, '\\s+', ' ', 'g'))[1:200]) AS doc FROM documents WHERE NOT regexp_matches(text, '[<&]') AND trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''""")
+@query("""SELECT doc_id, 'Title: Doc ' || doc_id || chr(10) || 'Authors: A, B' || chr(10) || 'Abstract: ' || trim(plain[1:6000]) AS doc FROM (SELECT doc_id, replace(replace(replace(replace(replace(trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS plain FROM documents) WHERE plain <> ''""")
 def abstract_documents(t):
-    doc = C.abstract_document(F.concat(F.lit("Doc "), F.col("doc_id").cast("string")), F.array(F.lit("A"), F.lit("B")), F.lit(None).cast("int"), F.lit(" "), F.col("text"), 200)
-    return t("documents").where(~F.col("text").rlike("[<&]")).select("doc_id", doc.alias("doc")).where("doc IS NOT NULL")
+    doc = C.abstract_document(F.concat(F.lit("Doc "), F.col("doc_id").cast("string")), F.array(F.lit("A"), F.lit("B")), F.lit(None).cast("int"), F.lit(" "), F.col("text"))
+    return t("documents").select("doc_id", doc.alias("doc")).where("doc IS NOT NULL")
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'canon' WHEN doc_id % 3 = 1 THEN 'fulltext' ELSE 'abstract_only' END AS kind, 'd' || doc_id AS key FROM documents""")

@@ -23,14 +23,14 @@ ranked AS (SELECT term_idx, row_number() OVER (PARTITION BY term_idx ORDER BY ro
 """
 
 
-def bm25_lists(t):
+def bm25_lists(t, most=None):
     queries = t("documents").sparkSession.createDataFrame(list(enumerate(TERMS)), "term_idx int, term string")
-    return R.bm25(t("documents"), queries, key="doc_id")
+    return R.bm25(t("documents"), queries, key="doc_id", most=most)
 
 
 @query(_BM25 + "SELECT term_idx, CAST(rank AS INTEGER) AS rank, key, round(score, 6) AS score FROM ranked WHERE rank < 100")
 def bm25_terms(t):
-    return bm25_lists(t).where("rank < 100").select("term_idx", "rank", "key", F.round("score", 6).alias("score"))
+    return bm25_lists(t, 100).select("term_idx", "rank", "key", F.round("score", 6).alias("score"))
 
 
 @query(_BM25 + "SELECT key, round(sum(1.0 / (60 + rank)), 9) AS rrf FROM ranked GROUP BY key ORDER BY round(sum(1.0 / (60 + rank)), 12) DESC, key LIMIT 20")
@@ -154,10 +154,16 @@ def gated(t):
     return R.gate(t("part").select(F.col("p_partkey").alias("key")), scores).select("key", "score")
 
 
-@query()
+@query(_PARTS.replace("WITH rows", "WITH RECURSIVE rows") + """, w AS (SELECT qid, CAST(1 + key % 15 AS BIGINT) AS mask, min(rank) AS i FROM rows WHERE key % 3 = 0 GROUP BY 1, 2),
+s AS (SELECT DISTINCT qid, CAST(0 AS BIGINT) AS have, 0 AS n, 0 AS moved, CAST(0 AS BIGINT) AS total, CAST([] AS BIGINT[]) AS ids, CAST(-1 AS BIGINT) AS top FROM rows
+UNION ALL SELECT s.qid, have | mask, n + 1, moved + CAST(i >= 3 AS INTEGER), total + i, list_append(ids, i), i FROM s JOIN w ON w.qid = s.qid AND i > top WHERE n < 3),
+b AS (SELECT qid, ids FROM (SELECT qid, ids, row_number() OVER (PARTITION BY qid ORDER BY have & 1 DESC, have & 2 DESC, have & 4 DESC, have & 8 DESC, moved, n, total, ids) AS r FROM s) WHERE r = 1),
+m AS (SELECT rows.qid, key, rank, len(ids) AS taken, list_contains(ids, rank) AS w FROM rows JOIN b ON b.qid = rows.qid),
+f AS (SELECT *, row_number() OVER (PARTITION BY qid, w ORDER BY rank) AS nth FROM m)
+SELECT qid, key, CAST(row_number() OVER (PARTITION BY qid ORDER BY w OR nth <= 3 - taken DESC, rank) - 1 AS INTEGER) AS rank FROM f""")
 def named_covers(t):
-    rows = parts(t).withColumns({"mask": F.pow(F.lit(2), F.col("key") % 5).cast("int"), "score": F.when(F.col("key") % 11 == 0, 0.9).otherwise(0.3)})
-    return R.named_cover(rows, 5, 10)
+    rows = parts(t).withColumns({"mask": (1 + F.col("key") % 15).cast("int"), "score": F.when(F.col("key") % 3 == 0, 0.9).otherwise(0.3)})
+    return R.named_cover(rows, 4, 3)
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 OR c_custkey % 31 < 5 THEN 'empty' WHEN c_custkey % 4 >= c_custkey % 6 THEN 'weak' WHEN c_custkey % 31 < 20 THEN 'thin' ELSE 'strong' END AS band,
@@ -189,11 +195,11 @@ def outfeeds(t):
 
 
 @query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-d AS (SELECT q.vec_id AS qid, c.vec_id AS key, round(1 - list_sum(list_transform(list_zip(q.e, c.e), lambda x: x[1] * x[2])) / (sqrt(list_sum(list_transform(q.e, lambda x: x * x))) * sqrt(list_sum(list_transform(c.e, lambda x: x * x)))), 9) AS distance FROM v q, v c WHERE q.vec_id < 5)
+d AS (SELECT q.vec_id AS qid, c.vec_id AS key, round(1 - list_sum(list_transform(list_zip(q.e, c.e), lambda x: x[1] * x[2])) / (sqrt(list_sum(list_transform(q.e, lambda x: x * x))) * sqrt(list_sum(list_transform(c.e, lambda x: x * x)))), 9) AS distance FROM v q, v c WHERE q.vec_id % 100 = 0)
 SELECT qid, CAST(rank AS INTEGER) AS rank, key, CASE WHEN distance = 0 THEN 0.0 ELSE distance END AS distance FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY distance, key) - 1 AS rank, key, distance FROM d) WHERE rank < 60""")
 def vector_search(t):
     e = t("embeddings")
-    queries = e.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
     return G.vector_top_k(e, queries, 60, "vec_id", "embedding").select("qid", "rank", "key", "distance")
 
 
@@ -226,11 +232,10 @@ def edge_degree_sums(t):
     return G.edge_degrees(supply(t))
 
 
-@query(_EDGES + "SELECT a, b, CAST(weight AS DOUBLE) AS weight, file_path FROM e WHERE CAST(a[2:] AS INTEGER) < 200 AND CAST(b[2:] AS INTEGER) < 20 ORDER BY a, b LIMIT 1000")
+@query(_EDGES + "SELECT a, b, CAST(weight AS DOUBLE) AS weight, file_path FROM e WHERE CAST(a[2:] AS INTEGER) % 3 <> 0 AND CAST(b[2:] AS INTEGER) % 2 = 0")
 def edges_between(t):
-    spark = t("part").sparkSession
-    nodes = spark.range(200).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("id")).union(spark.range(20).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("id")))
-    return G.edges_within(supply(t), nodes, 1000).select("a", "b", "weight", "file_path")
+    nodes = t("part").where("p_partkey % 3 <> 0").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id")).union(t("supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))))
+    return G.edges_within(supply(t), nodes).select("a", "b", "weight", "file_path")
 
 
 @query(_EDGES + """, s AS (SELECT file_path AS key, sum(CASE WHEN CAST(a[2:] AS INTEGER) % 2 = 0 OR CAST(b[2:] AS INTEGER) % 2 = 1 THEN 1.0 ELSE 0.0 END + ln(1 + weight)) AS score FROM e GROUP BY file_path)

@@ -177,9 +177,9 @@ def routes(t):
     return t("lineitem").select(route.alias("route"), tier.alias("tier")).groupBy("route", "tier").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, regexp_matches(text, '(?i)(^|[^\\w])(the|les|und)([^\\w]|$)') AS named FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')""")
+@query("""SELECT doc_id, regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}\\p{M}_])(the|les|und)([^\\p{L}\\p{N}\\p{M}_]|$)') AS named FROM documents""")
 def named_entities(t):
-    return t("documents").where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", R.names_entity(F.col("text"), ["the", "les", "und"]).alias("named"))
+    return t("documents").select("doc_id", R.names_entity(F.col("text"), ["the", "les", "und"]).alias("named"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 1990 + c_custkey % 30 END AS year, c_custkey % 4 = 0 AS is_review, CASE WHEN c_custkey % 2 = 0 THEN '10.1234/a' || c_custkey ELSE '' END AS doi FROM customer""")
@@ -208,13 +208,16 @@ def sentence_chunks(t):
 def heading_sections(t):
     titled = F.concat(F.lit("# Head\n\n"), F.regexp_replace("text", "\n", "\n\n## Part\n\n"))
     docs = t("documents").select("doc_id", P.sectioner(500)(titled).alias("s"))
-    return docs.select("doc_id", F.explode("s").alias("s")).select("doc_id", "s.section_id", F.length("s.content").alias("chars"))
+    return docs.select("doc_id", F.explode("s").alias("s")).select("doc_id", "s.section_id", "s.content")
 
 
-@query()
+@query("""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '(?i)(references|bibliography|#)', 'x', 'g'), concat(' ', chr(9), chr(10), chr(13))) AS body FROM documents),
+c AS (SELECT doc_id, body || chr(10) || chr(10) || '## 5. Acknowledgements' || chr(10) || 'We thank all.' || chr(10) || chr(10) || '## Appendix' || chr(10) || 'More.' AS whole, trim(body || chr(10) || chr(10) || '## Appendix' || chr(10) || 'More.', concat(' ', chr(9), chr(10), chr(13))) AS less FROM t)
+SELECT doc_id, CASE WHEN 2 * length(less) >= length(whole) THEN less ELSE whole END AS text FROM c""")
 def cleaned_extracts(t):
-    tail = F.lit("\n\n## Acknowledgements\nWe thank all.\n\n## Appendix\nMore.\n\n# References\n[1] A. B.")
-    return t("documents").select("doc_id", F.length("text").alias("chars"), F.length(P.clean_extract(F.concat("text", tail))).alias("clean_chars"))
+    body = F.regexp_replace(F.regexp_replace(F.col("text"), "(?i)(references|bibliography|#)", "x"), r"^[ \t\n\r]+|[ \t\n\r]+$", "")
+    tail = F.lit("\n\n## 5. Acknowledgements\nWe thank all.\n\n## Appendix\nMore.\n\n# References\n[1] A. B.")
+    return t("documents").select("doc_id", P.clean_extract(F.concat(body, tail)).alias("text"))
 
 
 @query()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,7 +78,11 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def write_once(blobs: DataFrame, content: str, path: str) -> DataFrame:
-    """Store contents under their sha256, those not there yet; returns (digest, length) of the new ones."""
+    """Store contents under their sha256, those not there yet; returns (digest, length) of the new ones.
+
+    Each call writes a folder of its own and refuses one that is there; nothing written is touched
+    again. Two calls at once may both store a content, under one digest and alike.
+    """
     spark = blobs.sparkSession
     new = blobs.select(F.sha2(F.col(content).cast("binary"), 256).alias("digest"), F.col(content).alias("content")).groupBy("digest").agg(F.first("content").alias("content"))
     try:
@@ -84,10 +90,9 @@ def write_once(blobs: DataFrame, content: str, path: str) -> DataFrame:
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-    new = new.withColumn("length", F.octet_length("content"))
-    out = new.select("digest", "length").collect()
-    new.write.mode("append").parquet(path)
-    return spark.createDataFrame(out, "digest string, length int")
+    target = f"{path}/batch={uuid.uuid4().hex}"
+    new.withColumn("length", F.octet_length("content")).write.mode("error").parquet(target)
+    return spark.read.schema("digest string, length int").parquet(target)
 
 
 def normalise_hits(hits: DataFrame) -> DataFrame:

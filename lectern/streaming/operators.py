@@ -38,7 +38,7 @@ def breaker(events: DataFrame, key: str, threshold: int = 30, window: float = 30
             if phase == "HALF_OPEN":
                 phase, until, recent = ("OPEN", at + cooldown, []) if failed else ("CLOSED", 0.0, [])
             elif phase == "CLOSED" and failed:
-                recent = [x for x in recent if x > at - window] + [at]
+                recent = [x for x in recent if x >= at - window] + [at]
                 if len(recent) >= threshold:
                     phase, until, recent = "OPEN", at + cooldown, []
             out.append(phase)
