@@ -193,7 +193,153 @@ def judge_violations(rows: DataFrame) -> DataFrame:
 
 
 def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows of each stratum by a seeded hash of the key: the same sample on every run."""
+    """n rows of each stratum by a seeded digest of the key: the same sample on every run."""
     from lectern.operators.ranking import ranked
 
-    return ranked(rows, [stratum], [F.xxhash64(F.lit(seed), key), F.col(key)], "_n", n).drop("_n")
+    return ranked(rows, [stratum], [F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)], "_n", n).drop("_n")
+
+
+# Runs
+
+
+def served_metrics(results: DataFrame, gold: DataFrame) -> DataFrame:
+    """(qid, recall, citation_recall, hallucinated) of every answerable question that was answered.
+
+    results: (qid, served, cited, prose), arrays of keys, prose null without an answer's text; gold: (qid,
+    gold_keys), empty for a trap. Recall counts gold among all that was served, citation recall among the
+    cited; hallucinated is the share of citations in the prose that were not served (null without any),
+    or, without prose, of the cited keys.
+    """
+    both = results.join(gold.where(F.size("gold_keys") > 0), "qid")
+    want, served, cited = (F.array_distinct(c) for c in ("gold_keys", "served", "cited"))
+    prose = F.array_distinct("prose")
+    told = F.when(F.size(prose) > 0, F.size(F.array_except(prose, served)) / F.size(prose))
+    plain = F.size(F.array_except(cited, served)) / F.greatest(F.lit(1), F.size(cited))
+    return both.select("qid", (F.size(F.array_intersect(want, served)) / F.size(want)).alias("recall"), (F.size(F.array_intersect(want, cited)) / F.size(want)).alias("citation_recall"), F.when(F.col("prose").isNull(), plain).otherwise(told).alias("hallucinated"))
+
+
+def run_evaluation(results: DataFrame, gold: DataFrame) -> DataFrame:
+    """One row: questions, traps, answerable ones, and the means of their metrics where these are defined.
+
+    results: (qid, served, cited, answered); gold: (qid, gold_keys). A trap is violated if it is answered
+    with a citation; an answerable question is overconfident if it cites nothing of its gold but something else.
+    A result without gold raises.
+    """
+    both = results.join(gold, "qid", "left")
+    known = both.withColumn("gold_keys", F.when(F.col("gold_keys").isNull(), F.raise_error(F.concat(F.lit("no gold for "), F.col("qid").cast("string"))).cast(both.schema["gold_keys"].dataType)).otherwise(F.col("gold_keys")))
+    trap = F.size("gold_keys") == 0
+    want, served, cited = (F.array_distinct(c) for c in ("gold_keys", "served", "cited"))
+    hits = F.size(F.array_intersect(want, cited))
+    per = known.select(
+        trap.alias("trap"),
+        F.when(~trap, F.size(F.array_intersect(want, served)) / F.size(want)).alias("recall"),
+        F.when(~trap, hits / F.size(want)).alias("citation_recall"),
+        F.when(~trap & (F.size(cited) > 0), F.size(F.array_except(cited, served)) / F.size(cited)).alias("hallucinated"),
+        F.when(trap, (F.col("answered") & (F.size(cited) > 0)).cast("double")).alias("trap_violation"),
+        F.when(~trap, ((F.size(cited) > 0) & (hits == 0)).cast("double")).alias("overconfident"),
+    )
+    means = [F.round(F.avg(c), 9).alias(c) for c in ("recall", "citation_recall", "hallucinated", "trap_violation", "overconfident")]
+    return per.agg(F.count("*").alias("n"), F.count_if("trap").alias("n_traps"), F.count_if(~F.col("trap")).alias("n_answerable"), *means)
+
+
+def recall_curve(served: DataFrame, gold: DataFrame, cuts: Sequence[int]) -> DataFrame:
+    """(qid, cut, recall): the share of gold keys among the first rows, for all cuts from one join."""
+    first = served.groupBy("qid", "key").agg(F.min("rank").alias("at"))
+    hits = gold.select("qid", "key").distinct().join(first, ["qid", "key"], "left")
+    per = hits.groupBy("qid").agg(*[(F.count_if(F.coalesce(F.col("at") < c, F.lit(False))) / F.count("*")).alias(f"c{c}") for c in cuts])
+    return per.select("qid", F.explode(F.array(*[F.struct(F.lit(c).alias("cut"), F.col(f"c{c}").alias("recall")) for c in cuts])).alias("x")).select("qid", "x.*")
+
+
+def movable(pairs: DataFrame, least: float = 1e-9) -> DataFrame:
+    """The questions that move: (metric, qid, a, b) with |b - a| above `least`."""
+    return pairs.where(F.abs(F.col("b") - F.col("a")) > least)
+
+
+def mover_jackknife(pairs: DataFrame, least: float = 1e-9) -> DataFrame:
+    """Per metric: questions, movers, and whether the gain survives without any one mover.
+
+    It needs two movers, and after each is left out a mean gain of the others above 0.
+    """
+    moved = movable(pairs, least).groupBy("metric").agg(F.count("*").alias("n_movers"), F.sum(F.col("b") - F.col("a")).alias("_s"), F.max(F.col("b") - F.col("a")).alias("_top"))
+    n = pairs.groupBy("metric").agg(F.count("*").alias("n"))
+    both = n.join(moved, "metric", "left")
+    return both.select("metric", "n", F.coalesce("n_movers", F.lit(0)).alias("n_movers"), F.coalesce((F.col("n_movers") > 1) & (F.col("_s") - F.col("_top") > 0), F.lit(False)).alias("survives"))
+
+
+def mean_gates(baseline: DataFrame, variant: DataFrame, rules: DataFrame) -> DataFrame:
+    """(metric, regressed, evaluable, n_missing): absolute gates on means, failing closed.
+
+    A metric regresses if its mean is worse by more than epsilon. Without a common question, or with
+    one that the baseline has and the variant lacks, it cannot be evaluated and counts as regressed.
+    baseline, variant: (metric, qid, value); rules: (metric, higher_is_better, epsilon).
+    """
+    both = baseline.select("metric", "qid", F.col("value").alias("a")).join(variant.select("metric", "qid", F.col("value").alias("b")), ["metric", "qid"], "left")
+    per = both.groupBy("metric").agg(F.count("*").alias("_n"), F.count_if(F.col("b").isNull()).alias("n_missing"), F.avg(F.when(F.col("b").isNotNull(), F.col("a"))).alias("_a"), F.avg("b").alias("_b"))
+    out = rules.join(per, "metric", "left")
+    evaluable = F.coalesce(F.col("n_missing") == 0, F.lit(False))
+    worse = F.when(F.col("higher_is_better"), F.col("_a") - F.col("_b")).otherwise(F.col("_b") - F.col("_a"))
+    return out.select("metric", (~evaluable | F.coalesce(worse > F.col("epsilon"), F.lit(True))).alias("regressed"), evaluable.alias("evaluable"), F.coalesce("n_missing", F.lit(0)).alias("n_missing"))
+
+
+def paired_gates(comparison: DataFrame, rules: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """(metric, regressed): significantly worse, or worse in the mean by more than epsilon; a metric that was not compared regresses.
+
+    comparison: from compare_metrics(); rules: (metric, higher_is_better, epsilon).
+    """
+    both = rules.join(comparison, "metric", "left")
+    bad = F.when(F.col("higher_is_better"), F.col("ci_high") < 0).otherwise(F.col("ci_low") > 0) & (F.col("p") < alpha)
+    worse = F.when(F.col("higher_is_better"), F.col("mean_a") - F.col("mean_b")).otherwise(F.col("mean_b") - F.col("mean_a"))
+    return both.select("metric", F.coalesce(bad | (worse > F.col("epsilon")), F.lit(True)).alias("regressed"))
+
+
+def breakdown(precision: DataFrame, intents: DataFrame, judged: DataFrame, served: DataFrame) -> DataFrame:
+    """(type, n, precision, under_judged, unscored): means by a question's type, and those served more than was judged or not scored.
+
+    precision: (qid, precision); intents: (qid, type); judged, served: (qid, n).
+    """
+    both = intents.join(precision, "qid", "left").join(judged.select("qid", F.col("n").alias("_j")), "qid", "left").join(served.select("qid", F.col("n").alias("_s")), "qid", "left")
+    return both.groupBy(F.coalesce("type", F.lit("?")).alias("type")).agg(F.count("precision").alias("n"), F.round(F.avg("precision"), 9).alias("precision"), F.count_if(F.coalesce("_s", F.lit(0)) > F.coalesce("_j", F.lit(0))).alias("under_judged"), F.count_if(F.col("precision").isNull()).alias("unscored"))
+
+
+def gold_problems(gold: DataFrame, known: DataFrame, bands: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    """(qid, problem): what is wrong with gold entries, a row for each breach.
+
+    gold: (qid, band, gold_keys, nuggets, relevance: map of key to label); known: (key). Keys must be
+    known and distinct, labels of the list, a question stands once; a trap (band empty) has no gold,
+    nuggets or directly answering paper, another question has gold, 3 to 7 nuggets, and as its gold
+    exactly the directly answering papers.
+    """
+    keys, nuggets = F.coalesce("gold_keys", F.array().cast("array<string>")), F.coalesce("nuggets", F.array().cast("array<string>"))
+    direct = F.map_keys(F.map_filter("relevance", lambda k, v: v == "directly-answering"))
+    trap = F.col("band") == "empty"
+    tests = {
+        "bad band": ~F.coalesce(F.col("band").isin(*bands), F.lit(False)),
+        "repeated gold key": F.size(F.array_distinct(keys)) < F.size(keys),
+        "bad label": F.exists(F.map_values("relevance"), lambda v: ~v.isin(*labels)),
+        "trap with gold": trap & (F.size(keys) > 0),
+        "trap with nuggets": trap & (F.size(nuggets) > 0),
+        "trap with an answering paper": trap & (F.size(direct) > 0),
+        "no gold": ~trap & (F.size(keys) == 0),
+        "number of nuggets": ~trap & ~F.size(nuggets).between(3, 7),
+        "gold is not the answering papers": ~trap & (F.array_sort(F.array_distinct(keys)) != F.array_sort(direct)),
+    }
+    own = gold.select("qid", F.explode(F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), name) for name, bad in tests.items()]))).alias("problem"))
+    twice = gold.groupBy("qid").agg(F.count("*").alias("n")).where("n > 1").select("qid", F.lit("repeated question").alias("problem"))
+    named = gold.select("qid", F.explode(F.array_distinct(F.concat(keys, F.coalesce(F.map_keys("relevance"), F.array().cast("array<string>"))))).alias("key"))
+    strange = named.join(known.select("key").distinct(), "key", "left_anti").select("qid", F.concat(F.lit("unknown key "), "key").alias("problem"))
+    return own.unionByName(twice).unionByName(strange).distinct()
+
+
+def must_find_recall(pools: DataFrame, served: DataFrame, failed: DataFrame) -> DataFrame:
+    """(qid, recall, quarantined): the share of a pool's entries that a served row matches by DOI or title.
+
+    Questions that failed or were served nothing are quarantined, without a recall. pools: (qid, want_id,
+    title, doi); served: (qid, key, title, doi); failed: (qid).
+    """
+    from lectern.operators.matching import lenient_match
+
+    wanted = pools.select(F.struct("qid", "want_id").alias("want_id"), "qid", "title", "doi")
+    hits = lenient_match(wanted, served.select("qid", F.struct("qid", "key").alias("key"), "title", "doi"), by="qid")
+    per = hits.select(F.col("want_id.qid").alias("qid"), "hit").groupBy("qid").agg((F.count("hit") / F.count("*")).alias("recall"))
+    there = served.select("qid").distinct().join(failed.select("qid").distinct(), "qid", "left_anti").withColumn("_s", F.lit(True))
+    return per.join(there, "qid", "left").select("qid", F.when(F.col("_s"), F.col("recall")).alias("recall"), F.col("_s").isNull().alias("quarantined"))

@@ -167,3 +167,55 @@ def admission_wait(executing: Column, lanes: int, mean_service: Column) -> Colum
 
 def rolling_mean(rows: DataFrame, by: Sequence[str], order: str, value: str, n: int = 20) -> DataFrame:
     return rows.withColumn("rolling_mean", F.avg(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(-(n - 1), 0)))
+
+
+def pause_until(now: Column, zone: str, windows: Sequence[tuple[str, str]], days: Sequence[int], holidays: Sequence[str] = ()) -> Column:
+    """The end of the peak window that a moment is in, null outside: windows of local time on given weekdays (Monday 0), holidays apart.
+
+    now: a timestamp; windows: ("HH:MM", "HH:MM"), the end excluded; the zone's own rules give the offset.
+    """
+    local = F.convert_timezone(F.current_timezone(), F.lit(zone), now.cast("timestamp_ntz"))
+    day, clock = F.date_format(local, "yyyy-MM-dd"), F.date_format(local, "HH:mm:ss.SSSSSS")
+    working = F.weekday(local).isin(*days)
+    if holidays:
+        working = working & ~day.isin(*holidays)
+    end = F.lit(None).cast("timestamp")
+    for start, stop in reversed(list(windows)):
+        at = F.to_timestamp_ntz(F.concat(day, F.lit(f" {stop}:00")))
+        back = F.convert_timezone(F.lit(zone), F.current_timezone(), at).cast("timestamp")
+        end = F.when((clock >= f"{start}:00") & (clock < f"{stop}:00"), back).otherwise(end)
+    return F.when(working, end)
+
+
+def staged_conflicts(observed: DataFrame) -> DataFrame:
+    """(conflict_id, key, fields, at): each distinct piece of evidence once, at its first sight.
+
+    observed: (key, fields, existing, incoming, operation, at), all but `at` part of the evidence. Its digest is the id,
+    so staging the same twice changes nothing.
+    """
+    digest = F.sha2(F.to_json(F.struct("key", "fields", "existing", "incoming", "operation")), 256)
+    return observed.groupBy(digest.alias("conflict_id")).agg(F.min(F.struct("at", "key", "fields")).alias("f")).select("conflict_id", "f.key", "f.fields", "f.at")
+
+
+def correction_batch(conflicts: DataFrame, papers: int, most: int) -> DataFrame:
+    """(conflict_id, place): the next manifest, empty while fewer than `papers` distinct papers have a pending conflict.
+
+    conflicts: (conflict_id, key, at, status). The papers whose pending conflicts are oldest come with one conflict each, then
+    their other conflicts fill up to `most`, oldest first.
+    """
+    pending = conflicts.where("status = 'pending'")
+    first = pending.groupBy("key").agg(F.min(F.struct("at", "conflict_id")).alias("f"))
+    chosen = first.orderBy("f").limit(papers).withColumn("_p", F.row_number().over(Window.orderBy("f")))  # at most `papers` rows
+    enough = chosen.agg((F.count("*") == papers).alias("_enough"))
+    own = pending.join(F.broadcast(chosen), "key").withColumn("_lead", F.col("conflict_id") == F.col("f.conflict_id"))
+    order = [(~F.col("_lead")), F.when(F.col("_lead"), F.col("_p")), F.col("at"), F.col("conflict_id")]
+    cut = own.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order)) - 1)  # at most `most` rows
+    return cut.crossJoin(F.broadcast(enough)).where("_enough").select("conflict_id", "place")
+
+
+def adjudicated(manifest: DataFrame, answers: DataFrame) -> DataFrame:
+    """(conflict_id, status, decision): answers to a manifest's conflicts; unanswered ones, and resolved ones without decision and evidence, need a human."""
+    said = answers.groupBy("conflict_id").agg(F.min(F.struct("status", "decision", "evidence")).alias("a"), F.count("*").alias("_n"))
+    both = manifest.select("conflict_id").join(said, "conflict_id", "left")
+    sound = (F.col("_n") == 1) & (F.col("a.status") == "resolved") & (F.trim(F.coalesce("a.decision", F.lit(""))) != "") & (F.trim(F.coalesce("a.evidence", F.lit(""))) != "")
+    return both.select("conflict_id", F.when(F.coalesce(sound, F.lit(False)), "resolved").otherwise("needs_human").alias("status"), F.coalesce("a.decision", F.lit("unadjudicated")).alias("decision"))

@@ -52,12 +52,13 @@ def identity_ladder(rows: DataFrame, records: DataFrame, rungs: Sequence[tuple[s
     return out.withColumns({"match_key": F.coalesce(*keys), "match_rung": rung}).drop(*keys, *[f"_k{i}" for i in range(len(rungs))])
 
 
-def lenient_match(wanted: DataFrame, served: DataFrame, jaccard: float = 0.8, least: int = 4) -> DataFrame:
+def lenient_match(wanted: DataFrame, served: DataFrame, jaccard: float = 0.8, least: int = 4, by: str | None = None) -> DataFrame:
     """(want_id, hit): DOI equality, containment of the shorter title of `least` words or more, or token Jaccard.
 
     Candidates share a DOI; or one of the served title's rarest words, as many as a Jaccard of the
     threshold cannot all miss (containment of the served title shares all of them); or the wanted
     title's rarest inner word, which containment in a served title must share. Each is then verified.
+    With `by` only rows of equal groups match.
     """
     def prepared(df: DataFrame, ident: str, p: str) -> DataFrame:
         title = normalize_title(F.col("title"))
@@ -75,6 +76,8 @@ def lenient_match(wanted: DataFrame, served: DataFrame, jaccard: float = 0.8, le
     by_word = by_prefix.union(by_inner)
     by_doi = a.where("a_doi <> ''").join(b.where("b_doi <> ''"), F.col("a_doi") == F.col("b_doi")).select("want_id", "key")
     pairs = by_word.union(by_doi).distinct().join(a, "want_id").join(b, "key")
+    if by:
+        pairs = pairs.join(wanted.select("want_id", F.col(by).alias("_wg")), "want_id").join(served.select("key", F.col(by).alias("_sg")), "key").where("_wg = _sg")
     shorter = F.when(F.size("a_words") <= F.size("b_words"), F.col("a_title")).otherwise(F.col("b_title"))
     longer = F.when(F.size("a_words") <= F.size("b_words"), F.col("b_title")).otherwise(F.col("a_title"))
     within = (F.least(F.size("a_words"), F.size("b_words")) >= least) & F.contains(longer, shorter)

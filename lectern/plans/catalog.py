@@ -97,7 +97,7 @@ def venue_ranks(t):
     return C.venue_tiers(rows, {"journal of small ring": 1.5, "journal of red widget": 1.2}, {"10.1/": 1.2}, "blue").select("p_partkey", "tier")
 
 
-@query()
+@query("""SELECT o_orderkey, unnest([0, 1]) AS idx, unnest([0.5, 0.0]) AS score FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 3, 1.0 FROM orders WHERE o_orderkey % 2 <> 0""")
 def judged(t):
     reply = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit('[{"idx": 0, "score": 0.5}, {"idx": 1, "score": "NaN"}]'))).otherwise('noise {"idx": 3, "score": 7} {broken')
     return t("orders").select("o_orderkey", F.explode(C.judged_items(reply)).alias("x")).select("o_orderkey", "x.*")

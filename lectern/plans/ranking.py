@@ -68,16 +68,6 @@ def rrf_reordered(t):
     return R.rrf_reorder(lists(t), ["qid"]).select("qid", "list_idx", "key", "rank")
 
 
-@query()
-def round_robin_shares(t):
-    return R.round_robin(lists(t), 50)
-
-
-@query()
-def fair_merges(t):
-    return R.fair_merge(lists(t), 40)
-
-
 @query(_LISTS + """, once AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY list_idx, rank) - 1 AS pos FROM lists),
 kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, key ORDER BY pos) AS nth FROM once) WHERE nth <= 2)
 SELECT * FROM (SELECT qid, key, CAST(row_number() OVER (PARTITION BY qid ORDER BY pos) - 1 AS INTEGER) AS pos FROM kept) WHERE pos < 300""")
@@ -301,7 +291,16 @@ def rewritten_pairs(t):
     return G.rewrite_pairs(pairs, merged).select("doc", "a", "b", "new_pos")
 
 
-@query()
+def _tree(rows: str, digits: int) -> str:
+    """SQL for the digest of rows (k, h), a tree of so many levels below its root."""
+    for d in range(digits, -1, -1):
+        rows = f"SELECT k[1:{d}] AS k, sha256(string_agg(k || '=' || h, chr(10) ORDER BY k || '=' || h)) AS h FROM ({rows}) GROUP BY 1"
+    return f"SELECT h FROM ({rows})"
+
+
+@query(_NAMES + f"""SELECT ({_tree("""SELECT sha256(id) AS k, sha256('{"id":"' || id || '","type":"' || type || '"}') AS h FROM n""", 0)}) AS nodes_sha256, (SELECT count(*) FROM n) AS n_nodes,
+({_tree("""SELECT sha256('p' || l_partkey || chr(31) || 's' || l_suppkey) AS k, sha256('{"source":"p' || l_partkey || '","target":"s' || l_suppkey || '","weight":' || count(*) || '.0}') AS h FROM lineitem GROUP BY l_partkey, l_suppkey""", 1)}) AS edges_sha256,
+(SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)) AS n_edges, 'present' AS state""")
 def graph_digests(t):
     e = supply(t).withColumn("pos", F.xxhash64("source", "target"))
     return G.graph_inventory(names(t), e)

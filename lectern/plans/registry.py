@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from lectern.plans import catalog, matching, ranking, states, text  # noqa: E402, F401  they register their queries
+from lectern.plans import catalog, matching, ranking, relations, retrieval, states, text  # noqa: E402, F401  they register their queries

@@ -179,13 +179,23 @@ def in_flight(t):
     return L.in_flight_duplicates(rows, 40)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id AS seq, epoch(ts) AS t, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, 'CLOSED' AS state, CAST(0 AS DOUBLE) AS until, CAST([] AS DOUBLE[]) AS recent FROM e UNION ALL
+SELECT user_id, n, seq, CASE WHEN now = 'HALF_OPEN' THEN CASE WHEN bad THEN 'OPEN' ELSE 'CLOSED' END WHEN now = 'CLOSED' AND bad AND len(kept) >= 3 THEN 'OPEN' ELSE now END,
+CASE WHEN now = 'HALF_OPEN' THEN CASE WHEN bad THEN t + 3600 ELSE 0 END WHEN now = 'CLOSED' AND bad AND len(kept) >= 3 THEN t + 3600 ELSE until END,
+CASE WHEN now = 'HALF_OPEN' THEN CAST([] AS DOUBLE[]) WHEN now = 'CLOSED' AND bad THEN CASE WHEN len(kept) >= 3 THEN CAST([] AS DOUBLE[]) ELSE kept END ELSE recent END
+FROM (SELECT e.*, r.until, r.recent, CASE WHEN r.state = 'OPEN' AND e.t >= r.until THEN 'HALF_OPEN' ELSE r.state END AS now, list_append(list_filter(r.recent, lambda x: x >= e.t - 86400), e.t) AS kept FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT user_id, seq, state FROM r WHERE n > 0""")
 def breaker_states(t):
     e = t("events").select("user_id", F.col("event_id").alias("seq"), second("ts").alias("at"), (F.col("event_type") == "error").alias("failed"))
     return L.sliding_breaker(e, "user_id", "at", "failed", 3, 86400.0, 3600.0)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS account, value AS v, event_type AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+r AS (SELECT DISTINCT account, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS reserved, CAST(0 AS DOUBLE) AS spent, CAST(0 AS BIGINT) AS starts, CAST(0 AS BIGINT) AS refused FROM e UNION ALL
+SELECT e.account, e.n, CASE WHEN k IN ('click', 'error') AND NOT reserved + spent + v > 200 THEN reserved + v WHEN k = 'signup' THEN greatest(0, reserved - v) WHEN k = 'purchase' THEN reserved - least(reserved, v) ELSE reserved END,
+CASE WHEN k = 'purchase' THEN spent + least(reserved, v) ELSE spent END, starts + CAST(k = 'view' AS BIGINT), refused + CAST(k IN ('click', 'error') AND reserved + spent + v > 200 AS BIGINT) FROM r JOIN e ON e.account = r.account AND e.n = r.n + 1)
+SELECT account, arg_max(reserved, n) AS reserved, arg_max(spent, n) AS spent, arg_max(starts, n) AS starts, false AS fenced, arg_max(refused, n) AS refused FROM r GROUP BY account""")
 def budgets(t):
     kinds = F.create_map(*[F.lit(x) for p in (("click", "reserve"), ("view", "dispatch"), ("purchase", "complete"), ("signup", "refund"), ("error", "reserve")) for x in p])
     e = t("events").select(F.col("user_id").alias("account"), F.col("event_id").alias("seq"), kinds[F.col("event_type")].alias("kind"), F.col("value").alias("amount"), F.lit(0.0).alias("total"))
@@ -322,6 +332,6 @@ def release_gates(t):
     return E.gates(values, rules, t("events").where("event_type = 'view'").select(F.col("user_id").alias("qid"))).select("metric", F.coalesce("passed", F.lit(False)).alias("passed"), "reason")
 
 
-@query()
+@query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('0:' || doc_id), doc_id) AS n FROM documents) WHERE n <= 25")
 def stratified(t):
     return E.stratified_sample(t("documents").select("doc_id", "lang"), "lang", "doc_id", 25)
