@@ -291,15 +291,17 @@ def rewritten_pairs(t):
     return G.rewrite_pairs(pairs, merged).select("doc", "a", "b", "new_pos")
 
 
-def _tree(rows: str, digits: int) -> str:
-    """SQL for the digest of rows (k, h), a tree of so many levels below its root."""
-    for d in range(digits, -1, -1):
-        rows = f"SELECT k[1:{d}] AS k, sha256(string_agg(k || '=' || h, chr(10) ORDER BY k || '=' || h)) AS h FROM ({rows}) GROUP BY 1"
+def _tree(rows: str, levels: int = 5) -> str:
+    """SQL for the digest of rows (k, h), k unique: a tree with a level below its root for each 16 times 4096 rows."""
+    deep = " + ".join(f"CAST(count(*) > {4096 << 4 * i} AS INTEGER)" for i in range(levels))
+    rows = f"SELECT k, h, depth FROM ({rows}), (SELECT {deep} AS depth FROM ({rows}))"
+    for d in range(levels, -1, -1):
+        rows = f"SELECT CASE WHEN {d} <= depth THEN k[1:{d}] ELSE k END AS k, CASE WHEN {d} <= depth THEN sha256(string_agg(k || '=' || h, chr(10) ORDER BY k || '=' || h)) ELSE any_value(h) END AS h, depth FROM ({rows}) GROUP BY 1, depth"
     return f"SELECT h FROM ({rows})"
 
 
-@query(_NAMES + f"""SELECT ({_tree("""SELECT sha256(id) AS k, sha256('{"id":"' || id || '","type":"' || type || '"}') AS h FROM n""", 0)}) AS nodes_sha256, (SELECT count(*) FROM n) AS n_nodes,
-({_tree("""SELECT sha256('p' || l_partkey || chr(31) || 's' || l_suppkey) AS k, sha256('{"source":"p' || l_partkey || '","target":"s' || l_suppkey || '","weight":' || count(*) || '.0}') AS h FROM lineitem GROUP BY l_partkey, l_suppkey""", 1)}) AS edges_sha256,
+@query(_NAMES + f"""SELECT ({_tree("""SELECT sha256(id) AS k, sha256('{"id":"' || id || '","type":"' || type || '"}') AS h FROM n""")}) AS nodes_sha256, (SELECT count(*) FROM n) AS n_nodes,
+({_tree("""SELECT sha256('p' || l_partkey || chr(31) || 's' || l_suppkey) AS k, sha256('{"source":"p' || l_partkey || '","target":"s' || l_suppkey || '","weight":' || count(*) || '.0}') AS h FROM lineitem GROUP BY l_partkey, l_suppkey""")}) AS edges_sha256,
 (SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)) AS n_edges, 'present' AS state""")
 def graph_digests(t):
     e = supply(t).withColumn("pos", F.xxhash64("source", "target"))
