@@ -11,7 +11,9 @@ Arrays of a text's matches are bounded by the text; nothing gathers matches acro
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import written
@@ -34,7 +36,12 @@ _BESIDE = REACH // 5
 _FEW = 200_000
 _NEAR_TERM = r"(?<=\s)\p{L}[\p{L}\p{M}]{2,}+(?=[.,;:!?]{0,3}\s)"
 _ANY_TERM = r"(?<!\S)\p{L}[\p{L}\p{M}]{2,}+(?=[.,;:!?]{0,3}(?:\s|$))"
-_BLOCK = 256
+_BLOCK = 64
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often and under whichever lambda `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def running(values: Column) -> Column:
@@ -44,10 +51,14 @@ def running(values: Column) -> Column:
         start = F.struct(F.lit(0).alias("t"), F.array().cast("array<int>").alias("a"))
         return F.aggregate(block, start, lambda s, x: F.struct((s["t"] + x).alias("t"), F.concat(s["a"], F.array(s["t"])).alias("a")))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")), lambda b: sums(F.slice(values, b * _BLOCK + 1, _BLOCK)))
-    totals = sums(F.transform(blocks, lambda s: s["t"]))["a"]
-    joined = F.flatten(F.zip_with(blocks, totals, lambda s, t: F.transform(s["a"], lambda x: x + t)))
-    return F.when(F.size(values) > 0, joined).otherwise(F.array().cast("array<int>"))
+    def in_blocks(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _BLOCK).cast("int")), lambda b: sums(F.slice(v, b * _BLOCK + 1, _BLOCK)))
+
+    def added(blocks: Column) -> Column:
+        totals = sums(F.transform(blocks, lambda s: s["t"]))["a"]
+        return F.flatten(F.zip_with(blocks, totals, lambda s, t: F.transform(s["a"], lambda x: x + t)))
+
+    return _bound(values, lambda v: F.when(F.size(v) > 0, _bound(in_blocks(v), added)).otherwise(F.array().cast("array<int>")))
 
 
 def located(text: Column, pattern: str) -> tuple[Column, Column]:
@@ -128,19 +139,25 @@ def _shape(word: Column) -> Column:
 def everywhere(docs: DataFrame, words: DataFrame, shares: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(key, start, end, kind, share): all occurrences of the terms of `shares` (word, share), wherever they stand.
 
-    `words` are the (key, word) of all documents. Only texts that hold one of the terms are searched.
+    `words` are the (key, word) of all documents. Only texts that hold one of the terms are searched,
+    each once; a text's terms get their places by a running sum over its rows, linear in the text and
+    able to spill.
     """
-    marked = F.broadcast(shares) if shares.limit(_FEW + 1).count() <= _FEW else shares
-    own = words.join(marked, "word").groupBy("key").agg(F.collect_set(F.struct("word", "share")).alias("_shares"))
+    few = shares.limit(_FEW + 1).count() <= _FEW
+    marked = F.broadcast(shares) if few else shares
+    own = words.join(marked, "word")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     keyed = docs.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("key"), text.alias("text"))
+    held = keyed.join(own.select("key").distinct(), "key").dropDuplicates(["key"])
     matches, pieces = located(F.col("text"), _ANY_TERM)
-    at = keyed.join(own, "key").withColumns({"_m": matches, "_p": pieces})
-    m, p = F.col("_m"), F.col("_p")
-    at = at.withColumn("_s", running(F.transform(m, lambda x, i: F.length(F.get(p, i)) + F.length(x))))
-    all_terms = F.transform(m, lambda x, i: F.struct(F.xxhash64(F.lower(x)).alias("word"), (F.get(F.col("_s"), i) + F.length(F.get(p, i))).cast("long").alias("start"), F.length(x).alias("size"), _shape(x).alias("kind")))
-    placed = at.select("key", F.map_from_entries("_shares").alias("_share_of"), F.inline(F.filter(all_terms, lambda x: F.array_contains(F.transform("_shares", lambda s: s["word"]), x["word"]))))
-    return placed.select("key", "start", (F.col("start") + F.col("size")).alias("end"), "kind", F.element_at("_share_of", F.col("word")).alias("share"))
+    # the piece after the last match has no match beside it and falls away
+    each = F.zip_with(matches, pieces, lambda x, gap: F.struct(F.xxhash64(F.lower(x)).alias("word"), F.length(gap).cast("long").alias("gap"), F.length(x).alias("size"), _shape(x).alias("kind")))
+    terms = held.select("key", F.posexplode(each).alias("at", "x")).select("key", "at", "x.*").where("size IS NOT NULL")
+    upto = Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = terms.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(upto))
+    # beyond what is broadcast, rows meet by document and word: no word is hot
+    shown = placed.join(marked, "word") if few else placed.join(own.distinct(), ["key", "word"])
+    return shown.select("key", (F.col("end") - F.col("size")).alias("start"), "end", "kind", "share")
 
 
 def distinct_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -185,7 +202,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words = distinct_words(docs, id_col, text_col)
     pairs = disclosing(words, near, found, contexts, discloses)
     shares = written(pairs.groupBy(F.xxhash64("term").alias("word")).agg(F.max("share").alias("share")), "shares")
-    shown = everywhere(docs, words, shares, id_col, text_col).distinct()
+    shown = everywhere(docs, words, shares, id_col, text_col)
     by_row = shown.groupBy("key").agg(
         F.array_sort(F.collect_list(F.struct("start", "end", F.when(F.col("share") >= reveals, "remove").otherwise("generalise").alias("action"), "kind"))).alias("term")
     ).withColumnRenamed("key", "_key")

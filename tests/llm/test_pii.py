@@ -153,3 +153,29 @@ def test_disclosing_terms_match_brute_force(spark, docs):
     for row in got:
         want = sorted((m.start(), m.end()) for m in re.finditer(r"(?<!\S)[^\W\d_]{3,}(?=[.,;:!?]{0,3}(?:\s|$))", text[row["id"]]) if m.group().lower() in chosen)
         assert [(x["start"], x["end"]) for x in row["term"]] == want
+
+
+def test_terms_stand_where_a_search_of_the_text_finds_them(spark, docs, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lectern.llm import pii
+
+    wanted = {"zorblatt": 0.95, "quuxley": 0.99, "éclair": 0.91}
+    long = " ".join(f"Zorblatt{'' if i % 3 else 'x'} word{'' if i % 5 else ' Éclair,'} 12 \n🙂" for i in range(20000))
+    rows = [(1, "Zorblatt, QUUXLEY! (zorblatt) zorblatt."), (1, "Zorblatt, QUUXLEY! (zorblatt) zorblatt."), (2, None), (3, ""), (4, "nothing here"), (5, long), (None, "éclair")]
+    rows += [(6, " quuxley "), (6, "quuxley")]
+    table = docs(rows)
+    shares = spark.createDataFrame(list(wanted.items()), "term string, share double").select(F.xxhash64("term").alias("word"), "share")
+    want = {}
+    for i, t in set(rows):
+        hits = [(m.start(1), m.end(1)) for m in re.finditer(r"(?:(?<=\s)|^)([^\W\d_]{3,})(?=[.,;:!?]{0,3}(?:\s|$))", t or "")]
+        hits = [(a, b, wanted[t[a:b].lower()]) for a, b in hits if t[a:b].lower() in wanted]
+        want.setdefault((i, t), hits) if hits else None
+    for few in (pii._FEW, 1):  # by broadcast, and by a join
+        monkeypatch.setattr(pii, "_FEW", few)
+        got = pii.everywhere(table, pii.distinct_words(table, "doc_id", "text"), shares, "doc_id", "text").collect()
+        by_key = {}
+        for r in got:
+            by_key.setdefault(r["key"], []).append((r["start"], r["end"], r["share"]))
+        keys = {(r["doc_id"], r["text"]): r["key"] for r in table.select("doc_id", "text", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key")).collect()}
+        assert {k: sorted(v) for k, v in by_key.items()} == {keys[k]: v for k, v in want.items()}
