@@ -68,6 +68,19 @@ def dropped(df: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with underscores added until no column of `df` is called so in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The columns named by their places, as Python workers take no column with a dot in its name."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def fold(key: str, n: int) -> Column:
     """crc32 of the key as text, modulo n."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(n)

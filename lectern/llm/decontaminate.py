@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lectern.llm.common import bound_batches, core, mix, session, shingle_hashes, word_hashes
+from lectern.llm.common import bound_batches, core, mix, numbered, session, shingle_hashes, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS = 15, 4
@@ -249,7 +249,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     spark = session(docs)
     bound_batches(spark)
     at = docs.columns.index(text_col)
-    out = docs
+    out = numbered(docs)
+    schema = out.schema
     for ids, texts, known in passes(benchmark, item_col, item_text_col, items_a_pass):
         shared = spark.sparkContext.broadcast((ids, texts, known))
 
@@ -261,5 +262,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
                     clean[text] = False
                 yield batch.filter(pa.array(clean))
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+        out = out.mapInArrow(run, schema)
+    return out.toDF(*docs.columns)

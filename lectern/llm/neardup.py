@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bound_batches, core, dropped, mix, session, shingle_hashes, word_hashes, written
+from lectern.llm.common import bound_batches, core, dropped, mix, session, shingle_hashes, unused, word_hashes, written
 from lectern.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -213,7 +213,7 @@ def signatures(docs: DataFrame, idf: Weights, id_col: str, text_col: str, words:
                 per = np.concatenate([[0], np.cumsum(mix(mix(shingles + np.uint64(i)) + tf.astype(np.uint64)))]).astype(np.uint64)
                 keys.append(np.where(n > 0, mix(per[off[1:]] - per[off[:-1]] + n.astype(np.uint64)).view(np.int64), raw[i - 1]))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]), pa.int32()), pa.array(bands[n > 0].ravel().view(np.int64)))
-            weight = np.bincount(np.repeat(np.arange(len(n)), n), each, len(n))
+            weight = np.bincount(np.repeat(np.arange(len(n)), n), each, len(n)).astype(np.float64)  # of nothing, bincount gives integers
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys[0]), pa.array(keys[1]), lists, pa.array(weight)], ["id", "k1", "k2", "bands", "weight"])
 
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -384,11 +384,12 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS
     Rows that repeat an id are one document, of which the row of least hashes, of the text first, stays;
     rows with a null id stay.
     """
+    own, nth = unused(docs, "_lectern_id"), unused(docs, "_lectern_n")
     classes = near_duplicates(docs, similarity, words, id_col, text_col)
-    keep = classes.where(F.col(f"`{id_col}`") == F.col("class_id")).select(F.col(f"`{id_col}`").alias("_lectern_id"))
+    keep = classes.where(F.col(f"`{id_col}`") == F.col("class_id")).select(F.col(f"`{id_col}`").alias(own))
     known = docs.where(F.col(f"`{id_col}`").isNotNull())
-    stay = known.join(keep, F.col(f"`{id_col}`") == F.col("_lectern_id"), "left_semi")
+    stay = known.join(keep, F.col(f"`{id_col}`") == F.col(own), "left_semi")
     hashed = [F.xxhash64(F.col(f"`{f.name}`")) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     first = Window.partitionBy(F.col(f"`{id_col}`")).orderBy(F.xxhash64(F.col(f"`{text_col}`")), *hashed)
-    single = stay.withColumn("_lectern_n", F.row_number().over(first)).where("_lectern_n = 1").drop("_lectern_n")
+    single = stay.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth)
     return single.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))

@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lectern.llm.common import bound_batches, buffers, core, fold, mix, session, word_hashes
+from lectern.llm.common import bound_batches, buffers, core, fold, mix, numbered, session, word_hashes
 
 #: Bound on the labelled documents that the model is fitted on, and on the length of each.
 TRAIN_DOCS, TRAIN_CHARS = 6000, 20_000
@@ -268,17 +269,17 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     if keep and score_col in docs.columns:
         raise ValueError(f"the input has a column {score_col}; name another score_col")
     rows = docs if keep else core(docs, id_col, text_col)
-    out_names = rows.columns if keep else [id_col]
     at = rows.columns.index(text_col)
+    names = rows.columns if keep else [id_col]
+    plain = numbered(rows)
+    schema = StructType([*plain.schema.fields[: len(names)], StructField("score", DoubleType())])
     spread = session(docs).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in out_names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(score(spread.value, batch.column(at)))], [*out_names, score_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(score(spread.value, batch.column(at)))], schema.names)
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in out_names)
-    return rows.mapInArrow(run, f"{kinds}, `{score_col}` double")
+    return plain.mapInArrow(run, schema).toDF(*names, score_col)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
