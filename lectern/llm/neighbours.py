@@ -130,7 +130,7 @@ def valid(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & ~odd & F.exists(vector, lambda x: x != 0)
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
     flat = pc.list_flatten(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
@@ -164,7 +164,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float =
         out: list = [[], [], []]
         if candidates.num_rows and wanted.num_rows:
             ids = wanted.column("id").to_numpy()
-            d, i = Tree(candidates.column("id").to_numpy(), _matrix(candidates.column("v")), k).search(ids, _matrix(wanted.column("v")), k, factor)
+            d, i = Tree(candidates.column("id").to_numpy(), matrix(candidates.column("v")), k).search(ids, matrix(wanted.column("v")), k, factor)
             row, col = np.nonzero(np.isfinite(d))
             out = [ids[row], i[row, col], d[row, col]]
         return pa.table({"query_id": pa.array(out[0], pa.int64()), id_col: pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
