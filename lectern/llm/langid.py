@@ -27,7 +27,15 @@ LONGEST = 5
 UNKNOWN = "und"
 #: Numerals that the regular expression's word characters hold beside digits and letters.
 _NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isdecimal() and unicodedata.category(c)[0] != "L")
-_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_RUN, _WORD = re.compile(r"[^\W\d_]+"), re.compile(rf"[^\W\d_{_NUMERALS}]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters of the lower-cased text. Numerals are rare, and the long class that names them slow, so it only sees runs that hold some."""
+    runs = _RUN.findall(text.lower())
+    if "".join(runs).isalpha():
+        return runs
+    return [w for run in runs for w in ([run] if run.isalpha() else _WORD.findall(run))]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -74,7 +82,7 @@ class Scorer:
         return self.used - 1
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        words = _WORD.findall(text.lower()) if text else []
+        words = words_of(text) if text else []
         if not words or not self.model.languages:
             return UNKNOWN, 0.0
         total = self.model.prior.astype(np.float64)
@@ -120,7 +128,7 @@ def train(docs: DataFrame, train_chars: int = TRAIN_CHARS, top_words: int = TOP_
         for batch in batches:
             words: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words.update((lang, w) for w in _WORD.findall(text.lower()))
+                words.update((lang, w) for w in words_of(text))
             pieces: Counter = Counter()
             for (lang, w), c in words.items():
                 for n in range(1, min(LONGEST, len(w) + 2) + 1):

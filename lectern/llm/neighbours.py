@@ -33,7 +33,8 @@ class Tree:
         nth = np.arange(len(same)) - np.repeat(first, np.diff(np.append(first, len(same))))
         keep = order[nth <= k]  # k of them and perhaps the query itself
         self.ids, self.x = ids[keep], vectors[keep]
-        self.squares = (self.x**2).sum(1)
+        with np.errstate(over="ignore"):
+            self.squares = (self.x**2).sum(1)
         self.leaf = leaf
         self.root = self._build(np.arange(len(keep)))
 
@@ -52,7 +53,8 @@ class Tree:
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
         """Distances and ids of each query's k nearest vectors with another id, padded with inf and -1."""
-        self.q, self.q_ids, self.q_squares = queries, query_ids, (queries**2).sum(1)
+        with np.errstate(over="ignore"):
+            self.q, self.q_ids, self.q_squares = queries, query_ids, (queries**2).sum(1)
         self.best_d = np.full((len(queries), k), np.inf)
         self.best_i = np.full((len(queries), k), -1, np.int64)
         self.seen = np.full(len(queries), -1, np.int64)
@@ -86,7 +88,7 @@ class Tree:
         d = distances(self.q[active], self.x[node[1]][None])
         for part in (node[2], node[3]):
             far = self.best_d[active, -1]
-            go = self._bound(d, part) <= factor * far * (1 + 1e-12) + 1e-300
+            go = ~(self._bound(d, part) > factor * far * (1 + 1e-12) + 1e-300)  # also where both overflow
             if go.any():
                 self._visit(part[2], active[go], factor)
 
@@ -95,9 +97,10 @@ class Tree:
         if not len(active) or not len(at):
             return
         k = self.best_d.shape[1]
-        rough = self.q_squares[active][:, None] + self.squares[at][None] - 2 * (self.q[active] @ self.x[at].T)
-        slack = 1e-9 * (self.q_squares[active][:, None] + self.squares[at][None])
-        close = (rough - slack <= self.best_d[active, -1][:, None] ** 2) & (self.q_ids[active][:, None] != self.ids[at][None])
+        with np.errstate(over="ignore", invalid="ignore"):  # what overflows is not finite, and compared exactly
+            rough = self.q_squares[active][:, None] + self.squares[at][None] - 2 * (self.q[active] @ self.x[at].T)
+            slack = 1e-9 * (self.q_squares[active][:, None] + self.squares[at][None])
+            close = ~(rough - slack > self.best_d[active, -1][:, None] ** 2) & (self.q_ids[active][:, None] != self.ids[at][None])
         row, col = np.nonzero(close)
         if not len(row):
             return
@@ -116,11 +119,22 @@ class Tree:
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances of paired rows in double precision, components summed in their order."""
-    gap = a - b
-    gap *= gap
-    total = np.zeros(len(gap))
-    for column in gap.T:
-        total += column
+    with np.errstate(over="ignore", invalid="ignore"):
+        gap = a - b
+        gap *= gap
+        total = np.zeros(len(gap))
+        for column in gap.T:
+            total += column
+    odd = np.flatnonzero(~np.isfinite(total))
+    if len(odd):  # squares beyond the range of doubles: the same sums of vectors divided by a power of two
+        a, b = np.broadcast_to(a, gap.shape)[odd], np.broadcast_to(b, gap.shape)[odd]
+        power = np.frexp(np.maximum(np.abs(a).max(1), np.abs(b).max(1)))[1] + 1
+        gap = np.ldexp(a, -power[:, None]) - np.ldexp(b, -power[:, None])
+        with np.errstate(over="ignore"):
+            scaled = np.ldexp(np.sqrt(np.add.accumulate(gap * gap, axis=1)[:, -1]), power)
+        out = np.sqrt(total)
+        out[odd] = scaled
+        return out
     return np.sqrt(total)
 
 
@@ -165,7 +179,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float =
         if candidates.num_rows and wanted.num_rows:
             ids = wanted.column("id").to_numpy()
             d, i = Tree(candidates.column("id").to_numpy(), matrix(candidates.column("v")), k).search(ids, matrix(wanted.column("v")), k, factor)
-            row, col = np.nonzero(np.isfinite(d))
+            row, col = np.nonzero(np.isfinite(d) | (i != -1))  # a distance beyond the range of doubles is infinite
             out = [ids[row], i[row, col], d[row, col]]
         return pa.table({"query_id": pa.array(out[0], pa.int64()), id_col: pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 

@@ -244,7 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, trai
     rate = min(1.0, train_docs / n)
     span = 1 << 30
     chosen = one.where(F.pmod(F.xxhash64(F.lit("sample"), "_id"), F.lit(span)) < int(rate * span))
-    texts = core(docs, id_col, text_col).where(F.length(text_col) <= train_chars).join(F.broadcast(chosen), F.col(f"`{id_col}`") == F.col("_id")).select("_y", text_col)
+    texts = core(docs, id_col, text_col).where(F.length(F.col(f"`{text_col}`")) <= train_chars).join(F.broadcast(chosen), F.col(f"`{id_col}`") == F.col("_id")).select("_y", F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from lectern.llm import lm, quality
-from lectern.llm.langid import UNKNOWN, identify
+from lectern.llm.langid import _WORD, UNKNOWN, identify, words_of
 from lectern.llm.langid import language_scores as languages
 from lectern.llm.langid import train as train_languages
 from lectern.llm.lm import language_scores
@@ -49,6 +49,11 @@ def test_language_of_odd_texts(spark, docs, real):
     assert languages(docs([])).count() == 0
 
 
+def test_words_are_runs_of_letters():
+    for text in ("Straße x²y ½a１b٣c Ⅷd e①f_g ΑΒΓ東京 don't", "plain ascii 12 a1b", "", "²½ 12", "ªº ǅ ʰ"):
+        assert words_of(text) == _WORD.findall(text.lower())
+
+
 def test_scores_match_a_plain_scorer(spark):
     rows = [(i, w, l) for i, (w, l) in enumerate([("aa ab aa ab aa", "x"), ("ba bb ba b ba", "y"), ("aa cc cc", "y"), ("ab ab", "x"), ("zz", "z"), ("zy", "z"), (None, "x"), ("aa", " "), ("aa", None)] * 2)]
     model = train_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
@@ -288,3 +293,15 @@ def test_nearest_over_shards_and_blocks(spark):
     with pytest.raises(ValueError):
         nearest(df, df, factor=0)
     assert nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_vectors_whose_squares_overflow_keep_their_neighbours(spark):
+    vectors = [[1e160, 1.0], [1e160, 5.0], [-1e160, 2.0], [3.0, 4.0], [3.0, 1.0], [1e308, 1e308], [-1e308, -1e308]]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["vec_id"], r["score"]) for r in nearest(df, df, 10).orderBy("query_id", "rank").collect()]
+    want = []
+    for q, a in enumerate(vectors):
+        scores = [(math.hypot(*(x - y for x, y in zip(a, b, strict=True))), i) for i, b in enumerate(vectors) if i != q]
+        want += [(q, i, s) for s, i in sorted(scores)]
+    assert [(q, i) for q, i, _ in got] == [(q, i) for q, i, _ in want]
+    assert all(g == w or math.isclose(g, w, rel_tol=1e-12) for (_, _, g), (_, _, w) in zip(got, want, strict=True))
