@@ -56,12 +56,12 @@ class Tree:
         with np.errstate(over="ignore"):
             self.q, self.q_ids, self.q_squares = queries, query_ids, (queries**2).sum(1)
         self.best_d = np.full((len(queries), k), np.inf)
-        self.best_i = np.full((len(queries), k), -1, np.int64)
+        self.best_i = np.full((len(queries), k), np.iinfo(np.int64).max)  # behind any other at an infinite distance
         self.seen = np.full(len(queries), -1, np.int64)
         everyone = np.arange(len(queries))
         self._seed(self.root, everyone)
         self._visit(self.root, everyone, factor)
-        return self.best_d, self.best_i
+        return self.best_d, np.where(self.best_i == np.iinfo(np.int64).max, -1, self.best_i)
 
     def _seed(self, node: tuple, active: np.ndarray) -> None:
         """Take every query to one leaf, so that the search starts with bounds."""
