@@ -130,6 +130,10 @@ class FourCharacters:
     def decode(tokens: Sequence[str]) -> str:
         return "".join(tokens)
 
+    @staticmethod
+    def count(text: str) -> int:
+        return estimate(text)
+
 
 class TokenizerFile:
     """A tokenizer's JSON file."""
@@ -142,6 +146,9 @@ class TokenizerFile:
     def encode(self, text: str) -> list[int]:
         return self.own.encode(text, add_special_tokens=False).ids
 
+    def count(self, text: str) -> int:
+        return len(self.encode(text))
+
     def decode(self, tokens: Sequence[int]) -> str:
         return self.own.decode(tokens, skip_special_tokens=False)
 
@@ -164,13 +171,18 @@ def pack_sentences(text: str, size: int = 2400, overlap: int = 200, tokenizer=Fo
     no sentence is carried across it.
     """
     parts = sentences(text)
-    sizes = [len(tokenizer.encode(s)) for s in parts]
+    count = getattr(tokenizer, "count", lambda x: len(tokenizer.encode(x)))
+    sizes = [count(s) for s in parts]
+    stops = list(range(1, len(parts) + 1))  # behind the last sentence that a range from here may take
+    for i in range(len(parts) - 2, -1, -1):
+        if sizes[i + 1] <= size:
+            stops[i] = stops[i + 1]
     spent = [0, *accumulate(sizes)]
     out: list[tuple[int, str]] = []
 
     def chunk(a: int, b: int) -> tuple[int, str]:
         content = " ".join(parts[a:b])
-        return len(tokenizer.encode(content)), content
+        return count(content), content
 
     first = new = 0
     while new < len(parts):
@@ -180,8 +192,13 @@ def pack_sentences(text: str, size: int = 2400, overlap: int = 200, tokenizer=Fo
             out += [(len(w), tokenizer.decode(w).strip()) for at in windows if (w := tokens[at : at + size])]
             first = new = new + 1
             continue
-        end, now = new + 1, chunk(first, new + 1)
-        while end < len(parts) and sizes[end] <= size and (longer := chunk(first, end + 1))[0] <= size:
+        stop = stops[new]
+        # a longer range never counts less, so where the sizes point to, a few counts settle the end
+        end = max(new + 1, min(bisect_left(spent, spent[first] + size + 1) - 1, stop))
+        now = chunk(first, end)
+        while end > new + 1 and now[0] > size:
+            end, now = end - 1, chunk(first, end - 1)
+        while end < stop and now[0] <= size and (longer := chunk(first, end + 1))[0] <= size:
             end, now = end + 1, longer
         out.append(now)
         if end < len(parts) and sizes[end] > size:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from statistics import NormalDist
 
 import numpy as np
@@ -103,7 +103,12 @@ def bca_interval(deltas: np.ndarray, rounds: int = 10_000, alpha: float = 0.05,
     if np.ptp(deltas) <= 1e-12 * max(1.0, abs(mean)):
         return mean, mean
     rng = rng or np.random.default_rng(0)
-    means = np.concatenate([deltas[rng.integers(0, n, (k, n))].mean(1) for k in _blocks(rounds, n)])
+    return _interval(np.concatenate([deltas[rng.integers(0, n, (k, n))].mean(1) for k in _blocks(rounds, n)]), deltas, alpha)
+
+
+def _interval(means: np.ndarray, deltas: np.ndarray, alpha: float) -> tuple[float, float]:
+    """The interval's ends from the means of the resamples: quantiles moved by bias and acceleration."""
+    n, mean, rounds = len(deltas), float(np.mean(deltas)), len(means)
     normal = NormalDist()
     z0 = normal.inv_cdf(float(np.clip(np.mean(means < mean), 1 / rounds, 1 - 1 / rounds)))
     gone = (deltas.sum() - deltas) / (n - 1)
@@ -117,6 +122,24 @@ def bca_interval(deltas: np.ndarray, rounds: int = 10_000, alpha: float = 0.05,
     return ends[0], ends[1]
 
 
+def lows_without(deltas: np.ndarray, drops: Sequence[int], rounds: int = 10_000, alpha: float = 0.05, seed: int = 0) -> np.ndarray:
+    """The interval's lower end for the other deltas when one is left out, for each place in `drops`; one delta left stands for itself.
+
+    All are resampled by the same draws, so a block of draws serves every place in one product.
+    """
+    n = len(deltas) - 1
+    left = np.stack([np.delete(deltas, k) for k in drops], 1)
+    if n == 1:
+        return left[0]
+    rng, means = np.random.default_rng(seed), []
+    for k in _blocks(rounds, n):
+        drawn = rng.integers(0, n, (k, n)) + n * np.arange(k)[:, None]
+        means.append(np.bincount(drawn.ravel(), minlength=k * n).reshape(k, n) @ left / n)
+    means = np.concatenate(means)
+    flat = np.ptp(left, axis=0) <= 1e-12 * np.maximum(1.0, np.abs(left.mean(0)))
+    return np.array([left[:, j].mean() if flat[j] else _interval(means[:, j], left[:, j], alpha)[0] for j in range(left.shape[1])])
+
+
 def sign_flip_p(deltas: np.ndarray, rounds: int = 10_000, rng: np.random.Generator | None = None) -> float:
     """Two-sided permutation p of a mean under sign flips: exact up to 20 deltas, else Monte Carlo with the observed one added."""
     n = len(deltas)
@@ -255,15 +278,33 @@ def movable(pairs: DataFrame, least: float = 1e-9) -> DataFrame:
     return pairs.where(F.abs(F.col("b") - F.col("a")) > least)
 
 
-def mover_jackknife(pairs: DataFrame, least: float = 1e-9) -> DataFrame:
-    """Per metric: questions, movers, and whether the gain survives without any one mover.
+def movers_left_out(pairs: DataFrame, lower_is_better: Sequence[str] = (), least: float = 1e-9, rounds: int = 10_000, alpha: float = 0.05, seed: int = 0, block: int = 256) -> DataFrame:
+    """(metric, dropped, survived): whether the other movers still gain when one is left out, of metrics with two movers or more.
 
-    It needs two movers, and after each is left out a mean gain of the others above 0.
+    They do if the lower end of the interval of their mean gain is above 0; a single one left needs a gain above 0. Where
+    lower is better gains are falls. A metric's movers are its questions, which one row holds; blocks of them share out the work.
     """
-    moved = movable(pairs, least).groupBy("metric").agg(F.count("*").alias("n_movers"), F.sum(F.col("b") - F.col("a")).alias("_s"), F.max(F.col("b") - F.col("a")).alias("_top"))
-    n = pairs.groupBy("metric").agg(F.count("*").alias("n"))
-    both = n.join(moved, "metric", "left")
-    return both.select("metric", "n", F.coalesce("n_movers", F.lit(0)).alias("n_movers"), F.coalesce((F.col("n_movers") > 1) & (F.col("_s") - F.col("_top") > 0), F.lit(False)).alias("survives"))
+    sign = F.when(F.col("metric").isin(*lower_is_better), -1.0).otherwise(1.0) if lower_is_better else F.lit(1.0)
+    moved = movable(pairs, least).select("metric", F.struct("qid", (sign * (F.col("b") - F.col("a"))).alias("gain")).alias("m"))
+    whole = moved.groupBy("metric").agg(F.sort_array(F.collect_list("m")).alias("m")).where("size(m) > 1")
+    work = whole.select("metric", F.col("m.gain").alias("gains"), F.col("m.qid").alias("qids"), F.explode(F.sequence(F.lit(0), F.floor((F.size("m") - 1) / block).cast("int"))).alias("b"))
+    kind = pairs.schema["qid"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for metric, gains, qids, b in batch.itertuples(index=False):
+                gains = np.asarray(gains, float)
+                drops = range(b * block, min(len(gains), (b + 1) * block))
+                yield pd.DataFrame({"metric": metric, "dropped": list(qids[drops.start : drops.stop]), "survived": lows_without(gains, drops, rounds, alpha, seed) > 0})
+
+    return work.repartition("metric", "b").mapInPandas(run, f"metric string, dropped {kind}, survived boolean")
+
+
+def mover_jackknife(pairs: DataFrame, lower_is_better: Sequence[str] = (), least: float = 1e-9, rounds: int = 10_000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """Per metric: questions, movers, and whether the gain survives without any one mover; with fewer than two movers it does not."""
+    left = movers_left_out(pairs, lower_is_better, least, rounds, alpha, seed).groupBy("metric").agg(F.bool_and("survived").alias("survives"))
+    n = pairs.groupBy("metric").agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("b") - F.col("a")) > least).alias("n_movers"))
+    return n.join(left, "metric", "left").select("metric", "n", "n_movers", F.coalesce("survives", F.lit(False)).alias("survives"))
 
 
 def mean_gates(baseline: DataFrame, variant: DataFrame, rules: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ so that every answer is that of one stated moment.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -493,17 +494,31 @@ def merged_identities(observations: DataFrame, by: str, fields: Sequence[str], o
     return first.groupBy(by).agg(F.transform(sorted_, lambda x: x["o"]).alias("identities"))
 
 
-def requests_joined(requests: DataFrame, window: float) -> DataFrame:
-    """(request_id, leader): requests for one normalised query within `window` seconds of the first of them share its work.
+def requests_joined(requests: DataFrame, retention: float = 900.0) -> DataFrame:
+    """(request_id, leader): requests for one query share the work of the first, while it runs and until `retention` seconds after its end.
 
-    requests: (request_id, query, at). A gap of more than the window since the request before starts anew.
+    requests: (request_id, query, at, seconds); seconds is how long a request's work takes if it is done, null while it has
+    not ended. Queries are told apart by their text without outer white space: case and inner spaces count. The first request
+    after a result has gone leads anew; of requests at one moment the smallest id. A blank query is answered at once: leader null.
+
+    A query's requests pass through a task in order of time, of which it keeps the leader alone.
     """
-    text = F.lower(F.trim(F.regexp_replace("query", r"\s+", " ")))
-    w = Window.partitionBy("_q").orderBy("at", "request_id")
-    gap = F.col("at").cast("double") - F.lag(F.col("at").cast("double")).over(w)
-    runs = requests.withColumn("_q", text).withColumn("_new", F.when(gap.isNull() | (gap > window), 1).otherwise(0))
-    runs = runs.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.select("request_id", F.first("request_id").over(Window.partitionBy("_q", "_run").orderBy("at", "request_id")).alias("leader"))
+    q = F.regexp_replace("query", r"^\s+|\s+$", "")
+    at = F.col("at").cast("double")
+    rows = requests.select("request_id", F.coalesce(q, F.lit("")).alias("q"), at.alias("at"), (at + F.col("seconds") + retention).alias("until"))
+    kind = requests.schema["request_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        query, leader, until = None, None, 0.0
+        for batch in batches:
+            leaders = []
+            for i, q, at, ends in batch.itertuples(index=False):
+                if q != query or at >= until:
+                    query, leader, until = q, i, float("inf") if pd.isna(ends) else ends
+                leaders.append(leader if q else None)
+            yield pd.DataFrame({"request_id": batch["request_id"], "leader": pd.Series(leaders, dtype=object)})
+
+    return rows.repartition("q").sortWithinPartitions("q", "at", "request_id").mapInPandas(run, f"request_id {kind}, leader {kind}")
 
 
 def work_order(tasks: DataFrame, lanes: int) -> DataFrame:

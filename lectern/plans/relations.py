@@ -445,11 +445,16 @@ def identities_merged(t):
     return merged.select("paper", F.transform("identities", lambda x: F.concat_ws("/", x["source"], x["found"].cast("string"))).alias("identities"))
 
 
-@query("""WITH e AS (SELECT event_id AS request_id, event_type || ' x ' || user_id % 20 AS q, epoch(ts) AS s FROM events), g AS (SELECT *, CASE WHEN s - lag(s) OVER w <= 3600 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY q ORDER BY s, request_id)), r AS (SELECT *, sum(new) OVER (PARTITION BY q ORDER BY s, request_id ROWS UNBOUNDED PRECEDING) AS run FROM g)
-SELECT request_id, first_value(request_id) OVER (PARTITION BY q, run ORDER BY s, request_id) AS leader FROM r""")
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT event_id AS request_id, CASE WHEN event_id % 90 = 0 THEN '' ELSE event_type || CASE WHEN event_id % 3 = 0 THEN '  x ' ELSE ' x ' END || user_id % 20 END AS q, epoch(ts) AS s, epoch(ts) + event_id % 5000 + 900 AS ends FROM events),
+f AS MATERIALIZED (SELECT q, s, min(request_id) AS request_id, min_by(ends, request_id) AS ends FROM e WHERE q <> '' GROUP BY q, s), n AS MATERIALIZED (SELECT a.q, a.s, b.s AS then_ FROM f a ASOF JOIN f b ON a.q = b.q AND a.ends <= b.s),
+l AS (SELECT q, min(s) AS s FROM f GROUP BY q UNION ALL SELECT n.q, n.then_ FROM l JOIN n ON n.q = l.q AND n.s = l.s),
+k AS MATERIALIZED (SELECT q, s, request_id AS leader FROM f SEMI JOIN l USING (q, s))
+SELECT e.request_id, k.leader FROM e ASOF LEFT JOIN k ON k.q = e.q AND k.s <= e.s""")
 def requests_shared(t):
-    text = F.concat(F.upper("event_type"), F.lit("  x "), (F.col("user_id") % 20).cast("string"), F.when(F.col("event_id") % 2 == 0, " ").otherwise(""))
-    return R.requests_joined(t("events").select(F.col("event_id").alias("request_id"), text.alias("query"), F.col("ts").cast("timestamp").alias("at")), 3600.0)
+    i = F.col("event_id")
+    text = F.concat(F.lit(" "), F.col("event_type"), F.when(i % 3 == 0, "  x ").otherwise(" x "), (F.col("user_id") % 20).cast("string"), F.when(i % 2 == 0, "\t ").otherwise(""))
+    rows = t("events").select(i.alias("request_id"), F.when(i % 90 == 0, "  ").otherwise(text).alias("query"), F.col("ts").cast("timestamp").alias("at"), (i % 5000).cast("double").alias("seconds"))
+    return R.requests_joined(rows)
 
 
 @query("""WITH o AS (SELECT row_number() OVER (ORDER BY priority, queued, id) - 1 AS n, id FROM (SELECT o_custkey, min((o_orderpriority, o_orderdate, o_orderkey)) AS m, m[1] AS priority, m[2] AS queued, m[3] AS id FROM orders GROUP BY 1)) SELECT id AS task_id, CAST(n % 4 AS INTEGER) AS lane, CAST(n // 4 AS INTEGER) AS place FROM o""")

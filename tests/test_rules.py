@@ -388,3 +388,36 @@ def test_references_both_ways(spark):
     papers = spark.createDataFrame([("a",), ("b",)], "key string")
     assert {tuple(r) for r in payloads.references_of(edges, papers).collect()} == {("a", "b"), ("b", "c")}
     assert {tuple(r) for r in payloads.references_of(edges, papers, True).collect()} == {("a", "d"), ("b", "a")}
+
+
+def test_intervals_without_one_delta_are_those_of_the_others():
+    from lectern.operators.evaluation import bca_interval, lows_without
+
+    deltas = np.random.default_rng(4).normal(0.2, 1, 12)
+    got = lows_without(deltas, range(12), 2000)
+    want = [bca_interval(np.delete(deltas, k), 2000)[0] for k in range(12)]
+    assert np.allclose(got, want, atol=1e-12)
+    assert lows_without(np.array([0.5, -0.2]), [0, 1]).tolist() == [-0.2, 0.5]
+    assert lows_without(np.array([0.5, 0.5, 0.5]), [2]).tolist() == [0.5]
+
+
+def test_a_gain_must_survive_without_any_mover(spark):
+    from lectern.operators.evaluation import mover_jackknife, movers_left_out
+
+    def pairs(**gains):
+        return spark.createDataFrame([(m, f"q{i}", 1.0, 1.0 + g) for m, own in gains.items() for i, g in enumerate(own)], "metric string, qid string, a double, b double")
+
+    rows = pairs(fragile=[0.5, 0.5, -0.45], sound=[0.5, 0.4, 0.45, 0.0], falls=[-0.5, -0.4, -0.45], one=[0.5, 0.0], two=[0.5, 0.1], none=[0.0])
+    got = {r["metric"]: (r["n"], r["n_movers"], r["survives"]) for r in mover_jackknife(rows, ["falls"], rounds=1000).collect()}
+    assert got == {"fragile": (3, 3, False), "sound": (4, 3, True), "falls": (3, 3, True), "one": (2, 1, False), "two": (2, 2, True), "none": (1, 0, False)}
+    each = {(r["metric"], r["dropped"]): r["survived"] for r in movers_left_out(rows, rounds=1000).collect()}
+    assert each["fragile", "q0"] is False and each["fragile", "q2"] is True and ("one", "q0") not in each and each["falls", "q0"] is False
+
+
+def test_requests_share_work_until_its_result_goes(spark):
+    from lectern.operators.records import requests_joined
+
+    rows = [(1, "a", 0, 8.0), (2, " a ", 8, 1.0), (3, "a", 16, 5.0), (4, "A", 16, 1.0), (5, "a", 18, 5.0), (6, "a  b", 0, None), (7, "a b", 0, 1.0), (8, "a  b\n", 10**6, 1.0), (9, " ", 0, 1.0), (10, None, 0, 1.0), (11, "a", 0, 8.0)]
+    df = spark.createDataFrame(rows, "request_id long, query string, at long, seconds double").repartition(3)
+    got = dict(sorted((r["request_id"], r["leader"]) for r in requests_joined(df, 10.0).collect()))
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7, 8: 6, 9: None, 10: None, 11: 1}
