@@ -282,20 +282,6 @@ def replayed(initial: DataFrame, journal: DataFrame) -> DataFrame:
     return checked.groupBy("row_id").agg(F.max("sequence").alias("sequence"), F.max_by("new_image", "sequence").alias("state"), F.min_by("problem", F.when(F.col("problem").isNotNull(), F.col("sequence"))).alias("problem"))
 
 
-def dispositions(catalog: DataFrame, ledger: DataFrame, statuses: DataFrame) -> DataFrame:
-    """(doc_id, disposition) over the final states: matches, conflicts (fingerprints differ), ledger_only, docstatus_only, duplicates (a ledger names a document twice), provenance_gaps (no catalog row).
-
-    catalog: (doc_id); ledger: (doc_id, fingerprint); statuses: (doc_id, fingerprint).
-    """
-    own = ledger.groupBy("doc_id").agg(F.count("*").alias("_n"), F.min("fingerprint").alias("_a"))
-    both = own.join(statuses.select("doc_id", F.col("fingerprint").alias("_b"), F.lit(True).alias("_there")), "doc_id", "full_outer").join(catalog.select("doc_id", F.lit(True).alias("_known")).distinct(), "doc_id", "left")
-    what = (
-        F.when(F.col("_n") > 1, "duplicates").when(F.col("_there").isNull(), "ledger_only").when(F.col("_n").isNull(), "docstatus_only")
-        .when(F.col("_known").isNull(), "provenance_gaps").when(~F.col("_a").eqNullSafe(F.col("_b")), "conflicts").otherwise("matches")
-    )
-    return both.select("doc_id", what.alias("disposition"))
-
-
 def replay_closure(heads: DataFrame, inventories: DataFrame, requirements: DataFrame, inputs: DataFrame, recipes: DataFrame, generation: str, parents: DataFrame | None = None) -> DataFrame:
     """(kind, id): the units, inputs and recipes a replay of a generation's parents needs, `missing` before the kind of those not there.
 

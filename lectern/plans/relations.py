@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators import imports as I
 from lectern.operators import ledgers as L
 from lectern.operators import records as R
 from lectern.plans.registry import query
@@ -289,13 +290,43 @@ def journal_replays(t):
     return R.replayed(rows, journal)
 
 
-@query("""WITH l AS (SELECT o_custkey AS d, count(*) AS n, min('f' || o_orderkey % 2) AS f FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1), s AS (SELECT c_custkey AS d, 'f' || c_custkey % 2 AS f FROM customer WHERE c_custkey % 4 <> 0)
-SELECT coalesce(l.d, s.d) AS doc_id, CASE WHEN n > 1 THEN 'duplicates' WHEN s.d IS NULL THEN 'ledger_only' WHEN n IS NULL THEN 'docstatus_only' WHEN l.d % 10 = 0 THEN 'provenance_gaps' WHEN l.f <> s.f THEN 'conflicts' ELSE 'matches' END AS disposition FROM l FULL JOIN s ON l.d = s.d""")
+# Of an even user the ledger's snapshot has a row; a user's events change it in turn: insert, update, delete.
+_CHANGED = """SELECT event_id, user_id AS u, CAST(event_id + 1 AS BIGINT) AS sequence, (row_number() OVER w + CASE WHEN user_id % 2 = 0 THEN 0 ELSE 2 END) % 3 AS turn, concat('d', (user_id + event_id % 2) % 50) AS doc, event_id % 7 - 1 AS failures,
+lag(concat('d', (user_id + event_id % 2) % 50), 1, concat('d', user_id % 50)) OVER w AS was, lag(event_id % 7 - 1, 1, user_id % 5) OVER w AS had FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"""
+_IMPORT = f"""WITH c AS MATERIALIZED ({_CHANGED}), m AS (SELECT c_custkey AS row_id, 'x' || c_custkey % 40 AS unit FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, 'y' || c_custkey % 4 FROM customer WHERE c_custkey % 11 = 0), st AS (SELECT 'd' || n_nationkey * 2 AS doc FROM nation UNION ALL SELECT 'd' || n_nationkey FROM nation WHERE n_nationkey % 5 = 0 UNION ALL SELECT 'z' || n_regionkey FROM nation WHERE n_regionkey < 2),
+s AS MATERIALIZED (SELECT DISTINCT 0 AS sequence, 'SNAPSHOT' AS operation, user_id AS row_id, 'd' || user_id % 50 AS doc, user_id % 5 AS failures, 1 AS delta FROM events WHERE user_id % 2 = 0 UNION ALL SELECT sequence, CASE WHEN turn = 1 THEN 'UPDATE' ELSE 'INSERT' END, u, doc, failures, 1 FROM c WHERE turn <> 2 UNION ALL SELECT sequence, CASE WHEN turn = 2 THEN 'DELETE' END, u, was, had, -1 FROM c WHERE turn <> 0),
+pop AS (SELECT *, sum(delta) OVER (PARTITION BY doc ORDER BY sequence RANGE UNBOUNDED PRECEDING) AS docs FROM s), k AS (SELECT row_id, count(*) AS n, min(unit) AS unit FROM m GROUP BY 1),
+un AS (SELECT DISTINCT unit, sequence, sum(delta) OVER (PARTITION BY unit ORDER BY sequence RANGE UNBOUNDED PRECEDING) AS rows_ FROM s JOIN (SELECT DISTINCT * FROM m) USING (row_id)),
+e AS MATERIALIZED (SELECT p.row_id, p.sequence, operation, delta < 0 AS deleted, p.doc, CASE WHEN n = 1 THEN k.unit END AS unit_id, failures, [CASE WHEN q.t IS NULL THEN 'ledger_only' ELSE 'matched' END] || CASE WHEN n > 1 THEN ['conflicting_mapping'] WHEN n IS NULL THEN ['unmatched_unit'] ELSE [] END || CASE WHEN n = 1 AND rows_ > 1 THEN ['duplicate_unit'] ELSE [] END || CASE WHEN docs > 1 THEN ['duplicate_document_identity'] ELSE [] END
+ || CASE WHEN q.t > 1 THEN ['duplicate_docstatus'] ELSE [] END || ['provenance_gap'] || CASE WHEN delta < 0 THEN ['source_deleted'] ELSE [] END || CASE WHEN failures < 0 THEN ['invalid_failure_counter'] ELSE [] END AS dispositions
+ FROM pop p LEFT JOIN k USING (row_id) LEFT JOIN un ON un.unit = k.unit AND un.sequence = p.sequence LEFT JOIN (SELECT doc, count(*) AS t FROM st GROUP BY 1) q ON q.doc = p.doc WHERE operation IS NOT NULL)"""
+
+
+def _import(t):
+    u, own = F.col("user_id"), ("row_id", "doc", "failures")
+    c = t("events").sparkSession.sql(_CHANGED.replace("FROM events", "FROM {events}"), events=t("events"))
+    old = F.struct(F.col("u").alias("row_id"), F.col("was").alias("doc"), F.col("had").alias("failures"))
+    new = F.struct(F.col("u").alias("row_id"), "doc", "failures")
+    changes = c.select("sequence", F.when(F.col("turn") == 1, "UPDATE").when(F.col("turn") == 2, "DELETE").otherwise("INSERT").alias("operation"), F.when(F.col("turn") != 0, old).alias("old"), F.when(F.col("turn") != 2, new).alias("new"))
+    snapshot = t("events").where(u % 2 == 0).select(u.alias("row_id"), F.concat(F.lit("d"), u % 50).alias("doc"), (u % 5).alias("failures")).distinct()
+    k, n, r = F.col("c_custkey"), F.col("n_nationkey"), F.col("n_regionkey")
+    mappings = t("customer").where(k % 3 != 0).select(k.alias("row_id"), F.concat(F.lit("x"), k % 40).alias("unit_id")).union(t("customer").where(k % 11 == 0).select(k, F.concat(F.lit("y"), k % 4)))
+    statuses = t("nation").select(F.concat(F.lit("d"), n * 2).alias("doc")).union(t("nation").where(n % 5 == 0).select(F.concat(F.lit("d"), n))).union(t("nation").where(r < 2).select(F.concat(F.lit("z"), r)))
+    image = [F.to_json(F.struct(*[F.col(f"{side}{f}") for f in own])).alias(name) for side, name in (("", "image"), ("old.", "old_image"), ("new.", "new_image"))]
+    I.checked_changes(snapshot.select("row_id", image[0]), changes.select("sequence", "operation", F.col("old.row_id").alias("old_id"), F.when(F.col("old").isNotNull(), image[1]).alias("old_image"), F.col("new.row_id").alias("new_id"), F.when(F.col("new").isNotNull(), image[2]).alias("new_image")), 0)
+    return I.import_events(snapshot, changes, mappings, statuses), statuses
+
+
+@query(_IMPORT + " SELECT * FROM e")
 def import_dispositions(t):
-    c = F.col("c_custkey")
-    ledger = t("orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("doc_id"), F.concat(F.lit("f"), (F.col("o_orderkey") % 2).cast("string")).alias("fingerprint"))
-    statuses = t("customer").where(c % 4 != 0).select(c.alias("doc_id"), F.concat(F.lit("f"), (c % 2).cast("string")).alias("fingerprint"))
-    return R.dispositions(t("customer").where(c % 10 != 0).select(c.alias("doc_id")), ledger, statuses)
+    return _import(t)[0]
+
+
+@query(_IMPORT + """, l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY sequence DESC) = 1), a AS (SELECT doc FROM st WHERE doc NOT IN (SELECT doc FROM l WHERE NOT deleted))
+SELECT unnest([CASE WHEN list_contains(dispositions, 'matched') THEN 'matches' ELSE 'ledger_only' END, 'provenance_gaps'] || CASE WHEN len(list_filter(dispositions, lambda x: starts_with(x, 'duplicate'))) > 0 THEN ['duplicates'] ELSE [] END || CASE WHEN list_has_any(dispositions, ['conflicting_mapping', 'invalid_failure_counter']) THEN ['conflicts'] ELSE [] END) AS name, row_id, doc, sequence FROM l
+UNION ALL SELECT 'docstatus_only', NULL, doc, NULL FROM a UNION ALL SELECT 'duplicates', NULL, doc, NULL FROM a GROUP BY doc HAVING count(*) > 1""")
+def sets_of_import(t):
+    return I.import_sets(*_import(t))
 
 
 @query("""WITH h AS (SELECT o_custkey AS p, min(o_orderkey) AS rev FROM orders GROUP BY 1), own AS (SELECT * FROM h WHERE p % 4 = 1), u AS (SELECT p AS unit FROM own UNION SELECT l_suppkey + 100000 FROM lineitem JOIN own ON l_orderkey = rev),
