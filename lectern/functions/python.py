@@ -10,8 +10,8 @@ import unicodedata
 from bisect import bisect_left
 from collections.abc import Sequence
 from difflib import SequenceMatcher
-from functools import lru_cache
-from itertools import accumulate, pairwise
+from functools import lru_cache, reduce
+from itertools import accumulate, groupby, pairwise
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -260,9 +260,11 @@ def sectioner(size: int = 2400):
     return run
 
 
+#: What makes a heading, and the section number that may stand before a closing heading's name.
+HEADING, NUMBER = r"^\s{0,3}#{1,4}\s+\S", r"(?:[\dIVXLC]{1,6}[.)]?\s+)?"
 _REFERENCES = re.compile(r"(?im)^\s{0,3}#{0,4}\s*(?:references|bibliography)\b")
-_CLOSING = re.compile(r"(?im)^\s{0,3}#{1,4}\s*(?:[\dIVXLC]{1,6}[.)]?\s+)?(?:" + "|".join(CLOSING) + r")\b")
-_HEADING = re.compile(r"(?im)^\s{0,3}#{1,4}\s+\S")
+_CLOSING = re.compile(r"(?im)^\s{0,3}#{1,4}\s*" + NUMBER + "(?:" + "|".join(CLOSING) + r")\b")
+_BORDER = re.compile(f"(?im){HEADING}")
 _FINDINGS = re.compile("(?im)" + "|".join(FINDINGS))
 
 
@@ -272,34 +274,28 @@ def without_references(text: str) -> str:
     return text if at is None else text[:at].rstrip()
 
 
-def _one_less(text: str) -> str | None:
-    """The text without its first closing section that may go; None if none may."""
-    for head in _CLOSING.finditer(text):
-        after = _HEADING.search(text, head.end())
-        if after is None and 2 * head.start() <= len(text):
-            continue
-        start, end = head.start(), after.start() if after else len(text)
-        if _FINDINGS.search(text[start:end]) is None:
-            kept = [text[:start].rstrip(), text[end:].lstrip()]
-            return "\n\n".join(kept).strip() if after else kept[0]
-    return None
+def _joined(parts: list[str], gone: set[int]) -> str:
+    """The sections that stay, a blank line where some went."""
+    runs = [list(g) for _, g in groupby((i for i in range(len(parts)) if i not in gone), key=lambda i: sum(k < i for k in gone))]
+    blocks = ["".join(parts[i] for i in run) for run in runs]
+    return "\n\n".join(filter(None, (b.strip() for b in blocks))) if gone else "".join(blocks)
 
 
 def without_closing(text: str) -> str:
-    """Take closing sections out one after another.
+    """A text without its closing sections: those headed as such that show no findings.
 
-    A section ends at the next heading and goes wherever it stands; the last one, which ends with the
-    text, goes only from the second half; one that shows findings stays. Of the texts this gives, the
-    last one counts that is at least half of every text before it that counts.
+    The section that ends the text goes only from the second half of what is left of it. Sections go in order, and only as
+    many of them as leave at least half: of the lengths after each, a later one that falls below half of an earlier one
+    does not count.
     """
-    steps = [text]
-    while (less := _one_less(steps[-1])) is not None and less != steps[-1]:
-        steps.append(less)
-    result = steps.pop()
-    while steps:
-        before = steps.pop()
-        result = before if 2 * len(result) < len(before) else result
-    return result
+    borders = sorted({0, *(m.start() for pattern in (_BORDER, _CLOSING) for m in pattern.finditer(text))})
+    parts = [text[a:b] for a, b in pairwise([*borders, len(text)])]
+    idle = [i for i, p in enumerate(parts) if _CLOSING.match(p) and not _FINDINGS.search(p)]
+    last = len(parts) - 1
+    stages = [_joined(parts, set(idle[:k])) for k in range(len(idle) - (last in idle) + 1)]
+    if last in idle and 2 * (len(stages[-1].rstrip()) - len(parts[last].strip())) > len(stages[-1]):
+        stages.append(_joined(parts, set(idle)).rstrip())
+    return reduce(lambda later, earlier: earlier if 2 * len(later) < len(earlier) else later, reversed(stages))
 
 
 @F.pandas_udf(T.StringType())

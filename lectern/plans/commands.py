@@ -1,10 +1,11 @@
-"""Queries of the command reducer over a log of commands that events stand in for: users are units, some of their commands come twice."""
+"""Queries of commands and registrations that depend on those before them: users of events are units, some of their commands come twice."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from lectern.operators import commands as C
+from lectern.operators.registration import registered
 from lectern.plans.registry import query
 
 _ACTION = f"CASE WHEN event_id % 211 = 7 THEN 'cancel' WHEN event_id % 53 = 9 THEN 'quarantine' WHEN event_id % 23 = 5 THEN 'clear_quarantine' WHEN event_id % 19 = 3 THEN 'reset_reducer' WHEN nth = 1 THEN 'enqueue' WHEN nth % 7 = 2 THEN 'claim' WHEN nth % 7 = 3 AND event_id % 3 = 0 THEN 'fail' WHEN nth % 7 = 3 AND event_id % 3 = 1 THEN 'begin_retirement' WHEN nth % 7 = 4 THEN 'seal_namespace' WHEN nth % 7 = 5 THEN 'complete' WHEN nth % 7 = 6 AND event_id % 2 = 0 THEN 'claim_publication' WHEN nth % 7 = 0 AND event_id % 2 = 0 THEN 'publish_derivation' WHEN nth % 7 = 1 THEN 'rebase' ELSE element_at(array({', '.join(map(repr, C.ACTIONS))}), CAST(event_id % 19 + 1 AS INT)) END"
@@ -29,3 +30,16 @@ def commands_applied(t):
     log = t("events").sparkSession.sql(_LOG.replace("FROM events", "FROM {events}"), events=t("events"))
     again = log.where("operation_id % 10 = 0").withColumn("seq", F.col("seq") + 1)  # sent twice
     return C.commands_reduced(log.unionByName(again))
+
+
+@query()  # each decision rests on those before it: tested against a loop over candidates
+def batches_registered(t):
+    k, o = F.col("p_partkey"), F.col("o_orderkey")
+
+    def identity(x, n: int):
+        return [F.when(x % 3 > 0, F.concat(F.lit("10.1/"), x % n)).alias("doi"), F.when(x % 4 > 1, F.concat(F.lit("2001."), x % (n + 7))).alias("arxiv"), F.when(x % 8 > 5, F.concat(F.lit("v"), x % 2 + 1)).alias("version"), F.concat(F.lit("title "), x % (n * 2 + 1)).alias("title")]
+
+    records = t("part").select(F.concat(F.lit("r"), k).alias("record"), k.alias("ord"), *identity(k, 5000))
+    candidates = t("orders").select(F.concat(F.lit("c"), o).alias("id"), o.alias("pos"), *identity(o, 7000), (F.col("o_custkey") % 11 > 0).alias("valid"))
+    aliases = t("supplier").select(F.col("s_suppkey").alias("ord"), *identity(F.col("s_suppkey") + 4000, 7000), F.concat(F.lit("r"), F.col("s_suppkey")).alias("record"))
+    return registered(candidates, records, aliases)

@@ -239,11 +239,13 @@ def topology(t):
     return G.topology_scores(e, facets, e.select("a", "b", F.col("file_path").alias("key"))).select("key", F.round("score", 4).alias("score"), "rank")
 
 
-def names(t):
+def names(t, only: bool = False):
     """Part names with numbers, spelled two ways, and their types."""
     k = F.col("p_partkey")
     n = F.floor(k / 2).cast("string")
     name = F.when(k % 2 == 0, F.concat(F.lit("Big-Part"), n)).otherwise(F.concat(F.lit("big part_"), n))
+    if only:
+        return name
     return t("part").select(name.alias("id"), F.when(F.col("p_size") % 3 == 0, "UNKNOWN").otherwise(F.col("p_type")).alias("type"))
 
 
@@ -259,24 +261,34 @@ def clusters(t):
     return G.surface_clusters(names(t), entity_surface_key(F.col("id")))
 
 
-@query(_NAMES + """SELECT key, CASE WHEN count(DISTINCT type) FILTER (type <> 'UNKNOWN') <= 1 THEN 'merge' ELSE 'defer' END AS action,
-CASE WHEN count(DISTINCT type) FILTER (type <> 'UNKNOWN') <= 1 THEN min(id) END AS target,
+def trade(t):
+    """Edges between parts, by their names, and suppliers."""
+    named = t("part").select("p_partkey", names(t, True).alias("source"))
+    e = t("lineitem").where("l_partkey % 5 <> 0").join(named, F.col("l_partkey") == F.col("p_partkey"))
+    return e.groupBy("source", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target")).agg(F.count("*").cast("double").alias("weight"))
+
+
+_TRADE = _NAMES + """, b AS (SELECT DISTINCT CASE WHEN l_partkey % 2 = 0 THEN 'Big-Part' || l_partkey // 2 ELSE 'big part_' || l_partkey // 2 END AS a, 's' || l_suppkey AS b FROM lineitem WHERE l_partkey % 5 <> 0), d AS (SELECT a AS id, count(*) AS degree FROM b GROUP BY 1)
+"""
+
+
+@query(_TRADE + """SELECT key, CASE WHEN count(DISTINCT type) FILTER (type <> 'UNKNOWN') <= 1 THEN 'merge' ELSE 'defer' END AS action,
+CASE WHEN count(DISTINCT type) FILTER (type <> 'UNKNOWN') <= 1 THEN arg_min(id, (-coalesce(degree, 0), id)) END AS target,
 CASE WHEN count(DISTINCT type) FILTER (type <> 'UNKNOWN') <= 1 THEN coalesce(min(type) FILTER (type <> 'UNKNOWN'), 'UNKNOWN') END AS type, list_sort(list(DISTINCT id)) AS members
-FROM k GROUP BY key HAVING length(key) >= 6 AND count(DISTINCT id) > 1""")
+FROM k LEFT JOIN d USING (id) GROUP BY key HAVING length(key) >= 6 AND count(DISTINCT id) > 1""")
 def sweeps(t):
     from lectern.functions.text import entity_surface_key
 
-    return G.typed_sweep(names(t), supply(t), entity_surface_key(F.col("id")))
+    return G.typed_sweep(names(t), trade(t), entity_surface_key(F.col("id")))
 
 
-@query(_NAMES + """, s AS (SELECT key, count(*) AS n FROM k GROUP BY key), c AS (SELECT coalesce(sum(n), 0) AS n FROM s WHERE length(key) >= 6 AND n > 1)
-SELECT count(*) AS entities, (SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)) AS relations,
-round(2 * (SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)) / count(*), 6) AS avg_degree, CAST(0 AS BIGINT) AS max_degree,
-round(100.0 * count(*) FILTER (type NOT IN ('ECONOMY', 'STANDARD')) / count(*), 6) AS off_pct, round(100.0 * (SELECT n FROM c) / count(*), 6) AS colliding_pct, 100.0 AS isolated_pct FROM n""")
+@query(_TRADE + """, s AS (SELECT key, count(*) AS n FROM k GROUP BY key), c AS (SELECT coalesce(sum(n), 0) AS n FROM s WHERE length(key) >= 6 AND n > 1)
+SELECT count(*) AS entities, (SELECT count(*) FROM b) AS relations, round(2 * (SELECT count(*) FROM b) / count(*), 6) AS avg_degree, max(degree) AS max_degree,
+round(100.0 * count(*) FILTER (type NOT IN ('ECONOMY', 'STANDARD')) / count(*), 6) AS off_pct, round(100.0 * (SELECT n FROM c) / count(*), 6) AS colliding_pct, round(100.0 * count(*) FILTER (degree IS NULL) / count(*), 6) AS isolated_pct FROM n LEFT JOIN d USING (id)""")
 def guardrail_report(t):
     from lectern.functions.text import entity_surface_key
 
-    return G.guardrails(names(t), supply(t), ["ECONOMY", "STANDARD"], entity_surface_key(F.col("id")))
+    return G.guardrails(names(t), trade(t), ["ECONOMY", "STANDARD"], entity_surface_key(F.col("id")))
 
 
 @query("""WITH p AS (SELECT l_orderkey AS doc, l_linenumber AS pos, 'p' || ((l_partkey % 40) // 2) AS a, 'p' || ((l_suppkey % 40) // 2) AS b FROM lineitem),

@@ -10,7 +10,7 @@ from lectern.operators import predicates as R
 from lectern.operators import sync as S
 from lectern.plans.registry import query
 from lectern.sources.files import bibtex, normalise_hits
-from lectern.sources.html import page_links
+from lectern.sources.html import page_links, page_meta
 
 
 @query("""SELECT p_partkey, trim(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', ' ', 'g')) AS spaced,
@@ -225,6 +225,18 @@ def links_of_pages(t):
     return page_links(t("pages"))
 
 
+# Said over rendered pages, so that SQL knows every fact: documents give titles, authors (several tags of one name) and files.
+@query("""WITH d AS (SELECT doc_id, lang, source, n_chars FROM documents), m AS (SELECT doc_id, 'citation_author' AS name, unnest(range(doc_id % 4)) AS pos, 'Author ' || (doc_id + pos) || ' & Co' AS content FROM d UNION ALL SELECT doc_id, 'og:site', 0, source FROM d UNION ALL SELECT doc_id, 'citation_pdf_url', 0, '/f/' || doc_id || '.pdf' FROM d WHERE doc_id % 3 = 0)
+SELECT doc_id AS page_id, 'Doc ' || doc_id AS title, lang, CASE WHEN doc_id % 3 = 0 THEN 'http://x.org/f/' || doc_id || '.pdf' WHEN doc_id % 3 = 1 THEN 'http://x.org/a/g' || doc_id || '.PDF?v=1' END AS pdf_url, name, CAST(pos AS INTEGER) AS pos, content FROM d JOIN m USING (doc_id)""")
+def facts_of_pages(t):
+    i = F.col("doc_id").cast("string")
+    authors = F.array_join(F.transform(F.when(F.col("doc_id") % 4 > 0, F.sequence(F.lit(0), (F.col("doc_id") % 4 - 1).cast("int"))), lambda k: F.concat(F.lit('<meta name="Citation_Author" content="Author '), (F.col("doc_id") + k).cast("string"), F.lit(' &amp; Co">'))), "")
+    file = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('<meta name="citation_pdf_url" content="/f/'), i, F.lit('.pdf">'))).otherwise("")
+    link = F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit('<a href="g'), i, F.lit('.PDF?v=1">file</a>'))).otherwise("")
+    html = F.concat(F.lit('<html lang="'), "lang", F.lit('"><head><title> Doc '), i, F.lit('</title><meta property="og:site" content="'), "source", F.lit('">'), F.coalesce(authors, F.lit("")), file, F.lit("</head><body>"), link, F.lit("</body></html>"))
+    return page_meta(t("documents").select(F.col("doc_id").alias("page_id"), F.lit("http://x.org/a/b").alias("url"), html.alias("html")))
+
+
 @query("""SELECT lang, status, n FROM (SELECT lang, CASE WHEN quality IS NULL THEN 'unlabelled' WHEN quality = 1 THEN 'good' ELSE 'bad' END AS status, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2)""")
 def census(t):
     status = F.when(F.col("quality").isNull(), "unlabelled").when(F.col("quality") == 1, "good").otherwise("bad")

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 _TEXT = T.StringType()
 FACTS = T.StructType(
     [T.StructField(n, _TEXT) for n in ("title", "lang", "pdf_url")]
-    + [T.StructField("meta", T.MapType(_TEXT, _TEXT)), T.StructField("links", T.ArrayType(T.StructType([T.StructField("href", _TEXT), T.StructField("text", _TEXT)])))]
+    + [T.StructField("meta", T.MapType(_TEXT, T.ArrayType(_TEXT))), T.StructField("links", T.ArrayType(T.StructType([T.StructField("href", _TEXT), T.StructField("text", _TEXT)])))]
 )
 
 
@@ -29,7 +29,7 @@ class _Collector(HTMLParser):
         if tag == "html":
             self.lang = a.get("lang")
         elif tag == "meta" and (name := a.get("name") or a.get("property")):
-            self.meta.setdefault(name.lower(), a.get("content", ""))
+            self.meta.setdefault(name.lower(), []).append(a.get("content", ""))
         elif tag == "a" and a.get("href"):
             self.open = []
             self.links.append([self.join(a["href"]), self.open])
@@ -63,7 +63,7 @@ def parse(url: str | None, html: str | None) -> dict:
     except AssertionError:  # malformed declarations end the parse; what was read stays
         pass
     links = [{"href": h, "text": " ".join("".join(t).split())} for h, t in found.links]
-    pdf = found.meta.get("citation_pdf_url") or next((x["href"] for x in links if x["href"].split("?")[0].lower().endswith(".pdf")), None)
+    pdf = next(filter(None, found.meta.get("citation_pdf_url", [])), None) or next((x["href"] for x in links if x["href"].split("?")[0].lower().endswith(".pdf")), None)
     return {"title": found.title.strip() if found.title else None, "lang": found.lang, "pdf_url": found.join(pdf) if pdf else None, "meta": found.meta, "links": links}
 
 
@@ -76,3 +76,10 @@ def page_links(pages: DataFrame) -> DataFrame:
     """(page_id, pos, href, text): links of each page in order, made absolute."""
     facts = pages.select("page_id", page_facts("url", "html").alias("f"))
     return facts.select("page_id", F.posexplode("f.links").alias("pos", "x")).select("page_id", "pos", "x.href", "x.text")
+
+
+def page_meta(pages: DataFrame) -> DataFrame:
+    """(page_id, title, lang, pdf_url, name, pos, content): a page's facts, a row for every value of its meta tags, in order within a name; one with a null name for a page without."""
+    facts = pages.select("page_id", page_facts("url", "html").alias("f"))
+    named = facts.select("page_id", "f.title", "f.lang", "f.pdf_url", F.explode_outer("f.meta").alias("name", "contents"))
+    return named.select("page_id", "title", "lang", "pdf_url", "name", F.posexplode_outer("contents").alias("pos", "content"))
