@@ -294,7 +294,7 @@ def without_closing(text: str) -> str:
     last = len(parts) - 1
     stages = [_joined(parts, set(idle[:k])) for k in range(len(idle) - (last in idle) + 1)]
     if last in idle and 2 * (len(stages[-1].rstrip()) - len(parts[last].strip())) > len(stages[-1]):
-        stages.append(_joined(parts, set(idle)).rstrip())
+        stages.append(_joined(parts[:last], set(idle[:-1])).rstrip())
     return reduce(lambda later, earlier: earlier if 2 * len(later) < len(earlier) else later, reversed(stages))
 
 

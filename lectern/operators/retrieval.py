@@ -114,13 +114,15 @@ def fused_retrieval(lists: DataFrame, anchors: DataFrame, per_paper: int = 0, ba
     """(qid, rank, key, paper, tier, fused): the chunks served for each question.
 
     lists: (qid, list_idx, rank, key, paper, tier), list 0 that of the question as a whole; anchors: (qid,
-    band, sources) with the coverage of list 0 and the sources a planner expects. A question with empty
-    or weak coverage, or without another list, keeps list 0 as it is. Else all lists fuse by reciprocal
+    band, sources) with the coverage of list 0 and the sources a planner expects, and, if there, facets, the
+    number of parts it cut the question into. A question with empty or weak coverage, or without facets (another
+    list, where anchors don't say), keeps list 0 as it is; facets that found nothing count. Else all lists fuse by reciprocal
     ranks, tiers come in their order, a paper gives per_paper chunks at most (0: any), and the fan-out
     for the expected sources, or `base` without such, cuts.
     """
     many = lists.where("list_idx > 0").select("qid").distinct().withColumn("_many", F.lit(True))
-    gate = anchors.join(many, "qid", "left").select("qid", (~F.col("band").isin("empty", "weak") & F.coalesce("_many", F.lit(False))).alias("fused"), F.when(F.col("sources") > 0, fan_out(F.col("sources"))).otherwise(base).alias("_cap"))
+    several = F.coalesce(F.col("facets") > 0 if "facets" in anchors.columns else F.col("_many"), F.lit(False))
+    gate = anchors.join(many, "qid", "left").select("qid", (~F.col("band").isin("empty", "weak") & several).alias("fused"), F.when(F.col("sources") > 0, fan_out(F.col("sources"))).otherwise(base).alias("_cap"))
     both = lists.join(gate, "qid")
     plain = both.where("NOT fused AND list_idx = 0").select("qid", "rank", "key", "paper", "tier", "fused")
     one = rrf_representative(both.where("fused"), ["paper", "tier", "_cap"], ["qid"]).withColumnRenamed("fused_rank", "rank")

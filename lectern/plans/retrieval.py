@@ -132,11 +132,24 @@ UNION ALL SELECT qid, rank, key, 'p' || key % 40, ['canon', 'fulltext', 'abstrac
 """
 
 
+_ALONE = _LISTS + """, f AS (SELECT qid, key, key % 3 AS tier, row_number() OVER (PARTITION BY qid ORDER BY key % 3, rank) - 1 AS r FROM lists WHERE list_idx = 0 AND qid = 'F'),
+c AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY r) - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, key % 40 ORDER BY r) AS nth FROM f) WHERE nth <= 2)
+SELECT qid, CAST(rank AS INTEGER) AS rank, key, 'p' || key % 40 AS paper, ['canon', 'fulltext', 'abstract_only'][1 + tier] AS tier, true AS fused FROM c WHERE rank < 63
+UNION ALL SELECT qid, CAST(rank AS INTEGER), key, 'p' || key % 40, ['canon', 'fulltext', 'abstract_only'][1 + key % 3], false FROM lists WHERE qid <> 'F' AND list_idx = 0"""
+
+
 @query(_ANSWER + "SELECT qid, CAST(rank AS INTEGER) AS rank, key, paper, tier, fused FROM served")
 def fused_answers(t):
     return V.fused_retrieval(_labelled(t), _anchors(t), 2)
 
 
+# The facets of one question found nothing, those of another were never asked for: the first is fused all the same.
+@query(_ALONE)
+def answers_by_facets(t):
+    alone = _labelled(t).where("list_idx = 0")
+    return V.fused_retrieval(alone, _anchors(t).withColumn("facets", F.when(F.col("qid") == "F", 3).otherwise(0)), 2)
+
+
 @query(_ANSWER + "SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY first) - 1 AS INTEGER) AS pos, paper, tier FROM (SELECT qid, paper, min(rank) AS first, arg_min(tier, rank) AS tier FROM served GROUP BY 1, 2)")
 def answer_references(t):
     return V.references(V.fused_retrieval(_labelled(t), _anchors(t), 2))
