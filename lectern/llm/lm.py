@@ -19,7 +19,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +32,9 @@ from lectern.llm.decontaminate import member
 
 #: Words in the broadcast table (16 bytes each), and words with classes, CLASSES of CLASS_SIZE.
 TABLE, CLASSES, CLASS_SIZE = 1 << 18, 32, 32
-#: Characters that all weights start from, the share of the corpus that partitions then learn from, and a piece's length.
-START_CHARS, SHARE, PIECE = 2_000_000, 0.125, 20_000
-#: Partitions whose weights are summed in one task, and the blocks that the weights are cut into for it.
+#: Characters that all weights start from, the share of the corpus that learners then learn from, a learner's part of it, and a piece's length.
+START_CHARS, SHARE, LEARNER_CHARS, PIECE = 2_000_000, 0.25, 4_000_000, 20_000
+#: Learners whose weights are summed in one task, and the blocks that the weights are cut into for it.
 PARTY, BLOCKS = 64, 16
 HIDDEN, BUCKETS, WINDOW, LANES = 24, 128, 32, 128
 END = np.uint64(0)
@@ -281,11 +281,11 @@ def fit(model: Model, hashes: np.ndarray, off: np.ndarray, epochs: int = 2, rate
 
 
 def pieces(rows: DataFrame, share: float) -> DataFrame:
-    """(text, last): about this share of all pieces of PIECE characters, drawn by a hash of row and place; texts of any length have their share."""
+    """(text, last, key, i): about this share of all pieces of PIECE characters, drawn by a hash of row and place; texts of any length have their share."""
     span = 1 << 30
     n = F.greatest(F.ceil(F.length("text") / PIECE).cast("int"), F.lit(1))
     drawn = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.pmod(F.xxhash64(F.lit("piece"), "key", i), F.lit(span)) < int(span * min(share, 1.0)))
-    return rows.select("text", n.alias("n"), F.explode(drawn).alias("i")).select(F.substr("text", F.col("i") * PIECE + 1, F.lit(PIECE)).alias("text"), (F.col("i") + 1 == F.col("n")).alias("last"))
+    return rows.select("text", "key", n.alias("n"), F.explode(drawn).alias("i")).select(F.substr("text", F.col("i") * PIECE + 1, F.lit(PIECE)).alias("text"), (F.col("i") + 1 == F.col("n")).alias("last"), "key", "i")
 
 
 def piece_tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -331,34 +331,44 @@ def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[END], words[order].view(np.uint64)]).astype(np.uint64), np.concatenate([[end], n[order]]).astype(np.int64)
 
 
-def refined(model: Model, rows: DataFrame, share: float, rate: float = 0.004) -> Model:
-    """The mean, by tokens seen, of the weights that every partition learns from its share of the pieces.
+def refined(model: Model, rows: DataFrame, share: float, chars: int, rate: float = 0.004) -> Model:
+    """The mean, by tokens seen, of the weights that learners come to, each from its own pieces of the drawn share.
 
-    Sums are taken block by block in groups of PARTY partitions, twice, so that no task and not the
-    driver gets all.
+    Pieces are dealt by a hash of key and place to as many learners as the corpus has LEARNER_CHARS, and taken in order of both,
+    so the result rests on the corpus alone, not on how its files or partitions are cut. Sums are taken block by block in
+    groups of PARTY learners, twice, so that no task and not the driver gets all.
     """
     shared = session(rows).sparkContext.broadcast(model)
     names = sorted(model.weights)
     schema = "party int, block int, who long, sums binary, n long"
+    learners = max(1, round(chars * share / LEARNER_CHARS))
+    dealt = pieces(rows, share).withColumn("who", F.pmod(F.xxhash64(F.lit("learner"), "key", "i"), F.lit(learners)))
+    dealt = dealt.repartition(learners, "who").sortWithinPartitions("who", "key", "i").select("text", "last", "who")
+
+    def weights(who: int, held: list) -> pa.RecordBatch:
+        lengths = np.concatenate([np.diff(o) for _, o in held])
+        seen = int(lengths.sum())
+        own = fit(shared.value, np.concatenate([h for h, _ in held]), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), 1, rate)
+        flat = np.concatenate([own.weights[k].ravel() for k in names]).astype(np.float64) * seen
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64())
+        cols = ([who // PARTY] * BLOCKS, range(BLOCKS), [who] * BLOCKS, [x.tobytes() for x in np.array_split(flat, BLOCKS)], [seen] * BLOCKS)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["party", "block", "who", "sums", "n"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        own, seen, held, size = shared.value, 0, [], 0
-        for batch in chain(batches, [None]):
-            if batch is not None:
-                held.append(piece_tokens(batch))
-                size += len(held[-1][0])
-            if size > 1_000_000 or batch is None and size:
-                lengths = np.concatenate([np.diff(o) for _, o in held])
-                own = fit(own, np.concatenate([h for h, _ in held]), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), 1, rate)
-                seen, held, size = seen + size, [], 0
-        if seen:
-            flat = np.concatenate([own.weights[k].ravel() for k in names]).astype(np.float64) * seen
-            part = TaskContext.get().partitionId() if TaskContext.get() else 0
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64())
-            cols = ([part // PARTY] * BLOCKS, range(BLOCKS), [part] * BLOCKS, [x.tobytes() for x in np.array_split(flat, BLOCKS)], [seen] * BLOCKS)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["party", "block", "who", "sums", "n"])
+        now, held = None, []
+        for batch in batches:
+            ids = batch.column(2).to_numpy()
+            cuts = np.append(np.flatnonzero(np.append(True, ids[1:] != ids[:-1])), len(ids))
+            for lo, hi in pairwise(cuts.tolist()):
+                if ids[lo] != now and held:
+                    yield weights(now, held)
+                    held = []
+                now = int(ids[lo])
+                part = piece_tokens(batch.slice(lo, hi - lo))
+                if len(part[0]):
+                    held.append(part)
+        if held:
+            yield weights(now, held)
 
     def add(group: pa.Table) -> pa.Table:
         group = group.sort_by("who")
@@ -369,10 +379,10 @@ def refined(model: Model, rows: DataFrame, share: float, rate: float = 0.004) ->
         party = group.column("party")[0].as_py()
         return pa.table({"party": pa.array([party // PARTY], pa.int32()), "block": group.column("block")[:1], "who": pa.array([party], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary()), "n": pa.array([sum(group.column("n").to_pylist())], pa.int64())})
 
-    parts = pieces(rows, share).mapInArrow(learn, schema)
+    parts = dealt.mapInArrow(learn, schema)
     for _ in range(2):
         parts = parts.groupBy("party", "block").applyInArrow(add, schema)
-    got = sorted(parts.select("block", "who", "sums", "n").collect())  # the weights once for PARTY * PARTY partitions
+    got = sorted(parts.select("block", "who", "sums", "n").collect())  # the weights once for PARTY * PARTY learners
     n = sum(r["n"] for r in got if r["block"] == 0)
     if not n:
         return model
@@ -396,7 +406,7 @@ def train(rows: DataFrame, counts: DataFrame, total: int, share: float = SHARE,
     texts = [np.frombuffer(b, np.uint64) for b in sorted((bytes(r[0]) for r in first), key=lambda b: (zlib.crc32(b), b))]
     if texts:
         model = fit(model, np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64))
-    return (refined(model, rows, share) if share > 0 else model), n
+    return (refined(model, rows, share, chars) if share > 0 else model), n
 
 
 def language_scores(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, start_chars: int = START_CHARS, table: int = TABLE) -> DataFrame:

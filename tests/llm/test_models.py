@@ -305,3 +305,10 @@ def test_vectors_whose_squares_overflow_keep_their_neighbours(spark):
         want += [(q, i, s) for s, i in sorted(scores)]
     assert [(q, i) for q, i, _ in got] == [(q, i) for q, i, _ in want]
     assert all(g == w or math.isclose(g, w, rel_tol=1e-12) for (_, _, g), (_, _, w) in zip(got, want, strict=True))
+
+
+def test_scores_do_not_depend_on_partitions(spark, real, monkeypatch):
+    monkeypatch.setattr(lm, "LEARNER_CHARS", 100_000)
+    rows = real.select("doc_id", "text")
+    one, many = ({r["doc_id"]: r["score"] for r in language_scores(rows.repartition(n, "text"), start_chars=50_000, share=1.0).collect()} for n in (1, 8))
+    assert one.keys() == many.keys() and all(math.isclose(one[k], many[k], rel_tol=1e-3, abs_tol=1e-3) for k in one)
