@@ -55,27 +55,38 @@ def identity_ladder(rows: DataFrame, records: DataFrame, rungs: Sequence[tuple[s
 def lenient_match(wanted: DataFrame, served: DataFrame, jaccard: float = 0.8, least: int = 4, by: str | None = None) -> DataFrame:
     """(want_id, hit): DOI equality, containment of the shorter title of `least` words or more, or token Jaccard.
 
-    Candidates share a DOI; or one of the served title's rarest words, as many as a Jaccard of the
-    threshold cannot all miss (containment of the served title shares all of them); or the wanted
-    title's rarest inner word, which containment in a served title must share. Each is then verified.
-    With `by` only rows of equal groups match.
+    Candidates share a DOI; or one of the rarest words of both titles, of each as many as a Jaccard of the threshold
+    cannot all miss, with sizes that allow it; or the rarest inner word of the shorter title, which containment in
+    the longer one must share. Each is then verified. With `by` only rows of equal groups match: the group is part of
+    every key, so rows of different groups never meet.
     """
     def prepared(df: DataFrame, ident: str, p: str) -> DataFrame:
         title = normalize_title(F.col("title"))
-        return df.select(F.col(ident), F.lower(F.trim(F.coalesce("doi", F.lit("")))).alias(f"{p}doi"), title.alias(f"{p}title"), F.filter(F.split(title, " "), lambda x: x != "").alias(f"{p}words"))
+        group = F.coalesce(F.col(by).cast("string"), F.lit("\x1e")) if by else F.lit("")
+        rows = df.select(F.col(ident), group.alias("g"), F.lower(F.trim(F.coalesce("doi", F.lit("")))).alias(f"{p}doi"), title.alias(f"{p}title"), F.filter(F.split(title, " "), lambda x: x != "").alias(f"{p}words"))
+        keyed = F.transform(F.array_distinct(f"{p}words"), lambda w: F.concat("g", F.lit("\x1f"), w))
+        inner = F.transform(F.array_distinct(F.slice(f"{p}words", F.lit(2), F.greatest(F.size(f"{p}words") - 2, F.lit(0)))), lambda w: F.concat("g", F.lit("\x1f"), w))
+        return rows.withColumns({f"{p}keys": keyed, f"{p}inner": F.when(F.size(f"{p}words") >= max(least, 3), inner), f"{p}n": F.size(f"{p}words"), f"{p}d": F.size(keyed)})
 
     a, b = prepared(wanted, "want_id", "a_"), prepared(served, "key", "b_")
-    frequency = b.select(F.explode(F.array_distinct("b_words")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    every = b.select("key", F.explode(F.array_distinct("b_words")).alias("w"))
-    ordered = every.join(frequency, "w").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("o"))
-    prefix = F.greatest(F.lit(1), F.size("o") - F.ceil(F.size("o") * jaccard).cast("int") + 1)
-    rare = ordered.select("key", F.explode(F.slice("o", F.lit(1), prefix)).alias("x")).select("key", "x.w")
-    by_prefix = a.select("want_id", F.explode(F.array_distinct("a_words")).alias("w")).join(rare, "w").select("want_id", "key")
-    inner = a.where(F.size("a_words") >= max(least, 3)).select("want_id", F.explode(F.array_distinct(F.slice("a_words", F.lit(2), F.size("a_words") - 2))).alias("w")).join(frequency, "w")
-    by_inner = inner.groupBy("want_id").agg(F.min_by("w", F.struct("n", "w")).alias("w")).join(every, "w").select("want_id", "key")
-    by_word = by_prefix.union(by_inner)
-    by_doi = a.where("a_doi <> ''").join(b.where("b_doi <> ''"), F.col("a_doi") == F.col("b_doi")).select("want_id", "key")
-    pairs = by_word.union(by_doi).distinct().join(a, "want_id").join(b, "key")
+    frequency = b.select(F.explode("b_keys").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+
+    def rare(df: DataFrame, ident: str, p: str) -> DataFrame:
+        each = df.select(ident, f"{p}d", F.explode(f"{p}keys").alias("w")).join(frequency, "w", "left")
+        order = each.groupBy(ident, f"{p}d").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))).alias("o"))
+        prefix = F.greatest(F.lit(1), F.col(f"{p}d") - F.ceil(F.col(f"{p}d") * jaccard).cast("int") + 1)
+        return order.select(ident, f"{p}d", F.explode(F.slice("o", F.lit(1), prefix)).alias("x")).select(ident, f"{p}d", "x.w")
+
+    def rarest(df: DataFrame, ident: str, p: str) -> DataFrame:
+        inner = df.select(ident, f"{p}n", F.explode(f"{p}inner").alias("w")).join(frequency, "w", "left")
+        return inner.groupBy(ident, f"{p}n").agg(F.min_by("w", F.struct(F.coalesce("n", F.lit(0)), "w")).alias("w"))
+
+    a_words, b_words = a.select("want_id", "a_n", F.explode("a_keys").alias("w")), b.select("key", "b_n", F.explode("b_keys").alias("w"))
+    alike = rare(a, "want_id", "a_").join(rare(b, "key", "b_"), "w").where((F.col("a_d") >= jaccard * F.col("b_d")) & (F.col("b_d") >= jaccard * F.col("a_d"))).select("want_id", "key")
+    inside = rarest(a, "want_id", "a_").join(b_words, "w").where("a_n <= b_n").select("want_id", "key")
+    around = rarest(b, "key", "b_").join(a_words, "w").where("b_n <= a_n").select("want_id", "key")
+    by_doi = a.where("a_doi <> ''").join(b.where("b_doi <> ''"), (F.col("a_doi") == F.col("b_doi")) & (a.g == b.g)).select("want_id", "key")
+    pairs = alike.union(inside).union(around).union(by_doi).distinct().join(a.drop("g"), "want_id").join(b.drop("g"), "key")
     if by:
         pairs = pairs.join(wanted.select("want_id", F.col(by).alias("_wg")), "want_id").join(served.select("key", F.col(by).alias("_sg")), "key").where("_wg = _sg")
     shorter = F.when(F.size("a_words") <= F.size("b_words"), F.col("a_title")).otherwise(F.col("b_title"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.operators.matching import alias_chase
-from lectern.operators.ranking import ranked_all
+from lectern.operators.ranking import ranked, ranked_all
 
 # Scans
 
@@ -346,11 +346,17 @@ def route_counts(rows: DataFrame, route: Column, batch: int, canaries: int, defe
 
     Deferred rows are held but for the first `canaries` of a route, which show whether their cause has gone.
     """
-    marked = rows.withColumns({"route": route, "_d": F.coalesce(deferred, F.lit(False))})
-    nth = F.row_number().over(Window.partitionBy("route", "_d").orderBy("key"))
-    open_ = marked.withColumn("_ok", ~F.col("_d") | (nth <= canaries))
-    counts = open_.groupBy("route").agg(F.count("*").alias("n"), F.count_if("_ok").alias("_can"))
-    return counts.select("route", "n", F.least("_can", F.lit(batch)).alias("taken"), (F.col("n") - F.col("_can")).alias("held"))
+    marked = rows.select(route.alias("route"), F.coalesce(deferred, F.lit(False)).alias("_d"))
+    counts = marked.groupBy("route").agg(F.count("*").alias("n"), F.count_if("_d").alias("_held"))
+    can = F.col("n") - F.col("_held") + F.least("_held", F.lit(canaries))
+    return counts.select("route", "n", F.least(can, F.lit(batch)).alias("taken"), (F.col("n") - can).alias("held"))
+
+
+def routes_taken(rows: DataFrame, route: Column, batch: int, canaries: int, deferred: Column) -> DataFrame:
+    """(route, place, key): the rows that a sweep takes, as route_counts() counts them; tasks keep the first of each route before the shuffle."""
+    marked = rows.select("key", route.alias("route"), F.coalesce(deferred, F.lit(False)).alias("_d"))
+    held = ranked(marked.where("_d"), ["route"], [F.col("key")], "_n", canaries).drop("_n")
+    return ranked(marked.where("NOT _d").unionByName(held), ["route"], [F.col("key")], "place", batch).select("route", "place", "key")
 
 
 def deferred_extract(signature: Column, now_signature: Column, epoch: Column, success_epoch: Column) -> Column:

@@ -388,6 +388,13 @@ def sweep_routes(t):
     return R.route_counts(_RECORDS(t), route, 200, 2, F.col("key") % 3 == 0)
 
 
+@query(f"""WITH r AS (SELECT *, CASE WHEN has_md THEN 'TERMINAL' WHEN has_txt THEN 'EXTRACT' ELSE 'DOWNLOAD' END AS route, key % 3 = 0 AS d FROM {_RECORDS}), m AS (SELECT *, NOT d OR row_number() OVER (PARTITION BY route, d ORDER BY key) <= 2 AS ok FROM r)
+SELECT route, CAST(row_number() OVER (PARTITION BY route ORDER BY key) - 1 AS INTEGER) AS place, key FROM m WHERE ok QUALIFY place < 200""")
+def sweep_rows(t):
+    route = F.when(F.col("has_md"), "TERMINAL").when(F.col("has_txt"), "EXTRACT").otherwise("DOWNLOAD")
+    return R.routes_taken(_RECORDS(t), route, 200, 2, F.col("key") % 3 == 0)
+
+
 @query("SELECT c_custkey, c_custkey % 4 <> 0 AND c_custkey % 3 = 0 AND c_custkey % 5 = 2 AS deferred FROM customer")
 def deferrals(t):
     c = F.col("c_custkey")
