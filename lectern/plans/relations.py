@@ -291,9 +291,9 @@ def journal_replays(t):
 
 
 # Of an even user the ledger's snapshot has a row; a user's events change it in turn: insert, update, delete.
-_CHANGED = """SELECT event_id, user_id AS u, CAST(event_id + 1 AS BIGINT) AS sequence, (row_number() OVER w + CASE WHEN user_id % 2 = 0 THEN 0 ELSE 2 END) % 3 AS turn, concat('d', (user_id + event_id % 2) % 50) AS doc, event_id % 7 - 1 AS failures,
+_HISTORY = """SELECT event_id, user_id AS u, CAST(event_id + 1 AS BIGINT) AS sequence, (row_number() OVER w + CASE WHEN user_id % 2 = 0 THEN 0 ELSE 2 END) % 3 AS turn, concat('d', (user_id + event_id % 2) % 50) AS doc, event_id % 7 - 1 AS failures,
 lag(concat('d', (user_id + event_id % 2) % 50), 1, concat('d', user_id % 50)) OVER w AS was, lag(event_id % 7 - 1, 1, user_id % 5) OVER w AS had FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"""
-_IMPORT = f"""WITH c AS MATERIALIZED ({_CHANGED}), m AS (SELECT c_custkey AS row_id, 'x' || c_custkey % 40 AS unit FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, 'y' || c_custkey % 4 FROM customer WHERE c_custkey % 11 = 0), st AS (SELECT 'd' || n_nationkey * 2 AS doc FROM nation UNION ALL SELECT 'd' || n_nationkey FROM nation WHERE n_nationkey % 5 = 0 UNION ALL SELECT 'z' || n_regionkey FROM nation WHERE n_regionkey < 2),
+_IMPORT = f"""WITH c AS MATERIALIZED ({_HISTORY}), m AS (SELECT c_custkey AS row_id, 'x' || c_custkey % 40 AS unit FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, 'y' || c_custkey % 4 FROM customer WHERE c_custkey % 11 = 0), st AS (SELECT 'd' || n_nationkey * 2 AS doc FROM nation UNION ALL SELECT 'd' || n_nationkey FROM nation WHERE n_nationkey % 5 = 0 UNION ALL SELECT 'z' || n_regionkey FROM nation WHERE n_regionkey < 2),
 s AS MATERIALIZED (SELECT DISTINCT 0 AS sequence, 'SNAPSHOT' AS operation, user_id AS row_id, 'd' || user_id % 50 AS doc, user_id % 5 AS failures, 1 AS delta FROM events WHERE user_id % 2 = 0 UNION ALL SELECT sequence, CASE WHEN turn = 1 THEN 'UPDATE' ELSE 'INSERT' END, u, doc, failures, 1 FROM c WHERE turn <> 2 UNION ALL SELECT sequence, CASE WHEN turn = 2 THEN 'DELETE' END, u, was, had, -1 FROM c WHERE turn <> 0),
 pop AS (SELECT *, sum(delta) OVER (PARTITION BY doc ORDER BY sequence RANGE UNBOUNDED PRECEDING) AS docs FROM s), k AS (SELECT row_id, count(*) AS n, min(unit) AS unit FROM m GROUP BY 1),
 un AS (SELECT DISTINCT unit, sequence, sum(delta) OVER (PARTITION BY unit ORDER BY sequence RANGE UNBOUNDED PRECEDING) AS rows_ FROM s JOIN (SELECT DISTINCT * FROM m) USING (row_id)),
@@ -304,7 +304,7 @@ e AS MATERIALIZED (SELECT p.row_id, p.sequence, operation, delta < 0 AS deleted,
 
 def _import(t):
     u, own = F.col("user_id"), ("row_id", "doc", "failures")
-    c = t("events").sparkSession.sql(_CHANGED.replace("FROM events", "FROM {events}"), events=t("events"))
+    c = t("events").sparkSession.sql(_HISTORY.replace("FROM events", "FROM {events}"), events=t("events"))
     old = F.struct(F.col("u").alias("row_id"), F.col("was").alias("doc"), F.col("had").alias("failures"))
     new = F.struct(F.col("u").alias("row_id"), "doc", "failures")
     changes = c.select("sequence", F.when(F.col("turn") == 1, "UPDATE").when(F.col("turn") == 2, "DELETE").otherwise("INSERT").alias("operation"), F.when(F.col("turn") != 0, old).alias("old"), F.when(F.col("turn") != 2, new).alias("new"))
