@@ -56,8 +56,8 @@ def batch(seed, n):
     r = random.Random(seed)
 
     def identity():
-        arxiv = r.choice([None, None, "", *(f"a{k}" for k in range(n // 5))])
-        return {"doi": r.choice([None, None, "", *(f"d{k}" for k in range(n // 5))]), "arxiv": arxiv, "version": r.choice([None, "v1", "v2"]) if arxiv else None, "title": r.choice([None, *(f"t{k}" for k in range(n // 6))])}
+        arxiv = r.choice([None, "", f"a{r.randrange(n // 5)}", f"a{r.randrange(n // 5)}"])
+        return {"doi": r.choice([None, "", f"d{r.randrange(n // 5)}", f"d{r.randrange(n // 5)}"]), "arxiv": arxiv, "version": r.choice([None, "v1", "v2"]) if arxiv else None, "title": r.choice([None, *(f"t{k}" for k in range(n // 6))])}
 
     records, taken = [], set()
     for k in range(n // 6):
