@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from lectern.plans import catalog, commands, coverage, matching, ranking, relations, retrieval, runs, states, text  # noqa: E402, F401  they register their queries
+from lectern.plans import catalog, commands, coverage, matching, pacing, ranking, relations, retrieval, runs, states, text  # noqa: E402, F401  they register their queries
