@@ -12,7 +12,7 @@ from lectern.plans.registry import query
 def identities(t):
     c = F.col("c_custkey")
     doi = F.when(c % 4 == 0, F.concat(F.lit("https://doi.org/10.1000/X"), c.cast("string")))
-    arxiv = F.when(c % 4 == 1, F.format_string("arXiv:2001.%05dv1", c))
+    arxiv = F.when(c % 4 == 1, F.concat(F.lit("arXiv:2001."), F.lpad(c.cast("string"), 5, "0"), F.lit("v1")))
     return t("customer").select("c_custkey", C.candidate_identity(doi, arxiv, F.when(c % 4 == 2, "ADS"), F.concat(F.lit("000"), c.cast("string")), F.concat(F.lit("Customer #"), c.cast("string"))).alias("identity"))
 
 
