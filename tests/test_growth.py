@@ -63,3 +63,26 @@ def test_matches_of_a_pool_are_gathered_once_a_key(spark):
     want = {k: [f"r{j:03}" for j in range(200) if k % 2 and j % 2 or k % 3 and j % 5 == 0] for k in range(200)}
     assert {r["entry"]: r["matches"] for r in out.collect()} == want
     assert joined_rows(out) <= 400
+
+
+def test_identities_of_observations_are_shuffled_once(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.operators import coverage as C
+
+    own = ", ".join(f"'{x}' AS {x}" for x in (*C.VERSION, *C.EXECUTION))
+    receipts = spark.sql(f"SELECT concat('q', id) AS receipt_id, concat('n', id) AS namespace, {own} FROM range(6)")
+    outputs = spark.sql("SELECT concat('q', id) AS receipt_id, 0 AS pos, 'chunks' AS role, 's' AS store, 't' AS output_id, CASE WHEN id = 4 THEN 'other' ELSE concat('n', id) END AS namespace, 'h' AS sha256, 1 AS byte_length, 'present' AS verified, 'scan' AS method, array(0) AS counts FROM range(7)")
+    seen = receipts.selectExpr("concat('o', receipt_id) AS observation_id", "*", "'chunks' AS role", "'s' AS store", "'t' AS output_id", "'present' AS state", "TIMESTAMP '2024-01-30 23:59:00' AS observed_at", "'h' AS sha256", "1 AS byte_length")
+    seen = seen.withColumn("attempt_id", F.when(F.col("receipt_id") == "q2", F.lit("none")).otherwise(F.col("attempt_id"))).withColumn("unit_id", F.when(F.col("receipt_id") == "q3", F.lit(None)).otherwise(F.col("unit_id")))
+    later = seen.withColumns({"observation_id": F.concat(F.lit("p"), "receipt_id"), "state": F.lit("missing"), "observed_at": F.expr("TIMESTAMP '2024-01-30 23:59:30'")})
+    heads = spark.createDataFrame([(f"oq{k}",) for k in range(6)] + [("pq5",)], "observation_id string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = C.output_evidence(receipts, outputs, seen.union(later), F.expr("TIMESTAMP '2024-01-31 00:00:00'"), 300.0, heads)
+        got = {r["receipt_id"]: r["evidence"]["chunks"]["reason"] for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {"q0": "fresh_exact_output", "q1": "fresh_exact_output", **{f"q{k}": "no_matching_observation" for k in (2, 3, 4)}, "q5": "collector_verified_absence"}
+    assert plan.count("Exchange hashpartitioning(receipt_id") >= 2 and "Exchange hashpartitioning(unit_id" not in plan and "Exchange hashpartitioning(receipt_id#" in plan and ", attempt_id#" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
