@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,17 +22,84 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.lit(1.0) - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def _regular(vector: str, n: int) -> Column:
+    """Whether a vector has n components, all there, none so large or small that a sum of squares overflows or vanishes."""
+    sizes = F.transform(vector, lambda x: F.abs(x.cast("double")))
+    return F.coalesce((F.size(vector) == n) & F.forall(sizes, lambda x: x < 1e100) & F.exists(sizes, lambda x: x > 1e-100), F.lit(False))
+
+
+def nearest_of_batches(asked: pa.Table, k: int, cells: int = 4_000_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function from batches (key, vector) to (qid, key, distance): what may be among the k nearest of each query (qid, vector).
+
+    A product of matrices and the k-th distance so far leave a few rows of each batch; their distances are then summed in
+    the order of components, as cosine_distance() does, so they are the same to the last bit. Of equal distances only the k
+    smallest keys are handed on.
+    """
+    def matrix(column: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
+        flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
+        return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+
+    def summed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(x))
+        for d in range(x.shape[1]):
+            total = total + x[:, d] * y[:, d]
+        return total
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = asked.column("qid").combine_chunks()
+        q = matrix(asked.column("vector"), asked.num_rows)
+        q_norm = np.sqrt(summed(q, q))
+        bound = np.full(len(q), np.inf)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v, keys = matrix(batch.column(1), batch.num_rows), batch.column(0)
+            v_norm = np.sqrt(summed(v, v))
+            place = np.argsort(np.array(keys.to_pylist(), dtype=object), kind="stable")
+            rank = np.empty(len(v), np.int64)
+            rank[place] = np.arange(len(v))
+            unit = (v / v_norm[:, None]).T
+            step = max(1, cells // len(v))
+            for at in range(0, len(q), step):
+                far = 1 - (q[at : at + step] / q_norm[at : at + step, None]) @ unit
+                if len(v) > k:
+                    bound[at : at + step] = np.minimum(bound[at : at + step], np.partition(far, k - 1, 1)[:, k - 1])
+                i, j = np.nonzero(far <= bound[at : at + step, None] + 1e-8)
+                i += at
+                exact = 1.0 - summed(q[i], v[j]) / (v_norm[j] * q_norm[i])
+                order = np.lexsort((rank[j], exact, i))
+                i, j, exact = i[order], j[order], exact[order]
+                start = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (exact[1:] != exact[:-1]))) if len(i) else np.zeros(0, int)
+                kept = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i)))) < k
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(i[kept])), keys.take(pa.array(j[kept])), pa.array(exact[kept])], ["qid", "key", "distance"])
+
+    return run
+
+
 def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int = 60, key: str = "key", vector: str = "vector", most: int = 10_000) -> DataFrame:
     """(qid, rank, key, distance): exact nearest rows by cosine distance for a small, checked number of queries.
 
-    Queries above `most` are refused: they would make the broadcast grow; search them in blocks.
+    Queries above `most` are refused: they would make the broadcast grow; search them in blocks. Null, empty, zero or
+    non-finite vectors and those of another length are compared one by one, the others by products of matrices.
     """
-    n = queries.limit(most + 1).count()
-    if n > most:
+    asked = queries.select("qid", "vector").limit(most + 1).toArrow()
+    if asked.num_rows > most:
         raise ValueError(f"over {most} query vectors; search them in blocks")
-    pairs = corpus.select(F.col(key).alias("key"), F.col(vector).alias("_v")).crossJoin(F.broadcast(queries.select("qid", F.col("vector").alias("_q"))))
-    near = pairs.select("qid", "key", F.round(cosine_distance(F.col("_v"), F.col("_q")), 9).alias("distance"))
-    return ranked(near, ["qid"], [F.col("distance"), F.col("key")], most=k)
+    n = next((len(x) for x in asked.column("vector") if x.is_valid and len(x)), 0)
+    rows = corpus.select(F.col(key).alias("key"), F.col(vector).alias("_v"))
+    own = queries.select("qid", F.col("vector").alias("_q"))
+
+    def one_by_one(some: DataFrame, wanted: DataFrame) -> DataFrame:
+        return some.crossJoin(F.broadcast(wanted)).select("qid", "key", cosine_distance(F.col("_v"), F.col("_q")).alias("distance"))
+
+    kinds = ", ".join(f"{c} {t.dataType.simpleString()}" for c, t in (("qid", queries.schema["qid"]), ("key", rows.schema["key"])))
+    fine, odd = own.where(_regular("_q", n)).select("qid", F.col("_q").alias("vector")).toArrow(), own.where(~_regular("_q", n))
+    near = one_by_one(rows.where(~_regular("_v", n)), own)
+    if fine.num_rows:
+        near = near.union(rows.where(_regular("_v", n)).mapInArrow(nearest_of_batches(fine, k), f"{kinds}, distance double"))
+    if fine.num_rows < asked.num_rows:
+        near = near.union(one_by_one(rows.where(_regular("_v", n)), odd))
+    return ranked(near.withColumn("distance", F.round("distance", 9)), ["qid"], [F.col("distance"), F.col("key")], most=k)
 
 
 def path_keys(rows: DataFrame, path: str, canonical: DataFrame, order: str, by: Sequence[str]) -> DataFrame:

@@ -86,3 +86,60 @@ def test_identities_of_observations_are_shuffled_once(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == {"q0": "fresh_exact_output", "q1": "fresh_exact_output", **{f"q{k}": "no_matching_observation" for k in (2, 3, 4)}, "q5": "collector_verified_absence"}
     assert plan.count("Exchange hashpartitioning(receipt_id") >= 2 and "Exchange hashpartitioning(unit_id" not in plan and "Exchange hashpartitioning(receipt_id#" in plan and ", attempt_id#" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+
+
+def test_nearest_rows_are_those_of_the_plain_expression(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from lectern.operators import graphs as G
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(0, 1, (40, 5)).astype(np.float32).tolist()
+    rows = [(k, base[k % 40]) for k in range(400)] + [(400, [1.0, None, 0.0, 0.0, 1.0]), (401, None), (402, [1.0, 2.0])]
+    corpus = spark.createDataFrame(rows, "key long, vector array<float>").repartition(3)
+    asked = corpus.where("key % 50 = 0 OR key = 402").selectExpr("key AS qid", "vector")
+    out = G.vector_top_k(corpus, asked, 7)
+    got = sorted((r["qid"], r["rank"], r["key"], r["distance"]) for r in out.collect())
+    pairs = corpus.crossJoin(asked.withColumnRenamed("vector", "_q")).select("qid", "key", F.round(G.cosine_distance(F.col("vector"), F.col("_q")), 9).alias("distance"))
+    want = G.ranked(pairs, ["qid"], [F.col("distance"), F.col("key")], most=7)
+    assert got == sorted((r["qid"], r["rank"], r["key"], r["distance"]) for r in want.collect())
+    fine = asked.where("size(vector) = 5 AND key <> 400" if "key" in asked.columns else "size(vector) = 5 AND qid <> 400").toArrow()
+    batch = corpus.where("key < 400").coalesce(1).toArrow().combine_chunks().to_batches()[0]
+    assert sum(b.num_rows for b in G.nearest_of_batches(fine, 7)(iter([batch]))) <= 14 * fine.num_rows
+
+
+def test_repairs_need_no_row_for_each_selection(spark):
+    from lectern.operators import records as R
+
+    repairs = spark.range(200).selectExpr("id AS repair_id", "id % 10 AS publication_id", "CASE WHEN id % 3 > 0 THEN id % 4 END AS target_generation", "-id AS created_at")
+    publications = spark.range(10).selectExpr("id AS publication_id", "id % 2 AS derivation_id")
+    selections = spark.range(900).selectExpr("id % 3 AS derivation_id", "id % 4 AS generation_id")
+    generations = spark.createDataFrame([(0, "active", 1, 1), (1, "active", 2, 1), (2, "retired", 1, 2), (3, "active", 2, 0)], "generation_id long, state string, manifest_revision int, source_manifest_revision int")
+    out = R.pending_repairs(repairs, publications, selections, generations, 500)
+    rows = repairs.join(publications, "publication_id").join(selections, "derivation_id").join(generations.where("state = 'active'").selectExpr("generation_id", "manifest_revision AS m"), "generation_id").join(generations.selectExpr("generation_id AS target_generation", "source_manifest_revision AS s"), "target_generation", "left").where("target_generation IS NULL OR s <> m")
+    want = [r["repair_id"] for r in rows.orderBy("created_at", "repair_id").limit(500).select("repair_id").collect()]
+    assert [r["repair_id"] for r in out.collect()] == want
+    assert joined_rows(out) <= 900
+
+
+def test_chunks_leave_a_task_a_few_rows_at_a_time(spark):
+    import pyarrow as pa
+
+    from lectern.functions import python as P
+
+    texts = [None, "", "One here. Two there.\n\nThree."] + [f"Sentence {k}. " * (k % 9 + 1) for k in range(500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for new, old in ((P.chunked(df, "text", 8, 2), P.chunker(8, 2)), (P.sectioned(df, "text", 8), P.sectioner(8))):
+        want = df.select("doc_id", old("text").alias("c")).selectExpr("doc_id", "inline(c)")
+        assert new.schema.simpleString() == want.schema.simpleString() and sorted(map(tuple, new.collect())) == sorted(map(tuple, want.collect()))
+    sizes = []
+
+    class Caught:
+        schema = df.schema
+
+        def mapInArrow(self, run, schema):
+            sizes.extend(b.num_rows for b in run(iter([pa.record_batch({"doc_id": list(range(503)), "text": texts})])))
+
+    P.chunked(Caught(), "text", 8, 2)
+    assert len(sizes) == 8 and max(sizes) < 1000
