@@ -97,9 +97,12 @@ def pending_repairs(repairs: DataFrame, publications: DataFrame, selections: Dat
     """
     active = generations.where("state = 'active'").select("generation_id", "manifest_revision")
     target = generations.select(F.col("generation_id").alias("target_generation"), "source_manifest_revision")
-    rows = repairs.join(publications, "publication_id").join(selections, "derivation_id").join(active, "generation_id").join(target, "target_generation", "left")
+    # a derivation's selections count by manifest: the first `limit` rows need no row for each of them
+    picked = selections.join(active, "generation_id").groupBy("derivation_id", "manifest_revision").agg(F.count("*").alias("_n"))
+    rows = repairs.join(publications, "publication_id").join(picked, "derivation_id").join(target, "target_generation", "left")
     open_ = rows.where(F.col("target_generation").isNull() | (F.col("source_manifest_revision") != F.col("manifest_revision")))
-    return open_.orderBy("created_at", "repair_id").limit(limit).select(*repairs.columns)
+    first = open_.orderBy("created_at", "repair_id").limit(limit).select(*repairs.columns, F.explode(F.sequence(F.lit(1), F.least("_n", F.lit(limit)))).alias("_i"))
+    return first.orderBy("created_at", "repair_id").limit(limit).select(*repairs.columns)
 
 
 def reconcilable_receipts(jobs: DataFrame, attempts: DataFrame, receipts: DataFrame, operations: DataFrame, limit: int = 1000) -> DataFrame:
