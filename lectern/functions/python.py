@@ -8,12 +8,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_left
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
 from functools import lru_cache, reduce
 from itertools import accumulate, groupby, pairwise
 
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -226,6 +228,37 @@ def chunker(size: int = 2400, overlap: int = 200, tokenizer: str | None = None):
     return run
 
 
+def unfolded(df: DataFrame, text: str, parts: Callable[[str], list[dict]], kind: T.ArrayType, rows: int = 64) -> DataFrame:
+    """df without its column `text`, a row for each part of it, with the parts' fields.
+
+    A batch is worked through by so many rows, so a task holds the parts of these alone.
+    """
+    rest = [f for f in df.schema.fields if f.name != text]
+    schema = T.StructType([*rest, *kind.elementType.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.struct([(f.name, pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.string()) for f in kind.elementType.fields])
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                some = batch.slice(at, rows)
+                lists = [parts(x.as_py() or "") for x in some.column(text)]
+                places = pa.array([i for i, own in enumerate(lists) for _ in own], pa.int64())
+                made = pa.array([x for own in lists for x in own], kinds)
+                yield pa.RecordBatch.from_arrays([*[some.column(f.name).take(places) for f in rest], *made.flatten()], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def chunked(df: DataFrame, text: str, size: int = 2400, overlap: int = 200, tokenizer: str | None = None) -> DataFrame:
+    """df without its column `text`, a row for each chunk of it; `tokenizer` as for chunker()."""
+    return unfolded(df, text, lambda x: pack_sentences(x, size, overlap, tokenizer_of(tokenizer)), CHUNKS)
+
+
+def sectioned(df: DataFrame, text: str, size: int = 2400) -> DataFrame:
+    """df without its column `text`, a row for each section of it."""
+    return unfolded(df, text, lambda x: sections(x, size), SECTIONS)
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def split_sentences(text: pd.Series) -> pd.Series:
     return text.map(lambda x: sentences(x or ""))

@@ -200,15 +200,13 @@ def bibtex_entries(t):
 
 @query()
 def sentence_chunks(t):
-    docs = t("documents").select("doc_id", P.chunker(400, 40)("text").alias("c"))
-    return docs.select("doc_id", F.explode("c").alias("c")).select("doc_id", "c.*")
+    return P.chunked(t("documents").select("doc_id", "text"), "text", 400, 40)
 
 
 @query()
 def heading_sections(t):
     titled = F.concat(F.lit("# Head\n\n"), F.regexp_replace("text", "\n", "\n\n## Part\n\n"))
-    docs = t("documents").select("doc_id", P.sectioner(500)(titled).alias("s"))
-    return docs.select("doc_id", F.explode("s").alias("s")).select("doc_id", "s.section_id", "s.content")
+    return P.sectioned(t("documents").select("doc_id", titled.alias("text")), "text", 500)
 
 
 @query("""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '(?i)(references|bibliography|#)', 'x', 'g'), concat(' ', chr(9), chr(10), chr(13))) AS body FROM documents),
