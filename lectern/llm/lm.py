@@ -33,7 +33,7 @@ from lectern.llm.decontaminate import member
 #: Words in the broadcast table (16 bytes each), and words with classes, CLASSES of CLASS_SIZE.
 TABLE, CLASSES, CLASS_SIZE = 1 << 18, 32, 32
 #: Characters that all weights start from, the share of the corpus that learners then learn from, a learner's part of it, and a piece's length.
-START_CHARS, SHARE, LEARNER_CHARS, PIECE = 2_000_000, 0.25, 4_000_000, 20_000
+START_CHARS, SHARE, LEARNER_CHARS, PIECE = 2_000_000, 1.0, 4_000_000, 20_000
 #: Learners whose weights are summed in one task, and the blocks that the weights are cut into for it.
 PARTY, BLOCKS = 64, 16
 HIDDEN, BUCKETS, WINDOW, LANES = 24, 128, 32, 128

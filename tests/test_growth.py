@@ -143,3 +143,11 @@ def test_chunks_leave_a_task_a_few_rows_at_a_time(spark):
 
     P.chunked(Caught(), "text", 8, 2)
     assert len(sizes) == 8 and max(sizes) < 1000
+
+
+def test_the_language_model_learns_from_every_piece(spark):
+    from lectern.llm.lm import PIECE, SHARE, pieces
+
+    rows = spark.sql("SELECT repeat('a', CAST(id * 700 AS INT)) AS text, id AS key FROM range(400)")
+    want = sum(max(1, -(-k * 700 // PIECE)) for k in range(400))
+    assert pieces(rows, SHARE).count() == want
