@@ -62,6 +62,20 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+def ratio_reaches(least: float):
+    """Whether sequence_ratio() reaches `least`: its two upper bounds, which cost less, are asked first."""
+
+    def one(a: str, b: str) -> bool:
+        m = SequenceMatcher(None, a, b)
+        return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
+
+    @F.pandas_udf(T.BooleanType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([one(x, y) if x and y else 0.0 >= least for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    return run
+
+
 @F.pandas_udf(T.StringType())
 def unicode_surface_key(name: pd.Series) -> pd.Series:
     """Case-folded, compatibility-normalised, without white space, hyphens and underscores."""

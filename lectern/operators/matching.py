@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.functions.python import sequence_ratio
+from lectern.functions.python import ratio_reaches, sequence_ratio
 from lectern.functions.text import compact_title, normalize_title, set_jaccard, surname, title_jaccard
 from lectern.operators.lineage import saved
+from lectern.operators.ranking import ranked
 
 
 def doi_then_title(entries: DataFrame, records: DataFrame) -> DataFrame:
@@ -109,23 +111,45 @@ def lenient_match(wanted: DataFrame, served: DataFrame, jaccard: float = 0.8, le
 def twin_candidates(new: DataFrame, library: DataFrame, title_ratio: float = 0.85, surnames: float = 0.7, years: int = 2) -> DataFrame:
     """(new_id, twin): the first library record (by pos) that is the journal or preprint twin of a new one.
 
-    Exactly one side's identifier each: a new DOI against a library arXiv id, or the other way
-    round. Blocked on shared surnames, verified by years, surname Jaccard and title ratio.
+    Exactly one side's identifier each: a new DOI against a library arXiv id, or the other way round. Verified by years,
+    surname Jaccard and title ratio. Records of the same surnames are one class; classes meet if they share one of the
+    rarest surnames, of each as many as the Jaccard cannot all miss. A new record goes through a class in order of pos, in
+    rounds that look at twice as many records as the last, and stops at its first twin; only one without a twin is compared
+    with all of a class.
     """
     from lectern.functions.text import last_token_surname
 
     def prepared(df: DataFrame, ident: str, p: str) -> DataFrame:
-        names = F.array_distinct(F.filter(F.transform(F.coalesce("authors", F.array().cast("array<string>")), last_token_surname), lambda x: x != ""))
+        names = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce("authors", F.array().cast("array<string>")), last_token_surname), lambda x: x != "")))
         has = [F.trim(F.coalesce(c, F.lit(""))) != "" for c in ("doi", "arxiv_id")]
         return df.select(F.col(ident), *([F.col("pos")] if p == "b_" else []), has[0].alias(f"{p}doi"), has[1].alias(f"{p}arxiv"), normalize_title(F.col("title")).alias(f"{p}title"), F.col("year").alias(f"{p}year"), names.alias(f"{p}names"))
 
     a = prepared(new, "new_id", "a_").where("a_doi <> a_arxiv AND a_title <> ''")
     b = prepared(library, "key", "b_").where("b_doi <> b_arxiv AND b_title <> ''")
-    blocks = a.select("new_id", F.explode("a_names").alias("w"), "a_doi").join(b.select("key", F.explode("b_names").alias("w"), "b_doi"), "w").where("a_doi <> b_doi").select("new_id", "key").distinct()
-    pairs = blocks.join(a, "new_id").join(b, "key")
+    n = b.select(F.explode("b_names").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+
+    def rare(df: DataFrame, p: str) -> DataFrame:
+        own = [f"{p}names", f"{p}doi"]
+        each = df.select(*own).distinct().select(*own, F.explode(f"{p}names").alias("w")).join(n, "w", "left")
+        order = each.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))).alias("o"))
+        prefix = F.greatest(F.lit(1), F.size("o") - F.ceil(F.size("o") * surnames).cast("int") + 1)
+        return order.select(*own, F.explode(F.slice("o", F.lit(1), prefix)).alias("x")).select(*own, "x.w")
+
+    met = rare(a, "a_").join(rare(b, "b_"), "w").where((F.col("a_doi") != F.col("b_doi")) & (set_jaccard(F.col("a_names"), F.col("b_names")) >= surnames)).drop("w").distinct()
+    place = ["b_names", "b_doi"]
+    shelf = saved(ranked(b.select(*place, "key", "pos", "b_title", "b_year"), place, [F.col("pos"), F.col("key")], "at"), "library")
+    apart = a.join(met, ["a_names", "a_doi"]).join(shelf.groupBy(*place).agg(F.count("*").alias("size")), place).select("new_id", "a_title", "a_year", *place, "size")
+    open_, hits, low, width = saved(apart, "open"), [], 0, 16
     near = F.coalesce(F.col("a_year") == 0, F.lit(True)) | F.coalesce(F.col("b_year") == 0, F.lit(True)) | (F.abs(F.col("a_year") - F.col("b_year")) <= years)
-    close = pairs.where(near & (set_jaccard(F.col("a_names"), F.col("b_names")) >= surnames))
-    return close.withColumn("_ratio", sequence_ratio("a_title", "b_title")).where(F.col("_ratio") >= title_ratio).groupBy("new_id").agg(F.min_by("key", "pos").alias("twin"))
+    while True:
+        each = open_.withColumn("at", F.explode(F.sequence(F.lit(low), F.least(F.col("size").cast("int"), F.lit(low + width)) - 1)))
+        close = each.join(shelf.where((F.col("at") >= low) & (F.col("at") < low + width)), [*place, "at"]).where(near)
+        hit = saved(close.where(ratio_reaches(title_ratio)("a_title", "b_title")).groupBy("new_id", *place).agg(F.min(F.struct("pos", "key")).alias("twin")), "twins")
+        hits.append(hit.select("new_id", "twin"))
+        low, width = low + width, width * 2
+        open_ = saved(open_.where(F.col("size") > low).join(hit.select("new_id", *place), ["new_id", *place], "left_anti"), "open")
+        if open_.isEmpty():
+            return reduce(DataFrame.union, hits).groupBy("new_id").agg(F.min("twin").alias("twin")).select("new_id", F.col("twin.key").alias("twin"))
 
 
 def title_to_doi(stubs: DataFrame, candidates: DataFrame, least: int = 25) -> DataFrame:

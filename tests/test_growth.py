@@ -151,3 +151,29 @@ def test_the_language_model_learns_from_every_piece(spark):
     rows = spark.sql("SELECT repeat('a', CAST(id * 700 AS INT)) AS text, id AS key FROM range(400)")
     want = sum(max(1, -(-k * 700 // PIECE)) for k in range(400))
     assert pieces(rows, SHARE).count() == want
+
+
+def test_twins_of_a_crowded_surname_are_the_first_in_order(spark, monkeypatch):
+    from difflib import SequenceMatcher
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    words = "large small hot cold ring bolt plate nut".split()
+    def work(k):
+        return (k, k, f"A study of the {' '.join(rng.choice(words, 3))} and kind {k}", ["A. Bell", f"C. Fam{k % 3}", *(["D. Day"] if k % 7 == 0 else [])], int(2000 + k % 7))
+
+    new = [(*work(k), "10.1/a", None) for k in range(90)]
+    library = [(*work(k), None, "1") if k % 11 else (*work(k), "10.1/b", None) for k in range(140)]
+    cols = "title string, authors array<string>, year int, doi string, arxiv_id string"
+    written = []
+    monkeypatch.setattr(M, "saved", lambda df, name, own=M.saved: written.append(own(df, name)) or written[-1])
+    out = M.twin_candidates(spark.createDataFrame(new, f"new_id int, pos int, {cols}"), spark.createDataFrame(library, f"key int, pos int, {cols}"))
+
+    def twin(x, y):
+        p, q = ({n.split()[-1] for n in r[3]} for r in (x, y))
+        return not y[5] and abs(x[4] - y[4]) <= 2 and len(p & q) / len(p | q) >= 0.7 and SequenceMatcher(None, x[2].lower(), y[2].lower()).ratio() >= 0.85
+
+    want = {x[0]: hit for x in new if (hit := min((y[0] for y in library if twin(x, y)), default=None)) is not None}
+    assert {r["new_id"]: r["twin"] for r in out.collect()} == want and len(want) > 20
+    assert len(written) > 3  # the library, and rounds of open records
