@@ -177,3 +177,19 @@ def test_twins_of_a_crowded_surname_are_the_first_in_order(spark, monkeypatch):
     want = {x[0]: hit for x in new if (hit := min((y[0] for y in library if twin(x, y)), default=None)) is not None}
     assert {r["new_id"]: r["twin"] for r in out.collect()} == want and len(want) > 20
     assert len(written) > 3  # the library, and rounds of open records
+
+
+def test_what_leaving_out_holds_does_not_grow_with_the_deltas():
+    import tracemalloc
+
+    import numpy as np
+
+    from lectern.operators.evaluation import bca_interval, lows_without
+
+    deltas = np.random.default_rng(4).normal(0.2, 1, 40_000)
+    tracemalloc.start()
+    got = lows_without(deltas, range(300, 812), 60)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # 512 copies of the deltas take 164 MB
+    assert np.allclose(got[[0, 7, 511]], [bca_interval(np.delete(deltas, k), 60)[0] for k in (300, 307, 811)], atol=1e-10)
