@@ -256,12 +256,23 @@ def section_roots(sections: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def point_in_interval(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, width: int) -> DataFrame:
-    """start <= at < end, joined on buckets of `width`, so that no pair of far rows is looked at.
+    """start <= at < end, joined on cells, so that no pair of far rows is looked at.
 
-    An interval is in as many buckets as it spans; choose a width near the typical length.
+    An interval lies in at most 9 cells: their width is `width` times a power of two, the first that is an eighth of its length or
+    more. A point is in one cell of each width that intervals have, of which there are as many as lengths have binary digits.
+    Intervals go first, so that the pairs of one follow each other, which a columnar file stores in a fraction of the room.
     """
-    spread = intervals.where(F.col(end) > F.col(start)).withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
-    return points.withColumn("_b", F.floor(F.col(at) / width)).join(spread, "_b").where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_b")
+    spread = intervals.where(F.col(end) > F.col(start)).withColumn("_w", _cell_width(F.col(end) - F.col(start), width))
+    spread = spread.withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / F.col("_w")), F.floor((F.col(end) - 1) / F.col("_w")))))
+    widths = intervals.where(F.col(end) > F.col(start)).select(_cell_width(F.col(end) - F.col(start), width).alias("_w")).distinct()
+    placed = points.join(F.broadcast(widths)).withColumn("_b", F.floor(F.col(at) / F.col("_w")))  # at most 64 widths
+    return spread.join(placed, ["_w", "_b"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_w", "_b")
+
+
+def _cell_width(length: Column, width: int) -> Column:
+    """`width` times the least power of two of which eight reach over `length`."""
+    times = F.ceil(length / (8 * width)).cast("long")
+    return F.lit(width).cast("long") * F.when(times <= 1, F.lit(1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(times - 1))))
 
 
 def either_key(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_key: str) -> DataFrame:

@@ -193,3 +193,28 @@ def test_what_leaving_out_holds_does_not_grow_with_the_deltas():
     tracemalloc.stop()
     assert peak < 100e6  # 512 copies of the deltas take 164 MB
     assert np.allclose(got[[0, 7, 511]], [bca_interval(np.delete(deltas, k), 60)[0] for k in (300, 307, 811)], atol=1e-10)
+
+
+def test_long_windows_lie_in_few_cells(spark):
+    rows = [(k, 1000 * k % 7919, 1000 * k % 7919 + n) for k, n in enumerate([1, 599, 600, 601, 4800, 4801, 9600, 9601, 90_000, 1_000_000, 0, -5])]
+    windows = spark.createDataFrame(rows, "w int, s long, e long")
+    points = spark.createDataFrame([(p, 137 * p - 3000) for p in range(900)], "p int, at long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = M.point_in_interval(points, windows, "at", "s", "e", 600)
+        assert {(r["p"], r["w"]) for r in out.collect()} == {(p, w) for p in range(900) for w, s, e in rows if s <= 137 * p - 3000 < e}
+        plan = out._jdf.queryExecution().executedPlan()
+        nodes, spread = [plan], 0
+        while nodes:
+            node = nodes.pop()
+            if node.nodeName() == "AdaptiveSparkPlan":
+                nodes.append(node.executedPlan())
+                continue
+            if "QueryStage" in node.nodeName():
+                nodes.append(node.plan())
+            if node.nodeName() == "Generate":
+                spread += node.metrics().apply("numOutputRows").value()
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < spread <= 9 * len(rows)  # buckets of 600 would be 1,850 rows
