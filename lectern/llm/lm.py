@@ -83,6 +83,13 @@ class Model:
         out[hit] = self.order[np.searchsorted(self.sorted, hashes[hit])]
         return out
 
+    def classed(self, hashes: np.ndarray) -> np.ndarray:
+        """The same for words with classes alone, which are few."""
+        few = self.words[: self.explicit]
+        order = np.argsort(few)
+        at = order[np.minimum(np.searchsorted(few[order], hashes), max(len(few) - 1, 0))] if len(few) else np.zeros(len(hashes), np.int64)
+        return np.where(few[at] == hashes, at, -1) if len(few) else np.full(len(hashes), -1, np.int64)
+
     @property
     def explicit(self) -> int:
         return min(len(self.words), CLASSES * CLASS_SIZE)
@@ -103,23 +110,44 @@ def fresh(words: np.ndarray, seed: int = 11) -> Model:
     return Model(words, {"x": small(n + BUCKETS, 3 * h), "u": small(h, 3 * h), "c": small(h, CLASSES + 1), "cb": np.zeros(CLASSES + 1, np.float32), "w": small(CLASSES, h, CLASS_SIZE), "wb": np.zeros((CLASSES, CLASS_SIZE), np.float32)})
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def cell(u: np.ndarray, gx: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """One step of the recurrent cell for all lanes, which are the columns of `gx` and `h`, so that each gate is one run of memory. u: transposed."""
+    n = HIDDEN
+    gh = u @ h
+    gates = gx[: 2 * n] + gh[: 2 * n]
+    gates *= 0.5  # the logistic function by tanh, which never overflows
+    np.tanh(gates, out=gates)
+    gates *= 0.5
+    gates += 0.5
+    z, r = gates[:n], gates[n:]
+    new = r * gh[2 * n :]
+    new += gx[2 * n :]
+    np.tanh(new, out=new)
+    out = h - new
+    out *= z
+    out += new
+    return out, (z, r, new, gh[2 * n :])
 
 
 def step(w: dict[str, np.ndarray], inputs: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """One step of the recurrent cell for all lanes."""
-    n = HIDDEN
-    gx, gh = w["x"][inputs], h @ w["u"]
-    gates = _sigmoid(gx[:, : 2 * n] + gh[:, : 2 * n])
-    z, r = gates[:, :n], gates[:, n:]
-    new = np.tanh(gx[:, 2 * n :] + r * gh[:, 2 * n :])
-    return new + z * (h - new), (z, r, new, gh)
+    """The same with a row for each lane."""
+    out, kept = cell(w["u"].T, w["x"][inputs].T, h.T)
+    return out.T, kept
+
 
+def _columns(rows: np.ndarray) -> np.ndarray:
+    """(step, lane, value) as (step, value, lane), in one run of memory."""
+    return np.ascontiguousarray(rows.transpose(0, 2, 1))
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+
+def _exps(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits, their exponentials and the sums of these, row by row. |h| < 1 bounds a logit; only where it may overflow is the largest taken off."""
+    x = h @ w
+    x += b
+    if not len(b) or (np.abs(w).sum(0) + np.abs(b)).max() > 80 or len(h) and np.abs(h).max() > 1:
+        x -= x.max(1, keepdims=True)
+    e = np.exp(x)
+    return x, e, e @ np.ones(e.shape[1], e.dtype)
 
 
 def emit(model: Model, h: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -127,14 +155,18 @@ def emit(model: Model, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     w = model.weights
     cls = np.where(target >= 0, target // CLASS_SIZE, CLASSES)
     used = np.append(np.arange(-(-model.explicit // CLASS_SIZE)), CLASSES)  # few words leave classes empty
-    out = _log_softmax((h @ w["c"] + w["cb"])[:, used])[np.arange(len(h)), np.minimum(cls, len(used) - 1)].astype(np.float64)
-    order = np.argsort(cls, kind="stable")
+    x, _, sums = _exps(h, w["c"][:, used], w["cb"][used])
+    out = (x[np.arange(len(h)), np.minimum(cls, len(used) - 1)] - np.log(sums)).astype(np.float64)
+    order = np.argsort(cls.astype(np.int8), kind="stable")  # CLASSES + 1 values
     bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    order = order[: bounds[-1]]
+    h, own = h[order], target[order] % CLASS_SIZE
     for k in range(CLASSES):
-        at = order[bounds[k] : bounds[k + 1]]
-        if len(at):
+        lo, hi = bounds[k], bounds[k + 1]
+        if hi > lo:
             width = min(CLASS_SIZE, model.explicit - k * CLASS_SIZE)
-            out[at] += _log_softmax(h[at] @ w["w"][k, :, :width] + w["wb"][k, :width])[np.arange(len(at)), target[at] % CLASS_SIZE]
+            x, _, sums = _exps(h[lo:hi], w["w"][k, :, :width], w["wb"][k, :width])
+            out[order[lo:hi]] += x[np.arange(hi - lo), own[lo:hi]] - np.log(sums)
     return out
 
 
@@ -154,9 +186,9 @@ def lanes(length: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int, i
     return lane, start, max(u for u, _ in heap), n
 
 
-def grid(model: Model, hashes: np.ndarray, off: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, targets (-2: padding), resets and text numbers as (step, lane) arrays."""
-    place = model.lookup(hashes)
+def grid(model: Model, hashes: np.ndarray, off: np.ndarray, most: int, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, targets (-2: padding), resets and text numbers as (step, lane) arrays. place: that of each hash, if known."""
+    place = model.classed(hashes) if place is None else place
     target = np.where(place < model.explicit, place, -1)
     given = model.inputs(place, hashes)
     length = np.diff(off)
@@ -172,23 +204,24 @@ def grid(model: Model, hashes: np.ndarray, off: np.ndarray, most: int) -> tuple[
     return x.reshape(steps, n), y.reshape(steps, n), fresh_.reshape(steps, n), owner.reshape(steps, n)
 
 
-def network_scores(model: Model, hashes: np.ndarray, off: np.ndarray) -> np.ndarray:
+def network_scores(model: Model, hashes: np.ndarray, off: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
     """Natural log probability of each text's classes and explicit words, over the whole text."""
     out = np.zeros(len(off) - 1)
     if not len(out):
         return out
-    x, y, reset, owner = grid(model, hashes, off, 1024)
-    h = np.zeros((x.shape[1], HIDDEN), np.float32)
+    x, y, reset, owner = grid(model, hashes, off, 1024, place)
+    given, u = model.weights["x"], np.ascontiguousarray(model.weights["u"].T)
+    h = np.zeros((HIDDEN, x.shape[1]), np.float32)
     for lo in range(0, len(x), 64):
         hi = min(lo + 64, len(x))
         states = np.empty((hi - lo, *h.shape), np.float32)
         for t in range(lo, hi):
             if reset[t].any():
-                h[reset[t]] = 0
-            h, _ = step(model.weights, x[t], h)
+                h[:, reset[t]] = 0
+            h, _ = cell(u, np.ascontiguousarray(given[x[t]].T), h)
             states[t - lo] = h
         real = y[lo:hi] > -2
-        out += np.bincount(owner[lo:hi][real], emit(model, states[real], y[lo:hi][real]), len(out))
+        out += np.bincount(owner[lo:hi][real], emit(model, states.transpose(0, 2, 1)[real], y[lo:hi][real]), len(out))
     return out
 
 
@@ -204,49 +237,74 @@ def primed(model: Model, counts: np.ndarray, total: int) -> Model:
     return Model(model.words, w)
 
 
-def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, reset: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Gradients of the mean negative log probability of a window's targets, and the state after it."""
+def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, reset: np.ndarray, h: np.ndarray, room: dict | None = None) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Gradients of the mean negative log probability of a window's targets, and the state after it. room: arrays that calls share."""
     n = HIDDEN
-    past, cache, states = [], [], np.empty((len(x), x.shape[1], n), h.dtype)
+    u, gx, h = np.ascontiguousarray(w["u"].T), _columns(w["x"][x]), np.ascontiguousarray(h.T)
+    if not room or room["dx"].shape != gx.shape:
+        room = {} if room is None else room
+        room |= {k: np.empty((len(x), *h.shape), h.dtype) for k in ("past", "z", "r", "new", "gh", "states", "to_new", "to_z", "to_r", "spare")} | {k: np.empty(gx.shape, h.dtype) for k in ("dx", "dg")}
+    past, z, r, new, gh, states, to_new, to_z, to_r, spare, dx, dg = room.values()
     for t in range(len(x)):
-        h = np.where(reset[t][:, None], 0, h).astype(h.dtype)
-        past.append(h)
-        h, kept = step(w, x[t], h)
-        cache.append(kept)
+        if reset[t].any():
+            h = np.where(reset[t], 0, h).astype(h.dtype)
+        past[t] = h
+        h, (z[t], r[t], new[t], gh[t]) = cell(u, gx[t], h)
         states[t] = h
-    after = h
+    after = np.ascontiguousarray(h.T)
     g = {k: np.zeros_like(v) for k, v in w.items()}
     real = y > -2
-    s, target = states[real], y[real]
+    s, target = states.transpose(0, 2, 1)[real], y[real]
     m = max(len(s), 1)
     cls = np.where(target >= 0, target // CLASS_SIZE, CLASSES)
-    d = np.exp(_log_softmax(s @ w["c"] + w["cb"]))
+    _, d, sums = _exps(s, w["c"], w["cb"])
+    d /= sums[:, None]
     d[np.arange(len(s)), cls] -= 1
     d /= m
     g["c"], g["cb"] = s.T @ d, d.sum(0)
     ds = d @ w["c"].T
-    for k in np.unique(cls[cls < CLASSES]):
-        at = np.flatnonzero(cls == k)
-        e = np.exp(_log_softmax(s[at] @ w["w"][k] + w["wb"][k]))
-        e[np.arange(len(at)), target[at] % CLASS_SIZE] -= 1
-        e /= m
-        g["w"][k], g["wb"][k] = s[at].T @ e, e.sum(0)
-        ds[at] += e @ w["w"][k].T
+    order = np.argsort(cls.astype(np.int8), kind="stable")  # CLASSES + 1 values
+    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    order = order[: bounds[-1]]
+    inside, own, more = s[order], target[order] % CLASS_SIZE, np.empty((len(order), n), s.dtype)
+    for k in range(CLASSES):
+        lo, hi = bounds[k], bounds[k + 1]
+        if hi > lo:
+            _, e, sums = _exps(inside[lo:hi], w["w"][k], w["wb"][k])
+            e /= sums[:, None]
+            e[np.arange(hi - lo), own[lo:hi]] -= 1
+            e /= m
+            g["w"][k], g["wb"][k] = inside[lo:hi].T @ e, e.sum(0)
+            more[lo:hi] = e @ w["w"][k].T
+    ds[order] += more
     back = np.zeros((len(x), x.shape[1], n), h.dtype)
     back[real] = ds
+    back = _columns(back)
+    # what a step's gradient is multiplied by on its way to each gate, for all steps at once
+    np.multiply(new, new, out=to_new)
+    np.subtract(1, to_new, out=to_new)
+    np.subtract(1, z, out=spare)
+    to_new *= spare
+    np.subtract(past, new, out=to_z)
+    to_z *= z
+    to_z *= spare
+    np.subtract(1, r, out=spare)
+    np.multiply(gh, r, out=to_r)
+    to_r *= spare
     dh = np.zeros_like(h)
-    dx = np.empty((len(x), x.shape[1], 3 * n), h.dtype)
     for t in range(len(x) - 1, -1, -1):
-        z, r, new, gh = cache[t]
-        dh = dh + back[t]
-        dnew = dh * (1 - z) * (1 - new * new)
-        dz = dh * (past[t] - new) * z * (1 - z)
-        dr = dnew * gh[:, 2 * n :] * r * (1 - r)
-        dx[t] = np.concatenate([dz, dr, dnew], 1)
-        dg = np.concatenate([dz, dr, dnew * r], 1)
-        g["u"] += past[t].T @ dg
-        dh = dh * z + dg @ w["u"].T
-        dh[reset[t]] = 0
+        dh += back[t]
+        dnew = np.multiply(dh, to_new[t], out=dx[t, 2 * n :])
+        np.multiply(dh, to_z[t], out=dx[t, :n])
+        np.multiply(dnew, to_r[t], out=dx[t, n : 2 * n])
+        dg[t, : 2 * n] = dx[t, : 2 * n]
+        np.multiply(dnew, r[t], out=dg[t, 2 * n :])
+        dh *= z[t]
+        dh += w["u"] @ dg[t]
+        if reset[t].any():
+            dh[:, reset[t]] = 0
+    g["u"] = (past @ dg.transpose(0, 2, 1)).sum(0)
+    dx = dx.transpose(0, 2, 1)
     flat = x.ravel()
     order = np.argsort(flat, kind="stable")
     firsts = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))
@@ -261,22 +319,30 @@ def fit(model: Model, hashes: np.ndarray, off: np.ndarray, epochs: int = 2, rate
     x, y, reset, _ = grid(model, hashes, off, LANES)
     w = {k: v.copy() for k, v in model.weights.items()}
     model = Model(model.words, w)
-    one, two = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    done = 0
+    flat = np.concatenate([v.ravel() for v in w.values()])
+    cuts = np.cumsum([v.size for v in w.values()])
+    w |= {k: part.reshape(v.shape) for (k, v), part in zip(list(w.items()), np.split(flat, cuts[:-1]), strict=True)}  # views of `flat`
+    one, two, v, room = (np.zeros_like(flat) for _ in range(4))
+    done, shared = 0, {}
     for epoch in range(epochs):
         h = np.zeros((x.shape[1], HIDDEN), np.float32)
         for lo in range(0, len(x), WINDOW):
             hi = min(lo + WINDOW, len(x))
-            g, h = gradients(w, x[lo:hi], y[lo:hi], reset[lo:hi], h)
+            g, h = gradients(w, x[lo:hi], y[lo:hi], reset[lo:hi], h, shared)
             done += 1
-            size = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-            shrink = min(1.0, 1.0 / max(size, 1e-9))
+            np.concatenate([g[k].ravel() for k in w], out=v)
+            v *= np.float32(min(1.0, 1.0 / max(float(np.sqrt(v @ v)), 1e-9)))
             now = rate * (1.0 if epoch == 0 else 0.3)
-            for k, v in g.items():
-                v = v * shrink
-                one[k] = 0.9 * one[k] + 0.1 * v
-                two[k] = 0.999 * two[k] + 0.001 * v * v
-                w[k] -= (now * (one[k] / (1 - 0.9**done)) / (np.sqrt(two[k] / (1 - 0.999**done)) + 1e-8)).astype(np.float32)
+            one *= np.float32(0.9)
+            one += np.multiply(v, np.float32(0.1), out=room)
+            two *= np.float32(0.999)
+            v *= v
+            two += np.multiply(v, np.float32(0.001), out=room)
+            np.sqrt(np.divide(two, np.float32(1 - 0.999**done), out=room), out=room)
+            room += np.float32(1e-8)
+            np.divide(one, room, out=room)
+            room *= np.float32(now / (1 - 0.9**done))
+            flat -= room
     return model
 
 
@@ -447,7 +513,7 @@ def language_scores(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str
             there = np.bincount(r, n[p] > 0, len(sizes)).astype(np.int64)
             late = p >= explicit
             far = sizes - np.bincount(r[~late], minlength=len(sizes))
-            net = network_scores(own, hashes, off) / np.log(10) + np.bincount(r[late], logs[p[late]], len(sizes)) - far * others
+            net = network_scores(own, hashes, off, place) / np.log(10) + np.bincount(r[late], logs[p[late]], len(sizes)) - far * others
             hashes, row = hashes[~inside], row[~inside]
             order = np.lexsort((hashes, row))
             hashes, row = hashes[order], row[order]
