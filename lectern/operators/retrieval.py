@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern.operators.graphs import vector_top_k
 from lectern.operators.lineage import saved
 from lectern.operators.matching import alias_chase
-from lectern.operators.ranking import bm25, fair_merge, fan_out, first_distinct, pool_bonus, ranked, ranked_all, round_robin, rrf, rrf_representative, token_budget
+from lectern.operators.ranking import bm25, fair_merge, fan_out, first_distinct, pool_bonus, ranked, ranked_all, round_robin, rrf, rrf_items, token_budget
 
 #: Tiers of sources in the order they are served.
 TIERS = ["canon", "fulltext", "abstract_only"]
@@ -67,10 +67,15 @@ def list_order(rows: DataFrame, limit: int) -> DataFrame:
     return rows.orderBy(F.coalesce("year", F.lit(0)).desc(), F.coalesce("citation_count", F.lit(0)).desc(), "key").limit(limit)
 
 
+def tier_place(tier: Column) -> Column:
+    """A tier's place in the order; unknown ones come last."""
+    place = F.array_position(F.array(*map(F.lit, TIERS)), tier)
+    return F.when(place > 0, place).otherwise(len(TIERS) + 1)
+
+
 def tier_sorted(rows: DataFrame, by: Sequence[str], tier: str = "tier", rank: str = "rank", most: int | None = None) -> DataFrame:
     """`rank` anew by tier, inside a tier as before; unknown tiers come last."""
-    place = F.array_position(F.array(*map(F.lit, TIERS)), F.col(tier))
-    return ranked(rows, by, [F.when(place > 0, place).otherwise(len(TIERS) + 1), F.col(rank)], "_new", most).drop(rank).withColumnRenamed("_new", rank)
+    return ranked(rows, by, [tier_place(F.col(tier)), F.col(rank)], "_new", most).drop(rank).withColumnRenamed("_new", rank)
 
 
 def rerank(rows: DataFrame, score: Callable[[Column, Column], Column], by: Sequence[str], pool_cap: int = 0, top_n: int | None = None, query: str = "query", content: str = "content", rank: str = "rank") -> DataFrame:
@@ -125,10 +130,10 @@ def fused_retrieval(lists: DataFrame, anchors: DataFrame, per_paper: int = 0, ba
     gate = anchors.join(many, "qid", "left").select("qid", (~F.col("band").isin("empty", "weak") & several).alias("fused"), F.when(F.col("sources") > 0, fan_out(F.col("sources"))).otherwise(base).alias("_cap"))
     both = lists.join(gate, "qid")
     plain = both.where("NOT fused AND list_idx = 0").select("qid", "rank", "key", "paper", "tier", "fused")
-    one = rrf_representative(both.where("fused"), ["paper", "tier", "_cap"], ["qid"]).withColumnRenamed("fused_rank", "rank")
-    tiered = tier_sorted(one, ["qid"])
-    kept = ranked(tiered, ["qid", "paper"], [F.col("rank")], "_nth", per_paper) if per_paper else tiered
-    cut = ranked(kept, ["qid"], [F.col("rank")], "_new", 100).where("_new < _cap")
+    one = rrf_items(both.where("fused"), ["paper", "tier", "_cap"], ["qid"])
+    order = [tier_place(F.col("tier")), F.col("rrf").desc(), F.col("place")]  # each task keeps but the first ones, a question's rows never meet
+    kept = ranked(one, ["qid", "paper"], order, "_nth", per_paper) if per_paper else one
+    cut = ranked(kept, ["qid"], order, "_new", 100).where("_new < _cap")
     return plain.unionByName(cut.select("qid", F.col("_new").alias("rank"), "key", "paper", "tier", F.lit(True).alias("fused")))
 
 

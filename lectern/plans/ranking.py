@@ -43,7 +43,7 @@ def lists(t):
     """Five rank lists (by order priority) of customers, by order value, for each order status; a customer may stand in many."""
     best = t("orders").groupBy("o_orderstatus", "o_orderpriority", "o_custkey").agg(F.max("o_totalprice").alias("v"), F.min("o_orderkey").alias("item"))
     named = best.select(F.col("o_orderstatus").alias("qid"), (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("list_idx"), F.col("o_custkey").alias("key"), "v", "item")
-    return R.ranked(named, ["qid", "list_idx"], [F.col("v").desc(), F.col("key")]).select("qid", "list_idx", "rank", "key", "item")
+    return R.ranked_wide(named, ["qid", "list_idx"], [F.col("v").desc(), F.col("key")]).select("qid", "list_idx", "rank", "key", "item")
 
 
 _LISTS = """WITH best AS (SELECT o_orderstatus AS qid, CAST(o_orderpriority[1:1] AS INTEGER) - 1 AS list_idx, o_custkey AS key, max(o_totalprice) AS v, min(o_orderkey) AS item FROM orders GROUP BY 1, 2, 3),

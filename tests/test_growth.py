@@ -3,6 +3,8 @@
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from lectern.operators import matching as M
 from lectern.plans import registry
 
@@ -218,3 +220,54 @@ def test_long_windows_lie_in_few_cells(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert 0 < spread <= 9 * len(rows)  # buckets of 600 would be 1,850 rows
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_long_lists_are_ranked_by_ranges(spark, tmp_path):
+    from lectern.operators import ranking as R
+    from lectern.operators import retrieval as V
+    from lectern.plans import ranking
+
+    rows = spark.range(3000).selectExpr("CASE WHEN id % 10 < 9 THEN 'a' WHEN id % 20 = 9 THEN 'b' END AS g", "id * 7919 % 101 AS v", "id")
+    got = {(r["g"], r["v"], r["id"]): r["rank"] for r in R.ranked_wide(rows, ["g"], [F.col("v").desc(), F.col("id")]).collect()}
+    want = {}
+    for g in ("a", "b", None):
+        want |= {key: i for i, key in enumerate(sorted((k for k in got if k[0] == g), key=lambda k: (-k[1], k[2])))}
+    assert len(got) == 3000 and got == want
+    folder = made(tmp_path, orders="SELECT 'F' AS o_orderstatus, '1-URGENT' AS o_orderpriority, i AS o_custkey, i % 40 AS o_totalprice, i AS o_orderkey FROM range(100) t(i)")
+    lists = ranking.lists(lambda name: spark.read.parquet(f"{folder}/{name}.parquet"))
+    chunks = lists.selectExpr("qid", "list_idx", "rank", "key", "concat('p', key % 9) AS paper", "'canon' AS tier")
+    served = V.fused_retrieval(chunks, spark.createDataFrame([("F", "strong", 2, 3)], "qid string, band string, sources int, facets int"), 2)
+    assert served.count() == 18
+    for df in (lists, served):
+        windows = [line for line in plan_of(df).splitlines() if "Window [" in line and "row_number" in line]
+        limits = plan_of(df).count("WindowGroupLimit")
+        assert windows and sum("_part#" not in line for line in windows) == limits, plan_of(df)  # a whole group meets only where it is cut to its first rows
+
+
+def test_served_and_gold_keys_meet_without_a_join(spark):
+    from lectern.operators import evaluation as E
+
+    served = spark.createDataFrame([(1, 0, "a"), (1, 4, "b"), (1, 2, "b"), (1, 0, None), (2, 0, "c"), (None, 0, "a")], "qid int, rank int, key string")
+    gold = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (1, None), (3, "a"), (None, "a")], "qid int, key string")
+    curve, rate = E.recall_curve(served, gold, [1, 3]), E.hallucinated(gold, served)
+    assert {(r["qid"], r["cut"]): round(r["recall"], 6) for r in curve.collect()} == {(1, 1): round(1 / 3, 6), (1, 3): round(2 / 3, 6), (3, 1): 0, (3, 3): 0, (None, 1): 0, (None, 3): 0}
+    assert {r["qid"]: round(r["rate"], 6) for r in rate.collect()} == {1: round(1 / 3, 6), 3: 1, None: 1}
+    assert "Join" not in plan_of(curve) + plan_of(rate)
+
+
+def test_commands_of_many_units_share_a_batch(spark):
+    from lectern.operators import commands as C
+
+    log = spark.range(4000).selectExpr("id AS operation_id", "CASE WHEN id % 40 > 0 THEN id % 40 END AS unit", "id AS seq", f"element_at(array({', '.join(map(repr, C.ACTIONS))}), CAST(id * 7919 % 101 % {len(C.ACTIONS)} + 1 AS INT)) AS action", "id % 3 AS token", "'p' AS payload")
+    want = sorted(map(str, C.commands_reduced(log, 64).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = C.commands_reduced(log)
+        assert len(want) == 4000 and sorted(map(str, out.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert plan_of(out).count("FlatMapGroupsInPandas") == 1  # the tables of large units alone
