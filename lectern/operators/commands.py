@@ -9,6 +9,7 @@ states side by side; the tables are applied one after the other; then each run i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -178,12 +179,23 @@ def commands_reduced(log: DataFrame, run: int = 512) -> DataFrame:
     starts = tables.repartition("unit").sortWithinPartitions("unit", "run").mapInPandas(chained, f"unit {kinds['unit']}, run long, state int, held long")
     full = dealt.where("run IS NULL").withColumns({"state": F.lit(START), "held": F.lit(NOBODY).cast("long")}).unionByName(dealt.where("run IS NOT NULL").join(starts, ["unit", "run"]))
 
-    def play(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("seq")
-        done = replay(group["a"].to_numpy(), group["t"].to_numpy(), int(group["state"].iloc[0]), int(group["held"].iloc[0]))
-        return pd.DataFrame({"operation_id": group["operation_id"].to_numpy(), "unit": group["unit"].to_numpy(), "seq": group["seq"].to_numpy(), **_told(*done)})
-
-    return full.groupBy("unit", "run").applyInPandas(play, f"operation_id {kinds['operation_id']}, unit {kinds['unit']}, seq {kinds['seq']}, {_TOLD}")
+    def played(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, state, token = None, START, NOBODY
+        for batch in batches:
+            ids, begins, held = (batch[c].to_numpy() for c in ("_group", "state", "held"))
+            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)] if len(ids) else [0]
+            parts = []
+            for lo, hi in pairwise(cuts):
+                if ids[lo] != group:  # else a batch has cut the group
+                    group, state, token = ids[lo], int(begins[lo]), int(held[lo])
+                parts.append(replay(batch["a"].to_numpy()[lo:hi], batch["t"].to_numpy()[lo:hi], state, token))
+                state, token = int(parts[-1][1][-1]), int(parts[-1][2][-1])
+            if parts:
+                yield batch[["operation_id", "unit", "seq"]].assign(**_told(*map(np.concatenate, zip(*parts, strict=True))))
+
+    kind = f"operation_id {kinds['operation_id']}, unit {kinds['unit']}, seq {kinds['seq']}, {_TOLD}"
+    group = F.xxhash64(F.col("unit").isNull(), "unit", F.col("run").isNull(), "run")
+    return full.withColumn("_group", group).repartition("_group").sortWithinPartitions("_group", "unit", "run", "seq").mapInPandas(played, kind)
 
 
 def commands_streamed(log: DataFrame) -> DataFrame:
