@@ -97,3 +97,29 @@ def test_a_batch_of_one_title_and_many_identities(spark):
     none = spark.createDataFrame([], f"record string, ord int, {IDENTITY}"), spark.createDataFrame([], f"ord int, {IDENTITY}, record string")
     assert sorted((x["id"], x["record"], x["rung"]) for x in registered(df, *none).collect()) == in_order(candidates, [], [])[0]
     assert registered(df.limit(0), *none).count() == 0
+
+
+def test_rounds_write_what_a_block_adds_and_no_candidates(spark, monkeypatch):
+    from lectern.operators import registration
+
+    written = []
+
+    def told(df, name, saved=registration.saved):
+        out = saved(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(registration, "saved", told)
+    monkeypatch.setattr(registration, "FIRST", 60, raising=False)
+    few, records, aliases = batch(3, 60)
+    # the later candidates bring what is held already; one alias names a record that the batch makes, many share an arXiv id
+    candidates = few + [{**c, "id": f"{c['id']}.{k}", "pos": c["pos"] + 60 * k} for k in range(1, 10) for c in few]
+    aliases += [{"ord": 100 + k, "doi": None if k % 2 else f"d{k}", "arxiv": "a1", "version": f"v{k}" if k % 3 else None, "title": None, "record": f"new:c{k % 9}"} for k in range(60)]
+    frames = (
+        spark.createDataFrame(candidates, f"id string, pos int, {IDENTITY}, valid boolean"),
+        spark.createDataFrame(records, f"record string, ord int, {IDENTITY}"),
+        spark.createDataFrame(aliases, f"ord int, {IDENTITY}, record string"),
+    )
+    got = registered(*frames)
+    assert sorted((x["id"], x["record"], x["rung"]) for x in got.collect()) == in_order(candidates, records, aliases)[0]
+    assert sum(written) < 3 * len(candidates) and max(written) == len(candidates)
