@@ -193,10 +193,11 @@ def rewrite_pairs(pairs: DataFrame, merged: DataFrame) -> DataFrame:
 
 def graph_inventory(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Counts and digests of a graph: nodes by id, each undirected edge once in the orientation seen last (by pos)."""
-    from lectern.operators.sync import state_digest
+    from lectern.operators.sync import TASK_ROWS, state_digest
 
     n = state_digest(nodes, "id", F.to_json(F.struct("id", "type"))).select(F.col("digest").alias("nodes_sha256"), F.coalesce("n_rows", F.lit(0)).alias("n_nodes"))
-    last = undirected(edges).groupBy("a", "b").agg(F.max_by(F.struct("source", "target", "weight"), "pos").alias("e")).select(F.concat_ws("\x1f", "a", "b").alias("k"), "e")
+    parts = -(-edges.count() // TASK_ROWS) or 1
+    last = undirected(edges).repartition(parts, "a", "b").groupBy("a", "b").agg(F.max_by(F.struct("source", "target", "weight"), "pos").alias("e")).select(F.concat_ws("\x1f", "a", "b").alias("k"), "e")
     e = state_digest(last, "k", F.to_json("e")).select(F.col("digest").alias("edges_sha256"), F.coalesce("n_rows", F.lit(0)).alias("n_edges"))
     return n.crossJoin(e).withColumn("state", F.when((F.col("n_nodes") == 0) & (F.col("n_edges") == 0), "verified_empty").otherwise("present"))
 

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that a task of a digest gets, about.
+TASK_ROWS = 200_000
+
 
 def snapshot_diff(index: DataFrame, ledger: DataFrame, subset: DataFrame | None = None) -> DataFrame:
     """(key, action): distill new keys, redistill changed or failed ones, remove keys that left the index.
@@ -74,16 +77,20 @@ def state_digest(rows: DataFrame, key: str, payload: Column, leaf: int = 4096) -
     The tree has a digit of the hash a level, as many levels as keep some `leaf` rows under a node,
     so that no node grows with the table. Rows stand in the order of their keys' hashes, of equal
     keys in that of their payloads' hashes; payload hashes are part of the digest, null ones as such.
+    Rows are hashed and sent to tasks of some TASK_ROWS, as hashes take far more room than what is read.
     """
     depth, n = 0, rows.count()
     while n > leaf << (4 * depth):
         depth += 1
-    payload_hash = F.sha2(F.coalesce(payload, F.lit("\x00")), 256)
-    level = rows.select(F.sha2(F.coalesce(F.col(key).cast("string"), F.lit("\x00")), 256).alias("_k"), payload_hash.alias("_h"), F.lit(1).cast("long").alias("_n"))
+    parts = -(-n // TASK_ROWS) or 1
+    key_hash, payload_hash = (F.sha2(F.coalesce(c, F.lit("\x00")), 256) for c in (F.col(key).cast("string"), payload))
+    level = rows.select(key_hash.alias("_k"), payload_hash.alias("_h")).select(F.substring("_k", 1, depth).alias("_node"), F.unhex("_k").alias("_k"), F.unhex("_h").alias("_h"))
+    level = level.repartition(parts, "_node")  # before lists are gathered, which no task then does for all that it reads
+    level = level.select("_node", F.lower(F.hex("_k")).alias("_k"), F.lower(F.hex("_h")).alias("_h"), F.lit(1).cast("long").alias("_n"))
     for digits in range(depth, -1, -1):
         child = F.concat(F.col("_k"), F.lit("="), F.col("_h"))
         joined = F.sha2(F.array_join(F.array_sort(F.collect_list(child)), "\n"), 256)
-        level = level.groupBy(F.substring("_k", 1, digits).alias("_k")).agg(joined.alias("_h"), F.sum("_n").alias("_n"))
+        level = level.groupBy("_node").agg(joined.alias("_h"), F.sum("_n").alias("_n")).select(F.substring("_node", 1, max(digits - 1, 0)).alias("_node"), F.col("_node").alias("_k"), "_h", "_n")
     return level.agg(F.coalesce(F.max("_h"), F.sha2(F.lit(""), 256)).alias("digest"), F.sum("_n").alias("n_rows"))
 
 

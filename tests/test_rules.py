@@ -220,6 +220,18 @@ def test_state_digests_tell_tables_apart(spark):
     assert len({digest(o, 2)[0] for o in [data, *others]}) == 6
 
 
+def test_digests_gather_lists_only_after_rows_are_dealt_to_tasks(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("CAST(id AS INT) AS k", "concat('v', id % 7) AS v").coalesce(1)
+    whole = tuple(S.state_digest(df, "k", F.col("v"), 16).first())
+    monkeypatch.setattr(S, "TASK_ROWS", 500, raising=False)
+    dealt = S.state_digest(df, "k", F.col("v"), 16)
+    plan = dealt._jdf.queryExecution().executedPlan().toString().splitlines()
+    gathers = [i for i, line in enumerate(plan) if "collect_list" in line]
+    deals = [i for i, line in enumerate(plan) if "REPARTITION_BY_NUM" in line and ", 6)" in line]
+    assert deals and max(gathers) < deals[0]
+    assert tuple(dealt.first()) == whole
+
+
 def test_contents_are_written_once(spark, tmp_path):
     path = str(tmp_path / "blobs")
     one = spark.createDataFrame([("a",), ("b",), ("a",)], "content string")
