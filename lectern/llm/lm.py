@@ -140,11 +140,22 @@ def _columns(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows.transpose(0, 2, 1))
 
 
-def _exps(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logits, their exponentials and the sums of these, row by row. |h| < 1 bounds a logit; only where it may overflow is the largest taken off."""
+def _starts(reset: np.ndarray) -> tuple[list[bool], np.ndarray]:
+    """Whether any lane of a step begins a text, and what each lane's state is multiplied by there."""
+    return reset.any(1).tolist(), (~reset).astype(np.float32)
+
+
+def _small(h: np.ndarray, w: dict[str, np.ndarray]) -> list[bool]:
+    """Of each class, whether no logit of its words can overflow: |h| < 1 bounds them all."""
+    inside = not len(h) or h.max() <= 1 and h.min() >= -1
+    return (((np.abs(w["w"]).sum(1) + np.abs(w["wb"])).max(1) <= 80) & inside).tolist()
+
+
+def _exps(h: np.ndarray, w: np.ndarray, b: np.ndarray, small: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits, their exponentials and the sums of these, row by row. |h| < 1 bounds a logit; only where it may overflow is the largest taken off. small: known not to."""
     x = h @ w
     x += b
-    if not len(b) or (np.abs(w).sum(0) + np.abs(b)).max() > 80 or len(h) and np.abs(h).max() > 1:
+    if not small and (not len(b) or (np.abs(w).sum(0) + np.abs(b)).max() > 80 or len(h) and (h.max() > 1 or h.min() < -1)):
         x -= x.max(1, keepdims=True)
     e = np.exp(x)
     return x, e, e @ np.ones(e.shape[1], e.dtype)
@@ -160,12 +171,12 @@ def emit(model: Model, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     order = np.argsort(cls.astype(np.int8), kind="stable")  # CLASSES + 1 values
     bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
     order = order[: bounds[-1]]
-    h, own = h[order], target[order] % CLASS_SIZE
+    h, own, small = h[order], target[order] % CLASS_SIZE, _small(h, w)
     for k in range(CLASSES):
         lo, hi = bounds[k], bounds[k + 1]
         if hi > lo:
             width = min(CLASS_SIZE, model.explicit - k * CLASS_SIZE)
-            x, _, sums = _exps(h[lo:hi], w["w"][k, :, :width], w["wb"][k, :width])
+            x, _, sums = _exps(h[lo:hi], w["w"][k, :, :width], w["wb"][k, :width], small[k])
             out[order[lo:hi]] += x[np.arange(hi - lo), own[lo:hi]] - np.log(sums)
     return out
 
@@ -214,12 +225,13 @@ def network_scores(model: Model, hashes: np.ndarray, off: np.ndarray, place: np.
     h = np.zeros((HIDDEN, x.shape[1]), np.float32)
     for lo in range(0, len(x), 64):
         hi = min(lo + 64, len(x))
-        states = np.empty((hi - lo, *h.shape), np.float32)
-        for t in range(lo, hi):
-            if reset[t].any():
-                h[:, reset[t]] = 0
-            h, _ = cell(u, np.ascontiguousarray(given[x[t]].T), h)
-            states[t - lo] = h
+        states, gx = np.empty((hi - lo, *h.shape), np.float32), _columns(given[x[lo:hi]])
+        begins, keep = _starts(reset[lo:hi])
+        for t in range(hi - lo):
+            if begins[t]:
+                h = h * keep[t]
+            h, _ = cell(u, gx[t], h)
+            states[t] = h
         real = y[lo:hi] > -2
         out += np.bincount(owner[lo:hi][real], emit(model, states.transpose(0, 2, 1)[real], y[lo:hi][real]), len(out))
     return out
@@ -245,9 +257,11 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, reset: np.
         room = {} if room is None else room
         room |= {k: np.empty((len(x), *h.shape), h.dtype) for k in ("past", "z", "r", "new", "gh", "states", "to_new", "to_z", "to_r", "spare")} | {k: np.empty(gx.shape, h.dtype) for k in ("dx", "dg")}
     past, z, r, new, gh, states, to_new, to_z, to_r, spare, dx, dg = room.values()
+    begins, keep = _starts(reset)
+    keep = keep.astype(h.dtype, copy=False)
     for t in range(len(x)):
-        if reset[t].any():
-            h = np.where(reset[t], 0, h).astype(h.dtype)
+        if begins[t]:
+            h = h * keep[t]
         past[t] = h
         h, (z[t], r[t], new[t], gh[t]) = cell(u, gx[t], h)
         states[t] = h
@@ -266,11 +280,11 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, reset: np.
     order = np.argsort(cls.astype(np.int8), kind="stable")  # CLASSES + 1 values
     bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
     order = order[: bounds[-1]]
-    inside, own, more = s[order], target[order] % CLASS_SIZE, np.empty((len(order), n), s.dtype)
+    inside, own, more, small = s[order], target[order] % CLASS_SIZE, np.empty((len(order), n), s.dtype), _small(s, w)
     for k in range(CLASSES):
         lo, hi = bounds[k], bounds[k + 1]
         if hi > lo:
-            _, e, sums = _exps(inside[lo:hi], w["w"][k], w["wb"][k])
+            _, e, sums = _exps(inside[lo:hi], w["w"][k], w["wb"][k], small[k])
             e /= sums[:, None]
             e[np.arange(hi - lo), own[lo:hi]] -= 1
             e /= m
@@ -295,14 +309,14 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, reset: np.
     for t in range(len(x) - 1, -1, -1):
         dh += back[t]
         dnew = np.multiply(dh, to_new[t], out=dx[t, 2 * n :])
-        np.multiply(dh, to_z[t], out=dx[t, :n])
-        np.multiply(dnew, to_r[t], out=dx[t, n : 2 * n])
-        dg[t, : 2 * n] = dx[t, : 2 * n]
+        np.multiply(dh, to_z[t], out=dg[t, :n])
+        np.multiply(dnew, to_r[t], out=dg[t, n : 2 * n])
         np.multiply(dnew, r[t], out=dg[t, 2 * n :])
         dh *= z[t]
         dh += w["u"] @ dg[t]
-        if reset[t].any():
-            dh[:, reset[t]] = 0
+        if begins[t]:
+            dh *= keep[t]
+    dx[:, : 2 * n] = dg[:, : 2 * n]
     g["u"] = (past @ dg.transpose(0, 2, 1)).sum(0)
     dx = dx.transpose(0, 2, 1)
     flat = x.ravel()
