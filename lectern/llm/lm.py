@@ -28,15 +28,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import _LOWER, bound_batches, buffers, fold, run_hashes, session, written
-from lectern.llm.decontaminate import member
 
 #: Words in the broadcast table (16 bytes each), and words with classes, CLASSES of CLASS_SIZE.
 TABLE, CLASSES, CLASS_SIZE = 1 << 18, 32, 32
+#: Leading bits of a hash by which words are looked up.
+LEADING = 20
 #: Characters that all weights start from, the share of the corpus that learners then learn from, a learner's part of it, and a piece's length.
 START_CHARS, SHARE, LEARNER_CHARS, PIECE = 2_000_000, 1.0, 4_000_000, 20_000
 #: Learners whose weights are summed in one task, and the blocks that the weights are cut into for it.
 PARTY, BLOCKS = 64, 16
 HIDDEN, BUCKETS, WINDOW, LANES = 24, 128, 32, 128
+#: Tokens whose states are held at once while texts are scored.
+SCORED = 1 << 14
 END = np.uint64(0)
 _BREAK = np.zeros(256, bool)
 _BREAK[[9, 10, 11, 12, 13, 32]] = True
@@ -77,10 +80,20 @@ class Model:
         self.sorted = self.words[self.order]
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
-        """Place in `words`, or -1."""
-        out = np.full(len(hashes), -1, np.int64)
-        hit = np.flatnonzero(member(hashes, self.sorted))
-        out[hit] = self.order[np.searchsorted(self.sorted, hashes[hit])]
+        """Place in `words`, or -1. Words that share their leading bits, few in a table of TABLE words, are tried one after the other."""
+        shift = np.uint64(64 - LEADING)
+        starts = np.zeros((1 << LEADING) + 1, np.int32)
+        np.cumsum(np.bincount((self.sorted >> shift).astype(np.int64), minlength=1 << LEADING), out=starts[1:])
+        lead = (hashes >> shift).astype(np.int64)
+        at, end, out = starts[lead], starts[lead + 1], np.full(len(hashes), -1, np.int64)
+        todo = np.flatnonzero(at < end)
+        at, end = at[todo], end[todo]
+        while len(todo):
+            same = self.sorted[at] == hashes[todo]
+            out[todo[same]] = self.order[at[same]]
+            at += 1
+            more = ~same & (at < end)
+            todo, at, end = todo[more], at[more], end[more]
         return out
 
     def classed(self, hashes: np.ndarray) -> np.ndarray:
@@ -110,29 +123,40 @@ def fresh(words: np.ndarray, seed: int = 11) -> Model:
     return Model(words, {"x": small(n + BUCKETS, 3 * h), "u": small(h, 3 * h), "c": small(h, CLASSES + 1), "cb": np.zeros(CLASSES + 1, np.float32), "w": small(CLASSES, h, CLASS_SIZE), "wb": np.zeros((CLASSES, CLASS_SIZE), np.float32)})
 
 
-def cell(u: np.ndarray, gx: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """One step of the recurrent cell for all lanes, which are the columns of `gx` and `h`, so that each gate is one run of memory. u: transposed."""
+def _negated(rows: np.ndarray) -> np.ndarray:
+    """Weights of the three gates, one after the other in each row, with the signs that cell() takes: those of the two logistic gates turned."""
+    out = rows.copy()
+    np.negative(out[:, : 2 * HIDDEN], out=out[:, : 2 * HIDDEN])
+    return out
+
+
+def cell(u: np.ndarray, gx: np.ndarray, h: np.ndarray, gh: np.ndarray, gates: np.ndarray, part: np.ndarray, new: np.ndarray, out: np.ndarray) -> None:
+    """One step of the recurrent cell for all lanes, which are the columns, so that each gate is one run of memory.
+
+    u (transposed) and gx: signed as _negated() does. gh is overwritten; gates (z, r), r times its gate's input, the new state and the
+    state after the step go to the other arrays. exp may overflow to infinity, whose reciprocal is the 0 that is meant.
+    """
     n = HIDDEN
-    gh = u @ h
-    gates = gx[: 2 * n] + gh[: 2 * n]
-    gates *= 0.5  # the logistic function by tanh, which never overflows
-    np.tanh(gates, out=gates)
-    gates *= 0.5
-    gates += 0.5
-    z, r = gates[:n], gates[n:]
-    new = r * gh[2 * n :]
-    new += gx[2 * n :]
+    np.matmul(u, h, out=gh)
+    np.add(gx[: 2 * n], gh[: 2 * n], out=gates)
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    np.multiply(gates[n:], gh[2 * n :], out=part)
+    np.add(gx[2 * n :], part, out=new)
     np.tanh(new, out=new)
-    out = h - new
-    out *= z
+    np.subtract(h, new, out=out)
+    out *= gates[:n]
     out += new
-    return out, (z, r, new, gh[2 * n :])
 
 
 def step(w: dict[str, np.ndarray], inputs: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
     """The same with a row for each lane."""
-    out, kept = cell(w["u"].T, w["x"][inputs].T, h.T)
-    return out.T, kept
+    h = np.ascontiguousarray(h.T)
+    gh, gates, part, new, out = (np.empty((k * HIDDEN, h.shape[1]), h.dtype) for k in (3, 2, 1, 1, 1))
+    with np.errstate(over="ignore"):
+        cell(_negated(w["u"]).T, _negated(w["x"][inputs]).T, h, gh, gates, part, new, out)
+    return out.T, (gates[:HIDDEN], gates[HIDDEN:], new, gh[2 * HIDDEN :])
 
 
 def _columns(rows: np.ndarray) -> np.ndarray:
@@ -221,17 +245,23 @@ def network_scores(model: Model, hashes: np.ndarray, off: np.ndarray, place: np.
     if not len(out):
         return out
     x, y, reset, owner = grid(model, hashes, off, 1024, place)
-    given, u = model.weights["x"], np.ascontiguousarray(model.weights["u"].T)
-    h = np.zeros((HIDDEN, x.shape[1]), np.float32)
-    for lo in range(0, len(x), 64):
-        hi = min(lo + 64, len(x))
-        states, gx = np.empty((hi - lo, *h.shape), np.float32), _columns(given[x[lo:hi]])
+    given, u = _negated(model.weights["x"]), np.ascontiguousarray(_negated(model.weights["u"]).T)
+    lane = x.shape[1]
+    span = max(SCORED // lane, 1)  # steps between two emissions
+    h = np.zeros((HIDDEN, lane), np.float32)
+    gh, gates, part, new = (np.empty((k * HIDDEN, lane), np.float32) for k in (3, 2, 1, 1))
+    room = np.empty((min(span, len(x)), HIDDEN, lane), np.float32)
+    for lo in range(0, len(x), span):
+        hi = min(lo + span, len(x))
+        states, gx = room[: hi - lo], _columns(given[x[lo:hi]])
         begins, keep = _starts(reset[lo:hi])
-        for t in range(hi - lo):
-            if begins[t]:
-                h = h * keep[t]
-            h, _ = cell(u, gx[t], h)
-            states[t] = h
+        with np.errstate(over="ignore"):
+            for t in range(hi - lo):
+                if begins[t]:
+                    h = h * keep[t]
+                cell(u, gx[t], h, gh, gates, part, new, states[t])
+                h = states[t]
+        h = h.copy()
         real = y[lo:hi] > -2
         out += np.bincount(owner[lo:hi][real], emit(model, states.transpose(0, 2, 1)[real], y[lo:hi][real]), len(out))
     return out
@@ -249,80 +279,121 @@ def primed(model: Model, counts: np.ndarray, total: int) -> Model:
     return Model(model.words, w)
 
 
+def _room(steps: int, lane: int, kind: np.dtype) -> dict[str, np.ndarray]:
+    """A window's arrays: (step, value, lane) where steps follow each other, (value, place) where all places are worked on at once."""
+    n, size = HIDDEN, steps * lane
+    by_step = {"past": n, "gates": 2 * n, "part": n, "new": n, "states": n, "gx": 3 * n, "through": 3 * n, "dg": 3 * n, "dh": n, "to_new": n, "spare": n, "back": n}
+    flat = {"seen": (n + 1) * size, "outer": (CLASSES + 1) * size, "inner": CLASS_SIZE * size, "ds": n * (size + 1), "more": n * size}
+    out = {k: np.empty((steps, values, lane), kind) for k, values in by_step.items()} | {k: np.empty(v, kind) for k, v in flat.items()}
+    return out | {"all": np.ones((n + 1, size), kind), "rows": np.empty((size, 3 * n), kind), "to_x": np.empty((3 * n, size), kind)}
+
+
+def _shares(x: np.ndarray, m: int) -> None:
+    """Logits, a column for each target, become their exponentials' shares of the column's sum, over m."""
+    np.exp(x, out=x)
+    sums = np.ones(len(x), x.dtype) @ x
+    sums *= m
+    x *= np.reciprocal(sums, out=sums)
+
+
 def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, reset: np.ndarray, h: np.ndarray, room: dict | None = None) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Gradients of the mean negative log probability of a window's targets, and the state after it. room: arrays that calls share."""
-    n = HIDDEN
-    u, gx, h = np.ascontiguousarray(w["u"].T), _columns(w["x"][x]), np.ascontiguousarray(h.T)
-    if not room or room["dx"].shape != gx.shape:
-        room = {} if room is None else room
-        room |= {k: np.empty((len(x), *h.shape), h.dtype) for k in ("past", "z", "r", "new", "gh", "states", "to_new", "to_z", "to_r", "spare")} | {k: np.empty(gx.shape, h.dtype) for k in ("dx", "dg")}
-    past, z, r, new, gh, states, to_new, to_z, to_r, spare, dx, dg = room.values()
+    """Gradients of the mean negative log probability of a window's targets, and the state after it. room: arrays that calls share.
+
+    Values lie in rows with a column for each step and lane, and targets are sorted by class, so that all logits within classes
+    are one array. A row of ones below the states stands for the biases.
+    """
+    n, (steps, lane) = HIDDEN, x.shape
+    size = steps * lane
+    room = {} if room is None else room
+    if room.get("shape") != (x.shape, h.dtype):
+        room |= _room(steps, lane, h.dtype) | {"shape": (x.shape, h.dtype)}
+
+    def rows(name: str, k: int, m: int) -> np.ndarray:
+        return room[name][: k * m].reshape(k, m)
+
+    u = np.ascontiguousarray(_negated(w["u"]).T)
+    gx, past, gates, part, new, states = (room[k] for k in ("gx", "past", "gates", "part", "new", "states"))
+    np.copyto(gx, np.take(_negated(w["x"]), x.ravel(), 0, out=room["rows"], mode="clip").reshape(steps, lane, 3 * n).transpose(0, 2, 1))
     begins, keep = _starts(reset)
     keep = keep.astype(h.dtype, copy=False)
-    for t in range(len(x)):
-        if begins[t]:
-            h = h * keep[t]
-        past[t] = h
-        h, (z[t], r[t], new[t], gh[t]) = cell(u, gx[t], h)
-        states[t] = h
-    after = np.ascontiguousarray(h.T)
-    g = {k: np.zeros_like(v) for k, v in w.items()}
-    real = y > -2
-    s, target = states.transpose(0, 2, 1)[real], y[real]
-    m = max(len(s), 1)
-    cls = np.where(target >= 0, target // CLASS_SIZE, CLASSES)
-    _, d, sums = _exps(s, w["c"], w["cb"])
-    d /= sums[:, None]
-    d[np.arange(len(s)), cls] -= 1
-    d /= m
-    g["c"], g["cb"] = s.T @ d, d.sum(0)
-    ds = d @ w["c"].T
-    order = np.argsort(cls.astype(np.int8), kind="stable")  # CLASSES + 1 values
-    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    order = order[: bounds[-1]]
-    inside, own, more, small = s[order], target[order] % CLASS_SIZE, np.empty((len(order), n), s.dtype), _small(s, w)
-    for k in range(CLASSES):
-        lo, hi = bounds[k], bounds[k + 1]
-        if hi > lo:
-            _, e, sums = _exps(inside[lo:hi], w["w"][k], w["wb"][k], small[k])
-            e /= sums[:, None]
-            e[np.arange(hi - lo), own[lo:hi]] -= 1
-            e /= m
-            g["w"][k], g["wb"][k] = inside[lo:hi].T @ e, e.sum(0)
-            more[lo:hi] = e @ w["w"][k].T
-    ds[order] += more
-    back = np.zeros((len(x), x.shape[1], n), h.dtype)
-    back[real] = ds
-    back = _columns(back)
+    h, gh = np.ascontiguousarray(h.T), np.empty((3 * n, lane), h.dtype)
+    with np.errstate(over="ignore"):
+        for t in range(steps):
+            before = np.multiply(h, keep[t], out=past[t])
+            h = states[t]
+            cell(u, gx[t], before, gh, gates[t], part[t], new[t], h)
+    after = h.T.copy()
+    target = y.ravel()
+    cls = np.where(target >= 0, target // CLASS_SIZE, CLASSES - 1 - target).astype(np.int8)  # CLASSES: any other word, beyond: padding
+    order = np.argsort(cls, kind="stable")
+    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 2)).tolist()
+    inside, m = bounds[CLASSES:]
+    order = order[:m]
+    seen = room["all"]
+    np.copyto(seen[:n].reshape(n, steps, lane), states.transpose(1, 0, 2))
+    s = np.take(seen, order, 1, out=rows("seen", n + 1, m), mode="clip")
+    bounded = not m or s[:n].max() <= 1 and s[:n].min() >= -1
+    outer, inner = rows("outer", CLASSES + 1, m), rows("inner", CLASS_SIZE, inside)
+    c, inw = np.concatenate([w["c"], w["cb"][None]]), np.concatenate([w["w"], w["wb"][:, None]], 1)
+    small = [bool(b) and bounded for b in np.abs(inw).sum(1).max(1) <= 80]  # whether no logit of a class can overflow
+    np.matmul(c.T, s, out=outer)
+    if not bounded or np.abs(c).sum(0).max() > 80:
+        outer -= outer.max(0)
+    _shares(outer, max(m, 1))
+    full = [(k, slice(lo, hi)) for k, (lo, hi) in enumerate(pairwise(bounds[: CLASSES + 1])) if hi > lo]
+    for k, span in full:
+        np.matmul(inw[k].T, s[:, span], out=inner[:, span])
+        outer[k, span] -= 1 / m
+        if not small[k]:
+            inner[:, span] -= inner[:, span].max(0)
+    outer[CLASSES, inside:] -= 1 / max(m, 1)
+    _shares(inner, max(m, 1))
+    inner[target[order[:inside]] % CLASS_SIZE, np.arange(inside)] -= 1 / max(m, 1)
+    to_c = s @ outer.T
+    g = dict.fromkeys(w) | {"c": to_c[:n], "cb": to_c[n]}
+    ds, more = rows("ds", n, m + 1), rows("more", n, inside)
+    ds[:, m] = 0
+    np.matmul(w["c"], outer, out=ds[:, :m])
+    to_w = np.zeros_like(inw)
+    for k, span in full:
+        np.matmul(s[:, span], inner[:, span].T, out=to_w[k])
+        np.matmul(w["w"][k], inner[:, span], out=more[:, span])
+    g |= {"w": to_w[:, :n], "wb": to_w[:, n]}
+    ds[:, :inside] += more
+    place = np.full(size, m)
+    place[order] = np.arange(m)
+    back = room["back"]
+    np.copyto(back, np.take(ds, place, 1, out=seen[:n], mode="clip").reshape(n, steps, lane).transpose(1, 0, 2))
     # what a step's gradient is multiplied by on its way to each gate, for all steps at once
+    z, r, to_new, spare, through, dg, dhs = gates[:, :n], gates[:, n:], *(room[k] for k in ("to_new", "spare", "through", "dg", "dh"))
     np.multiply(new, new, out=to_new)
     np.subtract(1, to_new, out=to_new)
     np.subtract(1, z, out=spare)
     to_new *= spare
-    np.subtract(past, new, out=to_z)
+    to_z = np.subtract(past, new, out=through[:, :n])
     to_z *= z
     to_z *= spare
     np.subtract(1, r, out=spare)
-    np.multiply(gh, r, out=to_r)
-    to_r *= spare
-    dh = np.zeros_like(h)
-    for t in range(len(x) - 1, -1, -1):
-        dh += back[t]
-        dnew = np.multiply(dh, to_new[t], out=dx[t, 2 * n :])
-        np.multiply(dh, to_z[t], out=dg[t, :n])
-        np.multiply(dnew, to_r[t], out=dg[t, n : 2 * n])
-        np.multiply(dnew, r[t], out=dg[t, 2 * n :])
-        dh *= z[t]
-        dh += w["u"] @ dg[t]
+    spare *= part
+    np.multiply(spare, to_new, out=through[:, n : 2 * n])
+    np.multiply(r, to_new, out=through[:, 2 * n :])
+    ways, dgs = (a.reshape(steps, 3, n, lane) for a in (through, dg))
+    down, more = np.zeros_like(h), np.empty_like(h)
+    for t in range(steps - 1, -1, -1):
+        dh = np.add(down, back[t], out=dhs[t])
+        np.multiply(ways[t], dh, out=dgs[t])
+        np.matmul(w["u"], dg[t], out=more)
+        np.multiply(dh, z[t], out=down)
+        down += more
         if begins[t]:
-            dh *= keep[t]
-    dx[:, : 2 * n] = dg[:, : 2 * n]
-    g["u"] = (past @ dg.transpose(0, 2, 1)).sum(0)
-    dx = dx.transpose(0, 2, 1)
-    flat = x.ravel()
-    order = np.argsort(flat, kind="stable")
-    firsts = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))
-    g["x"][flat[order][firsts]] = np.add.reduceat(dx.reshape(-1, 3 * n)[order], firsts, axis=0)
+            down *= keep[t]
+    to_x, by_step = room["to_x"], room["to_x"].reshape(3 * n, steps, lane)
+    np.copyto(by_step, dg.transpose(1, 0, 2))
+    np.copyto(seen[:n].reshape(n, steps, lane), past.transpose(1, 0, 2))
+    g["u"] = seen[:n] @ to_x.T
+    np.copyto(by_step[2 * n :], np.multiply(dhs, to_new, out=spare).transpose(1, 0, 2))  # r has no part in the input's share
+    flat = x.ravel().astype(np.int64)
+    g["x"] = np.stack([np.bincount(flat, values, len(w["x"])) for values in to_x], 1).astype(h.dtype)
     return g, after
 
 
@@ -336,7 +407,9 @@ def fit(model: Model, hashes: np.ndarray, off: np.ndarray, epochs: int = 2, rate
     flat = np.concatenate([v.ravel() for v in w.values()])
     cuts = np.cumsum([v.size for v in w.values()])
     w |= {k: part.reshape(v.shape) for (k, v), part in zip(list(w.items()), np.split(flat, cuts[:-1]), strict=True)}  # views of `flat`
-    one, two, v, room = (np.zeros_like(flat) for _ in range(4))
+    one, two, v = (np.zeros_like(flat) for _ in range(3))
+    spare = np.empty(8192, flat.dtype)
+    parts = [[a[lo : lo + len(spare)] for a in (flat, one, two, v)] for lo in range(0, len(flat), len(spare))]  # each stays in the cache
     done, shared = 0, {}
     for epoch in range(epochs):
         h = np.zeros((x.shape[1], HIDDEN), np.float32)
@@ -345,18 +418,21 @@ def fit(model: Model, hashes: np.ndarray, off: np.ndarray, epochs: int = 2, rate
             g, h = gradients(w, x[lo:hi], y[lo:hi], reset[lo:hi], h, shared)
             done += 1
             np.concatenate([g[k].ravel() for k in w], out=v)
-            v *= np.float32(min(1.0, 1.0 / max(float(np.sqrt(v @ v)), 1e-9)))
+            clip = np.float32(min(1.0, 1.0 / max(float(np.sqrt(v @ v)), 1e-9)))
             now = rate * (1.0 if epoch == 0 else 0.3)
-            one *= np.float32(0.9)
-            one += np.multiply(v, np.float32(0.1), out=room)
-            two *= np.float32(0.999)
-            v *= v
-            two += np.multiply(v, np.float32(0.001), out=room)
-            np.sqrt(np.divide(two, np.float32(1 - 0.999**done), out=room), out=room)
-            room += np.float32(1e-8)
-            np.divide(one, room, out=room)
-            room *= np.float32(now / (1 - 0.9**done))
-            flat -= room
+            for weight, first, second, new in parts:
+                room = spare[: len(new)]
+                new *= clip
+                first *= np.float32(0.9)
+                first += np.multiply(new, np.float32(0.1), out=room)
+                second *= np.float32(0.999)
+                new *= new
+                second += np.multiply(new, np.float32(0.001), out=room)
+                np.sqrt(np.divide(second, np.float32(1 - 0.999**done), out=room), out=room)
+                room += np.float32(1e-8)
+                np.divide(first, room, out=room)
+                room *= np.float32(now / (1 - 0.9**done))
+                weight -= room
     return model
 
 
