@@ -197,6 +197,36 @@ def test_what_leaving_out_holds_does_not_grow_with_the_deltas():
     assert np.allclose(got[[0, 7, 511]], [bca_interval(np.delete(deltas, k), 60)[0] for k in (300, 307, 811)], atol=1e-10)
 
 
+def test_one_pass_over_the_draws_decides_all_movers(spark, monkeypatch):
+    import numpy as np
+
+    from lectern.operators import evaluation as E
+
+    rng, seen = np.random.default_rng(7), set()
+    for k in range(30):
+        n = 70 + 5 * k
+        deltas = [rng.normal(0.18, 1, n), rng.integers(-3, 5, n) / 4, np.append(rng.normal(0.15, 1, n), 1e9 * (-1) ** k)][k % 3]
+        want = E.lows_without(deltas, range(len(deltas)), 300, seed=k) > 0
+        assert (E.gains_without(deltas, 300, seed=k) == want).all()
+        seen |= set(want.tolist())
+    assert seen == {True, False}
+    drawn, own = [0], np.random.default_rng
+
+    class Counted:
+        def __init__(self, seed):
+            self.rng = own(seed)
+
+        def integers(self, low, high, size):
+            drawn[0] += size[0] * size[1]
+            return self.rng.integers(low, high, size)
+
+    monkeypatch.setattr(np.random, "default_rng", Counted)
+    assert E.gains_without(np.full(9000, 0.5), 20).all() and drawn[0] == 20 * 8999
+    pairs = spark.range(9000).selectExpr("'m' AS metric", "id AS qid", "0.0D AS a", "CASE WHEN id % 9 = 0 THEN -1.0D ELSE 0.5D END AS b")
+    out = E.movers_left_out(pairs, rounds=20)
+    assert out.count() == 9000 and "explode" not in plan_of(out)  # no block of movers draws anew
+
+
 def test_long_windows_lie_in_few_cells(spark):
     rows = [(k, 1000 * k % 7919, 1000 * k % 7919 + n) for k, n in enumerate([1, 599, 600, 601, 4800, 4801, 9600, 9601, 90_000, 1_000_000, 0, -5])]
     windows = spark.createDataFrame(rows, "w int, s long, e long")
