@@ -90,6 +90,39 @@ def test_identities_of_observations_are_shuffled_once(spark):
     assert plan.count("Exchange hashpartitioning(receipt_id") >= 2 and "Exchange hashpartitioning(unit_id" not in plan and "Exchange hashpartitioning(receipt_id#" in plan and ", attempt_id#" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
 
 
+@pytest.mark.parametrize("name", ["aggregates_of_generations", "evidence_of_units", "evidence_of_records", "outcomes_of_sections"])
+def test_coverage_is_worked_out_in_parts(spark, monkeypatch, tmp_path, name):
+    from lectern.operators import coverage as C
+    from lectern.operators import lineage as L
+
+    data, tables = "/root/testdata/sf0.001", ["orders", "lineitem", "nation"]
+    some = made(tmp_path, **{t: f"SELECT * FROM '{data}/{t}.parquet'" + {"orders": " WHERE o_orderkey < 300", "lineitem": " WHERE l_orderkey < 300"}.get(t, "") for t in tables})
+    written = []
+    monkeypatch.setattr(C, "PART", 400)
+    monkeypatch.setattr(C, "saved_in_parts", lambda part, parts, *a: written.append(parts) or L.saved_in_parts(part, parts, *a))
+    assert same_as_sql(spark, some, name, tables)
+    assert written and set(written) == {3}
+
+
+def test_shuffles_of_a_written_table_go_with_it(spark):
+    import glob
+
+    from lectern.operators.lineage import dropped, in_part, saved_in_parts
+
+    held = lambda: len(glob.glob("/tmp/blockmgr-*/*/shuffle_*.data"))
+    rows = spark.range(4000).selectExpr("CASE WHEN id % 10 > 0 THEN id % 700 END AS k", "id")
+    before, seen = held(), []
+    def part(p):
+        seen.append(held())
+        return in_part(rows, "k", 3, p).repartition(3, "id").groupBy("k").agg(F.count("*").alias("n"))
+
+    out = saved_in_parts(part, 3, "parts")
+    assert {r["k"]: r["n"] for r in out.collect()} == {r["k"]: r["count"] for r in rows.groupBy("k").count().collect()}
+    assert max(seen) <= before  # none of an earlier part
+    dropped(out)
+    assert not spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "true"
+
+
 def test_nearest_rows_are_those_of_the_plain_expression(spark):
     import numpy as np
     from pyspark.sql import functions as F
