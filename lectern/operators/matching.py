@@ -115,7 +115,8 @@ def twin_candidates(new: DataFrame, library: DataFrame, title_ratio: float = 0.8
     surname Jaccard and title ratio. Records of the same surnames are one class; classes meet if they share one of the
     rarest surnames, of each as many as the Jaccard cannot all miss. A new record goes through a class in order of pos, in
     rounds that look at twice as many records as the last, and stops at its first twin; only one without a twin is compared
-    with all of a class.
+    with all of a class. Joins are by sorting: what files hold in a few MB, as titles and names repeat, is far larger as the
+    rows of a broadcast, the more so once they are exploded.
     """
     from lectern.functions.text import last_token_surname
 
@@ -130,24 +131,25 @@ def twin_candidates(new: DataFrame, library: DataFrame, title_ratio: float = 0.8
 
     def rare(df: DataFrame, p: str) -> DataFrame:
         own = [f"{p}names", f"{p}doi"]
-        each = df.select(*own).distinct().select(*own, F.explode(f"{p}names").alias("w")).join(n, "w", "left")
+        each = df.select(*own).distinct().select(*own, F.explode(f"{p}names").alias("w")).join(n.hint("merge"), "w", "left")
         order = each.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))).alias("o"))
         prefix = F.greatest(F.lit(1), F.size("o") - F.ceil(F.size("o") * surnames).cast("int") + 1)
         return order.select(*own, F.explode(F.slice("o", F.lit(1), prefix)).alias("x")).select(*own, "x.w")
 
-    met = rare(a, "a_").join(rare(b, "b_"), "w").where((F.col("a_doi") != F.col("b_doi")) & (set_jaccard(F.col("a_names"), F.col("b_names")) >= surnames)).drop("w").distinct()
+    met = rare(a, "a_").join(rare(b, "b_").hint("merge"), "w").where((F.col("a_doi") != F.col("b_doi")) & (set_jaccard(F.col("a_names"), F.col("b_names")) >= surnames)).drop("w").distinct()
     place = ["b_names", "b_doi"]
     shelf = saved(ranked(b.select(*place, "key", "pos", "b_title", "b_year"), place, [F.col("pos"), F.col("key")], "at"), "library")
-    apart = a.join(met, ["a_names", "a_doi"]).join(shelf.groupBy(*place).agg(F.count("*").alias("size")), place).select("new_id", "a_title", "a_year", *place, "size")
+    sizes = shelf.groupBy(*place).agg(F.count("*").alias("size"))
+    apart = a.join(met.join(sizes.hint("merge"), place).hint("merge"), ["a_names", "a_doi"]).select("new_id", "a_title", "a_year", *place, "size")
     open_, hits, low, width = saved(apart, "open"), [], 0, 16
     near = F.coalesce(F.col("a_year") == 0, F.lit(True)) | F.coalesce(F.col("b_year") == 0, F.lit(True)) | (F.abs(F.col("a_year") - F.col("b_year")) <= years)
     while True:
         each = open_.withColumn("at", F.explode(F.sequence(F.lit(low), F.least(F.col("size").cast("int"), F.lit(low + width)) - 1)))
-        close = each.join(shelf.where((F.col("at") >= low) & (F.col("at") < low + width)), [*place, "at"]).where(near)
+        close = each.join(shelf.where((F.col("at") >= low) & (F.col("at") < low + width)).hint("merge"), [*place, "at"]).where(near)
         hit = saved(close.where(ratio_reaches(title_ratio)("a_title", "b_title")).groupBy("new_id", *place).agg(F.min(F.struct("pos", "key")).alias("twin")), "twins")
         hits.append(hit.select("new_id", "twin"))
         low, width = low + width, width * 2
-        open_ = saved(open_.where(F.col("size") > low).join(hit.select("new_id", *place), ["new_id", *place], "left_anti"), "open")
+        open_ = saved(open_.where(F.col("size") > low).join(hit.select("new_id", *place).hint("merge"), ["new_id", *place], "left_anti"), "open")
         if open_.isEmpty():
             return reduce(DataFrame.union, hits).groupBy("new_id").agg(F.min("twin").alias("twin")).select("new_id", F.col("twin.key").alias("twin"))
 

@@ -230,6 +230,16 @@ def test_what_leaving_out_holds_does_not_grow_with_the_deltas():
     assert np.allclose(got[[0, 7, 511]], [bca_interval(np.delete(deltas, k), 60)[0] for k in (300, 307, 811)], atol=1e-10)
 
 
+def test_twins_meet_without_broadcasts(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(M, "saved", lambda df, name, own=M.saved: plans.append(df._jdf.queryExecution().executedPlan().toString()) or own(df, name))
+    work = ["id AS pos", "concat('A study of the ring and kind ', id) AS title", "array(concat('C. Fam', id % 3)) AS authors", "2000 AS year"]
+    new, library = spark.range(60).selectExpr("id AS new_id", *work, "'10.1/a' AS doi", "'' AS arxiv_id"), spark.range(80).selectExpr("id AS key", *work, "'' AS doi", "'1' AS arxiv_id")
+    out = M.twin_candidates(new, library)
+    assert {r["new_id"]: r["twin"] for r in out.collect()} == {k: k % 3 for k in range(60)}
+    assert len(plans) >= 4 and not any("BroadcastExchange" in plan for plan in plans)
+
+
 def test_one_pass_over_the_draws_decides_all_movers(spark, monkeypatch):
     import numpy as np
 
