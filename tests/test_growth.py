@@ -295,6 +295,18 @@ def test_long_windows_lie_in_few_cells(spark):
     assert 0 < spread <= 9 * len(rows)  # buckets of 600 would be 1,850 rows
 
 
+def test_pairs_of_long_windows_are_stored_in_little_room(spark, tmp_path):
+    windows = spark.range(400).selectExpr("id AS w", "id * 3 AS s", "1000000 + id AS e").repartition(1)
+    points = spark.range(40_000).selectExpr("id AS p", "id * 25 AS at").repartition(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        M.point_in_interval(points, windows, "at", "s", "e", 600).select("p", "w", "s").write.parquet(str(tmp_path / "pairs"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == sum(40_000 - -(-w * 3 // 25) for w in range(400))
+    assert sum(x.stat().st_size for x in (tmp_path / "pairs").glob("*.parquet")) < 0.4 * 400 * 40_000
+
+
 def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
